@@ -1,10 +1,10 @@
 """Quality rules by weak supervision.
 
 Each rule looks at the statistics of one text and votes good (1), bad (-1) or abstains
-(0). A generative model with one accuracy a rule is fitted by expectation-maximisation on
-the counts of the vote patterns (at most 3^rules rows whatever the input's size), and the
-posterior probability that a text is good decides, where an all-must-pass filter would
-reject on a single vote. All text work is built-in expressions; nothing but the pattern
+(0). A generative model with two accuracies a rule (how often it is right on good texts, and
+on bad ones, when it votes) is fitted by expectation-maximisation on the counts of the vote
+patterns (at most 3^rules rows whatever the input's size), and the posterior probability
+that a text is good decides, where an all-must-pass filter would reject on a single vote. All text work is built-in expressions; nothing but the pattern
 counts leaves the executors.
 
 Defined cases: a null, empty or blank text has no words and fails the base rules; very
@@ -30,7 +30,7 @@ ROUNDS = 30
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper,
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_symbol_runs, n_upper,
     n_letters to docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
@@ -40,6 +40,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
     df = df.withColumn("n_lines", F.size("__l").cast("long")).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     df = df.withColumn("n_repeat_words", repeat_words(F.col("__w"), F.col("n_words")))
+    df = df.withColumn("n_symbol_runs", F.regexp_count(text, F.lit(f"[{SYMBOLS}]+")).cast("long"))
     upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
     letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
     return df.withColumn("n_upper", upper.cast("long")).withColumn("n_letters", letters.cast("long")).drop("__w", "__l")
@@ -74,6 +75,7 @@ def _ratio(a: str, b: str) -> str:
 #: (name, votes bad if, votes good if), in SQL that Spark and other engines read alike.
 RULES = (
     ("symbols", f"{_ratio('n_symbols', 'word_chars')} > 0.05", f"{_ratio('n_symbols', 'word_chars')} < 0.01"),
+    ("symbol_runs", f"{_ratio('n_symbol_runs', 'n_words')} > 0.3", f"{_ratio('n_symbol_runs', 'n_words')} < 0.05"),
     ("repeats", f"{_ratio('n_repeat_words', 'n_words')} > 0.2", f"{_ratio('n_repeat_words', 'n_words')} < 0.05"),
     ("lines", f"{_ratio('n_dup_lines', 'n_lines')} > 0.3", "n_lines > 2 and n_dup_lines = 0"),
     ("capitals", f"{_ratio('n_upper', 'n_letters')} > 0.3", f"{_ratio('n_upper', 'n_letters')} < 0.1"),
@@ -81,35 +83,52 @@ RULES = (
     ("letters", f"{_ratio('n_letters', 'word_chars')} < 0.6", f"{_ratio('n_letters', 'word_chars')} > 0.85"),
     ("size", "n_words < 10", "n_words >= 50"),
 )
-START_ACCURACY, START_PRIOR = 0.8, 0.7
+#: Where expectation-maximisation starts, and the ranges that it keeps to: a rule that says
+#: bad of more than 1 % of the good texts, or of under 10 % of the bad ones, isn't a rule.
+START_PRIOR, START_GOOD, START_BAD = 0.8, 0.99, 0.2
+PRIOR_RANGE, GOOD_RANGE, BAD_RANGE = (0.05, 0.95), (0.99, 0.999), (0.1, 0.95)
 
 
 def vote_sql(bad: str, good: str) -> str:
     return f"case when {bad} then -1 when {good} then 1 else 0 end"
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """(prior, accuracies) from (votes, count) rows by expectation-maximisation. Accuracies
-    stay in [0.55, 0.98] and the prior in [0.05, 0.95], so no class dies out."""
-    k = len(patterns[0][0]) if patterns else 0
-    prior, acc = START_PRIOR, [START_ACCURACY] * k
+def _within(x: float, bounds: tuple[float, float]) -> float:
+    return min(bounds[1], max(bounds[0], x))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
+    """(prior, right on good texts, right on bad texts) from (votes, count) rows by
+    expectation-maximisation."""
+    k = len(patterns[0][0]) if patterns else len(RULES)
+    prior, on_good, on_bad = START_PRIOR, [START_GOOD] * k, [START_BAD] * k
     for _ in range(rounds if patterns else 0):
-        good = n_all = 0.0
-        right, cast = [0.0] * k, [0.0] * k
+        total = good = 0.0
+        votes_good = [[1.0, 1.0] for _ in range(k)]  # votes bad, good; smoothed by one of each
+        votes_bad = [[1.0, 1.0] for _ in range(k)]
         for votes, n in patterns:
-            p = posterior(votes, prior, acc)
-            good, n_all = good + n * p, n_all + n
+            p = posterior(votes, prior, on_good, on_bad)
+            total, good = total + n, good + n * p
             for j, v in enumerate(votes):
                 if v:
-                    right[j] += n * (p if v > 0 else 1 - p)
-                    cast[j] += n
-        prior = min(0.95, max(0.05, good / n_all))
-        acc = [min(0.98, max(0.55, (right[j] + 1.0) / (cast[j] + 2.0))) for j in range(k)]
-    return prior, acc
+                    votes_good[j][v > 0] += n * p
+                    votes_bad[j][v > 0] += n * (1 - p)
+        prior = _within(good / total, PRIOR_RANGE)
+        on_good = [_within(x[1] / sum(x), GOOD_RANGE) for x in votes_good]
+        on_bad = [_within(x[0] / sum(x), BAD_RANGE) for x in votes_bad]
+    return prior, on_good, on_bad
+
+
+def evidence(on_good: float, on_bad: float) -> tuple[float, float]:
+    """What a vote for good, and one for bad, adds to the log odds."""
+    return math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
 
 
-def posterior(votes, prior: float, acc: list[float]) -> float:
-    s = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, acc, strict=True))
+def posterior(votes, prior: float, on_good: list[float], on_bad: list[float]) -> float:
+    s = math.log(prior / (1 - prior))
+    for v, g, b in zip(votes, on_good, on_bad, strict=True):
+        if v:
+            s += evidence(g, b)[v < 0]
     return 1 / (1 + math.exp(-s))
 
 
@@ -125,10 +144,11 @@ def judge_statistics(stats: DataFrame, rules=RULES, threshold: float = 0.5) -> D
         df = df.withColumn(f"vote_{name}", F.expr(vote_sql(bad, good)))
     names = [f"vote_{name}" for name, *_ in rules]
     counts = df.groupBy(*names).count().collect()  # at most 3^rules rows
-    prior, acc = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts))
+    prior, on_good, on_bad = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts))
     score = F.lit(math.log(prior / (1 - prior)))
-    for n, a in zip(names, acc or [START_ACCURACY] * len(names), strict=True):
-        score = score + F.col(n) * math.log(a / (1 - a))
+    for n, g, b in zip(names, on_good, on_bad, strict=True):
+        for_good, for_bad = evidence(g, b)
+        score = score + F.when(F.col(n) > 0, for_good).when(F.col(n) < 0, for_bad).otherwise(0.0)
     df = df.withColumn("quality", 1 / (1 + F.exp(-score))).withColumn("base_failed", base_failed())
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
@@ -142,8 +162,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     votes = ", ".join(f"{vote_sql(bad, good)} as v{j}" for j, (_, bad, good) in enumerate(RULES))
     k = range(len(RULES))
-    q = "1 / (1 + exp(-(ln(prior / (1 - prior)) + " + " + ".join(f"v{j} * ln(a{j} / (1 - a{j}))" for j in k) + ")))"
-    accs = ", ".join(f"least(0.98, greatest(0.55, (sum(n * case v{j} when 1 then q when -1 then 1 - q else 0 end) + 1) / (sum(case when v{j} <> 0 then n else 0 end) + 2)))" for j in k)
+    odds = " + ".join(f"case v{j} when 1 then ln(g{j} / (1 - b{j})) when -1 then ln((1 - g{j}) / b{j}) else 0 end" for j in k)
+    q = f"1 / (1 + exp(-(ln(prior / (1 - prior)) + {odds})))"
+    within = lambda x, r: f"least({r[1]}, greatest({r[0]}, {x}))"
+    share = lambda j, v, w: f"(sum(case when v{j} = {v} then n * {w} else 0 end) + 1) / (sum(case when v{j} <> 0 then n * {w} else 0 end) + 2)"
+    rates = ", ".join([within(share(j, 1, "q"), GOOD_RANGE) for j in k] + [within(share(j, -1, "(1 - q)"), BAD_RANGE) for j in k])
     return rf"""
 with recursive d as (
   select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -156,14 +179,15 @@ st as (
   select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(n_lines, 0)::bigint as n_lines,
     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    len(regexp_extract_all(t, '[#*$%&|<>]+'))::bigint as n_symbol_runs,
     (length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')))::bigint as n_upper, (length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')))::bigint as n_letters
   from d left join l using (doc_id) left join r using (doc_id)),
 v as materialized (select *, {votes} from st),
 p as materialized (select {", ".join(f"v{j}" for j in k)}, count(*)::double as n from v group by all),
-em(i, prior, {", ".join(f"a{j}" for j in k)}) as (
-  select 0, {START_PRIOR}::double, {", ".join(f"{START_ACCURACY}::double" for _ in k)}
+em(i, prior, {", ".join([f"g{j}" for j in k] + [f"b{j}" for j in k])}) as (
+  select 0, {START_PRIOR}::double, {", ".join([f"{START_GOOD}::double"] * len(RULES) + [f"{START_BAD}::double"] * len(RULES))}
   union all
-  select i + 1, least(0.95, greatest(0.05, sum(n * q) / sum(n))), {accs}
+  select i + 1, {within("sum(n * q) / sum(n)", PRIOR_RANGE)}, {rates}
   from (select *, {q} as q from p, em where i < {ROUNDS}) group by i)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b as base_failed, not b and quality >= 0.5 as kept, round(quality, 6) as quality
 from (select v.*, n_words < {MIN_WORDS} or n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} as b, {q} as quality from v, em where em.i = {ROUNDS})
