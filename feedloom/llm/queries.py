@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_rules, source_mix
+from . import byte_bpe, quality_rules, source_mix, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op7_token_files": token_files.op7_token_files,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_source_mix": source_mix.op10_source_mix,
 }
