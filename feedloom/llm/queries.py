@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_rules, source_mix, token_files
+from . import byte_bpe, fingerprints, quality_rules, source_mix, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_token_files": token_files.op7_token_files,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_source_mix": source_mix.op10_source_mix,
@@ -13,5 +14,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op6_fingerprints": fingerprints.ORACLE,
     "op10_source_mix": source_mix.ORACLE,
 }
