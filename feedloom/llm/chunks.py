@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Cached chunks a worker, about 150 bytes each.
-CACHE = 500_000
+CACHE = 1_200_000
 #: Characters handled at a time, so that a worker's memory doesn't follow the batch size.
 SLICE = 4_000_000
 
