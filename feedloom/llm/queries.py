@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, quality_rules, source_mix, token_files
+from . import byte_bpe, fingerprints, quality_model, quality_rules, set_join, source_mix, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_quality_model": quality_model.op4_quality_model,
+    "op5_set_join": set_join.op5_set_join,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_token_files": token_files.op7_token_files,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
