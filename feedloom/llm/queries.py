@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, quality_model, quality_rules, set_join, source_mix, token_files
+from . import byte_bpe, fingerprints, quality_model, quality_rules, repeats, set_join, source_mix, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_set_join": set_join.op5_set_join,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_token_files": token_files.op7_token_files,
+    "op8_repeats": repeats.op8_repeats,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_source_mix": source_mix.op10_source_mix,
 }
