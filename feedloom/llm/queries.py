@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, main_text, quality_model, quality_rules, repeats, set_join, source_mix, token_files
+from . import byte_bpe, fingerprints, main_text, quality_model, quality_rules, repeats, set_join, source_mix, surrogates, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_main_text": main_text.op2_main_text,
+    "op3_surrogates": surrogates.op3_surrogates,
     "op4_quality_model": quality_model.op4_quality_model,
     "op5_set_join": set_join.op5_set_join,
     "op6_fingerprints": fingerprints.op6_fingerprints,

@@ -1,0 +1,220 @@
+"""PII surrogates: every detected entity gets a keyed replacement of its own type and format.
+
+Detection is one pattern over the text. A replacement is a keyed permutation of the strings of the
+entity's format: a Feistel network over the two halves of its characters, in which each
+character moves within its own alphabet (digits, upper and lower case of its script) by an amount that
+a keyed SHA-256 of the other half gives. A permutation keeps what a table would have to check:
+
+* distinctness: two entities of a format never get the same surrogate;
+* coreference: the same entity gets the same surrogate in every document and every run with the
+  same key, with no table of entities to build, join or keep secret beside the key;
+* format and script: punctuation, case, length and alphabet stay. Country codes of phones, the first
+  digit of cards, prefixes of access keys and names of settings stay too; a card's check digit is
+  valid after if it was valid before; addresses get a name under a reserved domain.
+
+Names behind a title get a given name of the title's gender in the name's script, joined to the permuted
+one, so they stay distinct too; a family name is permuted by itself, so "Mr A B" and "Mr B"
+stay one person. collisions() checks distinctness on real data.
+
+All work is built-in expressions on one row; nothing is shuffled.
+
+Defined cases: a null text stays null; empty texts and texts without entities stay as they are; very long texts
+are used whole; repeated rows are replaced alike; an empty table gives no rows; other columns are kept as they
+are, whatever they are called.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import documents
+
+KEY = "feedloom-surrogates-1"
+ROUNDS = 4
+
+#: Alphabets within which characters move.
+DIGITS = "0123456789"
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+HEX = "0123456789abcdef"
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+CYRILLIC = "".join(map(chr, range(0x430, 0x450)))
+GREEK = "".join(map(chr, [*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA)]))
+TEXTUAL = (DIGITS, LOWER, LOWER.upper(), ACCENTED, ACCENTED.upper(), CYRILLIC, CYRILLIC.upper(), GREEK, GREEK.upper())
+
+#: Given names by gender and script.
+GIVEN = {
+    ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul Rafael Simon Tomas Victor".split(),
+    ("f", "latin"): "Anna Berta Clara Diana Elena Frida Greta Helena Ines Julia Klara Laura Maria Nora Olga Paula Rosa Sofia Teresa Vera".split(),
+    ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Никита Олег Павел Роман".split(),
+    ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лариса Мария Нина Ольга Полина Римма".split(),
+    ("m", "greek"): "Αντώνης Βασίλης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λευτέρης Μάριος Νίκος Πέτρος Σταύρος".split(),
+    ("f", "greek"): "Αγγελική Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Κατερίνα Λίνα Μαρία Νίκη Σοφία Χρυσή".split(),
+}
+MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Don|Господин|Κύριος"
+FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Doña|Sra|Srta|Госпожа|Κυρία"
+
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: (type, pattern); the first that matches at a place wins.
+PATTERNS = (
+    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}))+"),
+    ("setting", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,256}+"),
+    ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
+    ("phone", r"(?<![\w+])\+?\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"),
+    ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
+    ("card", r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
+    ("name", rf"\b(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}]{{1,30}}(?: \p{{Lu}}[\p{{L}}]{{1,30}})?"),
+)
+ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: What a text needs for any of the patterns to match; far cheaper than they are.
+HINT = rf"[0-9@]|\b(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b|\b(?:{MALE}|{FEMALE})\b"
+
+
+def _chars(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+def _amount(key: str, *parts: Column) -> Column:
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 7), 16, 10).cast("int")
+
+
+def _moved(c: Column, amount: Column, alphabets) -> Column:
+    out = None
+    for a in alphabets:
+        at = F.call_function("locate", c, F.lit(a))
+        to = F.substring(F.lit(a), (at - 1 + amount) % len(a) + 1, F.lit(1))
+        out = F.when(at > 0, to) if out is None else out.when(at > 0, to)
+    return out.otherwise(c)
+
+
+def permuted(s: Column, key: str, alphabets=TEXTUAL) -> Column:
+    """A keyed permutation of the strings with the same alphabet at each place. A string of one
+    character is moved by the key alone."""
+    cs = _chars(s)
+    half = F.floor(F.size(cs) / 2).cast("int")
+    start = F.struct(F.slice(cs, F.lit(1), half).alias("l"), F.slice(cs, half + 1, F.size(cs)).alias("r"))
+    start = F.struct(F.coalesce(start["l"], F.array().cast("array<string>")).alias("l"), F.coalesce(start["r"], F.array().cast("array<string>")).alias("r"))
+
+    def turn(state: Column, k: Column) -> Column:
+        other = F.array_join(state["r"], "")
+        return F.struct(state["r"].alias("l"), F.transform(state["l"], lambda c, i: _moved(c, _amount(key, k, i, other), alphabets)).alias("r"))
+
+    many = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda state: F.concat(F.array_join(state["l"], ""), F.array_join(state["r"], "")))
+    return F.when(F.length(s) < 2, _moved(s, _amount(key, F.lit(0)), alphabets)).otherwise(many)
+
+
+def _email(e: Column, key: str) -> Column:
+    local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
+    known = r"(?i)(^|\.)(example\.(?:com|net|org))$"
+    kept = F.regexp_extract(domain, known, 2)
+    rest = F.regexp_replace(domain, known, "")
+    other = F.concat(permuted(F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), key), F.lit("."), F.substring_index(domain, ".", -1), F.lit(".example"))
+    return F.concat(permuted(local, key), F.lit("@"), F.when(kept == "", other).when(rest == "", kept).otherwise(F.concat(permuted(rest, key), F.lit("."), kept)))
+
+
+def _kept_prefix(e: Column, pattern: str, key: str, alphabets=TEXTUAL) -> Column:
+    """The group that pattern captures stays; the rest is permuted."""
+    head = F.regexp_extract(e, pattern, 1)
+    return F.concat(head, permuted(F.substring(e, F.length(head) + 1, F.length(e)), key, alphabets))
+
+
+def _luhn(digits: Column) -> Column:
+    """The check digit that belongs behind digits."""
+    ds = F.reverse(_chars(digits))
+    doubled = F.transform(ds, lambda c, i: F.when(i % 2 == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
+    return F.pmod(-F.aggregate(doubled, F.lit(0), lambda a, x: a + x), F.lit(10))
+
+
+def _card(e: Column, key: str) -> Column:
+    body, check = F.substring(e, F.lit(1), F.length(e) - 1), F.substring(e, F.length(e), F.lit(1)).cast("int")
+    plain = lambda x: F.regexp_replace(x, r"\D", "")
+    moved = F.concat(F.substring(body, 1, 1), permuted(F.substring(body, F.lit(2), F.length(body)), key))
+    pair = F.array(F.struct(moved.alias("m"), (check - _luhn(plain(body))).alias("off")))
+    return F.element_at(F.transform(pair, lambda x: F.concat(x["m"], F.pmod(_luhn(plain(x["m"])) + x["off"], F.lit(10)).cast("string"))), 1)
+
+
+def _ip(e: Column, key: str) -> Column:
+    octets = F.transform(F.split(e, r"\."), lambda x: x.cast("int"))
+    start = F.struct(F.slice(octets, 1, 2).alias("l"), F.slice(octets, 3, 2).alias("r"))
+    turn = lambda s, k: F.struct(s["r"].alias("l"), F.transform(s["l"], lambda o, i: (o + _amount(key, F.lit("ip"), k, i, F.array_join(F.transform(s["r"], lambda z: z.cast("string")), "."))) % 256).alias("r"))
+    text = lambda x: F.array_join(F.transform(x, lambda z: z.cast("string")), ".")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(text(s["l"]), F.lit("."), text(s["r"])))
+
+
+def _name(e: Column, key: str) -> Column:
+    title, rest = F.substring_index(e, " ", 1), F.regexp_replace(e, r"^\S+ ", "")
+    family = F.substring_index(rest, " ", -1)
+    given = F.when(rest.contains(" "), F.substring_index(rest, " ", 1))
+    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.?$"), "f").otherwise("m")
+    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    chosen = None
+    for (g, s), names in GIVEN.items():
+        here = (gender == g) & (script == s)
+        name = F.element_at(F.array(*[F.lit(n) for n in names]), _amount(key, F.lit("given"), given) % len(names) + 1)
+        chosen = F.when(here, name) if chosen is None else chosen.when(here, name)
+    # the permuted given name behind the chosen one keeps people with one family name apart
+    first = F.when(given.isNotNull(), F.concat(chosen, F.lit("-"), permuted(given, key), F.lit(" ")))
+    return F.concat(title, F.lit(" "), F.coalesce(first, F.lit("")), permuted(family, key))
+
+
+def kind_of(e: Column) -> Column:
+    out = None
+    for kind, pattern in PATTERNS:
+        # what stood around the entity isn't there any more, and a whole match is asked for
+        here = e.rlike(rf"^(?:{pattern})$")
+        out = F.when(here, kind) if out is None else out.when(here, kind)
+    return out.otherwise("card")
+
+
+def surrogate(e: Column, key: str = KEY) -> Column:
+    """The replacement of one entity."""
+    kind = kind_of(e)
+    setting = r"(?s)^(.*?[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,256}$"
+    value = F.regexp_replace(e, r"(?s)^.*[=:]\s{0,3}[\"']?", "")
+    return (
+        F.when(kind == "email", _email(e, key))
+        .when(kind == "setting", F.when(value.rlike("^[0-9a-f]+$"), _kept_prefix(e, setting, key, (HEX,))).otherwise(_kept_prefix(e, setting, key)))
+        .when(kind == "access_key", _kept_prefix(e, "^(....)", key))
+        .when(kind == "iban", _kept_prefix(e, "^(..)", key))
+        .when(kind == "ip", _ip(e, key))
+        .when(kind == "phone", _kept_prefix(e, r"^(\+\d{1,3}(?=[ .\-(])|)", key))
+        .when(kind == "ssn", permuted(e, key))
+        .when(kind == "name", _name(e, key))
+        .otherwise(_card(e, key))
+    )
+
+
+def entities(text: Column) -> Column:
+    """The entities of a text in order."""
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def replaced(text: Column, found: Column, key: str = KEY) -> Column:
+    """text with a surrogate in place of each of its entities (found)."""
+    between = F.split(text, ANY, -1)
+    new = F.transform(found, lambda e: surrogate(e, key))
+    join = lambda parts, subs: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(subs, i), F.lit("")))), "")
+    return F.when(F.size(found) > 0, join(between, new)).otherwise(text)
+
+
+def with_surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
+    """docs with the entities of text_col replaced; count_col, if given, counts them."""
+    found = entities(F.col(text_col))
+    out = docs.withColumn("__found", found)
+    if count_col:
+        out = out.withColumn(count_col, F.coalesce(F.size("__found"), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, replaced(F.col(text_col), F.col("__found"), key)).drop("__found")
+
+
+def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+    """Surrogates that two different entities of a type share, with how many: no rows if
+    distinctness holds."""
+    e = docs.select(F.explode(entities(F.col(text_col))).alias("e")).distinct()
+    return e.select(kind_of(F.col("e")).alias("kind"), surrogate(F.col("e"), key).alias("surrogate")).groupBy("kind", "surrogate").count().filter("count > 1")
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = with_surrogates(documents(spark, sf_dir).select("doc_id", "text"), count_col="n_entities")
+    return out.select("doc_id", "text", "n_entities")
