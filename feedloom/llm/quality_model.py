@@ -158,33 +158,34 @@ def train(rows: DataFrame, limit: int = TRAIN_ROWS, **params) -> Trees:
     return fit(got[:, :-1], got[:, -1], **params) if len(got) else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
 
 
-def _score(batches: Iterator, model: Trees, keep: int) -> Iterator:
+def _score(batches: Iterator, model: Trees, keep: int, name: str) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
         x = np.stack([np.asarray(batch.column(keep + j)) for j in range(len(FEATURES))], 1) if batch.num_rows else np.zeros((0, len(FEATURES)))
         cols = [batch.column(j) for j in range(keep)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(x), pa.float64())], [*batch.schema.names[:keep], "score"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(x), pa.float64())], [*batch.schema.names[:keep], name])
 
 
-def score(rows: DataFrame, model: Trees) -> DataFrame:
-    """rows with FEATURES: their other columns and score. The model is a few thousand numbers."""
+def score(rows: DataFrame, model: Trees, name: str = "score") -> DataFrame:
+    """rows with FEATURES: their other columns and the score. The model is a few thousand numbers."""
     from pyspark.sql import types as T
 
     other = [c for c in rows.columns if c not in FEATURES]
     rows = rows.select(*other, *FEATURES)
-    schema = T.StructType([*[rows.schema[c] for c in other], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(partial(_score, model=model, keep=len(other)), schema)
+    schema = T.StructType([*[rows.schema[c] for c in other], T.StructField(name, T.DoubleType())])
+    return rows.mapInArrow(partial(_score, model=model, keep=len(other), name=name), schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> DataFrame:
-    """doc_id, score and predicted of every document; with keep_columns, all columns of docs too."""
+def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """doc_id, score and predicted (by names) of every document; with keep_columns, all columns of
+    docs too, so choose names that docs hasn't."""
     docs = docs if keep_columns else docs.select("doc_id", "text")
     stats = features(docs)
     stats = cut(stats if keep_columns else stats.drop("text"), "quality")
     known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     model = train(stats.select("doc_id", *FEATURES).join(known, "doc_id"))
-    return score(stats, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(stats, model, names[0]).withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,12 +102,12 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     repeated doc_id are told apart by a row number that is written beside them."""
     names = docs.columns
     marked = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    taken = mix(marked.drop("doc_id"), id_col="__row", **params).select(F.col("doc_id").alias("__row"), "size", "epochs", "part")
-    rows = marked.join(taken.filter("epochs > 0 or part > 0"), "__row")
-    copies = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("__take", F.explode(copies))
+    taken = mix(marked.drop("doc_id"), id_col="__row", **params).filter("epochs > 0 or part > 0")
+    taken = taken.select(F.col("doc_id").alias("__row"), F.col("size").alias("__size"), F.col("epochs").cast("int").alias("__epochs"), F.col("part").alias("__part"))
+    copies = F.concat(F.array_repeat("__size", F.col("__epochs")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
+    rows = marked.join(taken, "__row").withColumn("__take", F.explode(copies))
     head = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]++){"), F.col("__take").cast("string"), F.lit("})")), F.lit(1))
-    return rows.withColumn("text", F.when(F.col("__take") < F.col("size"), head).otherwise(F.col("text"))).select(*names)
+    return rows.withColumn("text", F.when(F.col("__take") < F.col("__size"), head).otherwise(F.col("text"))).select(*names)
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
