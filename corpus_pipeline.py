@@ -14,8 +14,8 @@ from feedloom.llm.common import cut, documents, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject (score of 0.5 and more)."""
-    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), keep_columns=True)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), keep_columns=True, names=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
