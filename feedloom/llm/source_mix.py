@@ -101,13 +101,16 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     more, cut to its first words if it straddles the end of the budget. Rows with a
     repeated doc_id are told apart by a row number that is written beside them."""
     names = docs.columns
-    marked = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    taken = mix(marked.drop("doc_id"), id_col="__row", **params).filter("epochs > 0 or part > 0")
-    taken = taken.select(F.col("doc_id").alias("__row"), F.col("size").alias("__size"), F.col("epochs").cast("int").alias("__epochs"), F.col("part").alias("__part"))
-    copies = F.concat(F.array_repeat("__size", F.col("__epochs")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
-    rows = marked.join(taken, "__row").withColumn("__take", F.explode(copies))
-    head = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]++){"), F.col("__take").cast("string"), F.lit("})")), F.lit(1))
-    return rows.withColumn("text", F.when(F.col("__take") < F.col("__size"), head).otherwise(F.col("text"))).select(*names)
+    # the input's columns travel in a struct, so none can clash with those of the mix
+    marked = cut(docs.select(F.struct(*names).alias("d"), F.monotonically_increasing_id().alias("r")), "mix-rows")
+    plain = marked.select(F.col("r").alias("doc_id"), F.col("d").getField("text").alias("text"), F.col("d").getField("source").alias("source"))
+    taken = mix(plain, **params).filter("epochs > 0 or part > 0").select(F.col("doc_id").alias("r"), "size", F.col("epochs").cast("int").alias("epochs"), "part")
+    copies = F.concat(F.array_repeat("size", F.col("epochs")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    rows = marked.join(taken, "r").withColumn("take", F.explode(copies))
+    text = F.col("d").getField("text")
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.when(F.col("take") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("take").cast("int")), "")).otherwise(text)
+    return rows.select(*[(head if n == "text" else F.col("d").getField(n)).alias(n) for n in names])
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
