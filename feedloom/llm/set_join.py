@@ -115,7 +115,8 @@ def prefix_length(size, num: int = NUMERATOR, den: int = DENOMINATOR):
     return size - (num * size + den - 1) // den + 1
 
 
-def _slices(column, size: int = 4_000_000):
+def _slices(column, size: int = 1_000_000):
+    """The binaries of a column in lists of about so many bytes: hashing holds some 60 bytes a byte."""
     part, n = [], 0
     for x in column:
         part.append(b"" if (v := x.as_py()) is None else v)
@@ -178,24 +179,36 @@ def _spread(batches: Iterator, ranges: int) -> Iterator:
     hashes are the upper 6 bytes; owners point into keys. Equal sets of a slice are sent once."""
     import pyarrow as pa
 
+    held, size = {}, 0
     for batch in batches:
-        for texts in _slices(batch.column(0), 16_000_000):
-            sets = {k: s[: np.searchsorted(s, _region())] for s in shingles(texts) if (k := _key(s)) is not None}
-            keys = np.array(list(sets), np.int64)
-            for low in range(0, len(keys), 1 << 16):
-                own = [sets[int(k)] for k in keys[low : low + (1 << 16)]]
-                h, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own]).astype(np.uint16)
-                order = np.argsort(h, kind="stable")
-                h, owner = h[order], owner[order]
-                cuts = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
-                out: list[list] = [[], [], [], []]
-                for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if b > a:
-                        used, local = np.unique(owner[a:b], return_inverse=True)
-                        six = (h[a:b] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                        for column, x in zip(out, (p, six.tobytes(), local.astype(np.uint16).tobytes(), keys[low:][used].tobytes()), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["part", "hashes", "owners", "keys"])
+        for texts in _slices(batch.column(0)):
+            for s in shingles(texts):
+                if (k := _key(s)) is not None:
+                    held[k] = s[: np.searchsorted(s, _region())].copy()
+                    size += len(held[k])
+            if size > 1_500_000 or len(held) > 60_000:
+                yield from _packed(pa, held, ranges)
+                held, size = {}, 0
+    if held:
+        yield from _packed(pa, held, ranges)
+
+
+def _packed(pa, sets: dict[int, np.ndarray], ranges: int) -> Iterator:
+    keys = np.array(list(sets), np.int64)
+    for low in range(0, len(keys), 1 << 16):
+        own = [sets[int(k)] for k in keys[low : low + (1 << 16)]]
+        h, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own]).astype(np.uint16)
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        cuts = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
+        out: list[list] = [[], [], [], []]
+        for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if b > a:
+                used, local = np.unique(owner[a:b], return_inverse=True)
+                six = (h[a:b] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                for column, x in zip(out, (p, six.tobytes(), local.astype(np.uint16).tobytes(), keys[low:][used].tobytes()), strict=True):
+                    column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["part", "hashes", "owners", "keys"])
 
 
 def _unpack(six: bytes) -> np.ndarray:
