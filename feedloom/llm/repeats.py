@@ -44,7 +44,7 @@ LENGTH = 50
 GRAM = 20
 MOST_CONTEXTS = 50_000
 #: Bytes of text that are hashed together.
-SLICE = 4_000_000
+SLICE = 1_500_000
 #: Bits of a position within a slice of at most 64 MB, in the low end of an anchor's rank.
 PLACE = np.uint64((1 << 26) - 1)
 NO_ID = -(1 << 63)
