@@ -51,8 +51,13 @@ _TOKENS = f"(select doc_id, lang, w from (select doc_id, lang, unnest(regexp_ext
 
 @query(f"select w as word, count(*)::bigint as n, count(distinct doc_id)::bigint as docs from {_TOKENS} group by 1 order by n desc, word limit 50")
 def txt_tokens_topn(t: Tables, top: int = 50) -> DataFrame:
-    w = t.table("documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
-    return w.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).orderBy(F.desc("n"), "word").limit(top)
+    """Occurrences and documents of a word. Both are sums over one explode, so they combine before the shuffle, which
+    a distinct count of documents wouldn't."""
+    one = lambda n, d: lambda w: F.struct(w.alias("word"), F.lit(n).alias("n"), F.lit(d).alias("d"))
+    w = tokens(F.col("text"))
+    rows = t.table("documents").select(F.explode(F.concat(F.transform(w, one(1, 0)), F.transform(F.array_distinct(w), one(0, 1)))).alias("x"))
+    g = rows.groupBy(F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("docs"))
+    return g.orderBy(F.desc("n"), "word").limit(top)
 
 
 @query(f"""select doc_id, w as keyword, round(0.5 + n::double / m, 3) as weight from (select *, max(n) over (partition by doc_id) as m, row_number() over (partition by doc_id order by n desc, w) as r from (select doc_id, w, count(*) as n from {_TOKENS} group by 1, 2)) where r <= 5""")
