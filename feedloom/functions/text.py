@@ -108,3 +108,87 @@ def mcp_search(t: Tables, words=("the", "of")) -> DataFrame:
 @query(r"select page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) as host, length(html)::bigint as size from pages where html like '%<article>%'")
 def scan_pages(t: Tables) -> DataFrame:
     return t.table("pages").filter(F.col("html").contains("<article>")).select("page_id", F.lower(F.regexp_extract("url", "://([^/?#:]+)", 1)).alias("host"), F.length("html").cast("long").alias("size"))
+
+
+#: Categories by keywords; an entry with a space counts double.
+CATEGORIES = (("articles", ("the", "of the")), ("verbs", ("was", "is")), ("joins", ("and", "with", "and the")), ("german", ("und", "der", "die")), ("french", ("les", "des", "de la")))
+#: Topics by keywords, in the order that settles ties.
+TOPICS = (("secrets", ("token", "password", "key")), ("legal", ("license", "licensed", "public")), ("plain", ("the", "and", "der", "les", "los")))
+
+
+def whole(word: str) -> str:
+    """A pattern for a word that no letter, digit or underscore of any script touches."""
+    return rf"(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])"
+
+
+def _hits(text: Column, word: str) -> Column:
+    return F.regexp_count(text, F.lit(whole(word))) * (2 if " " in word else 1)
+
+
+def categories(text: Column, most: int = 3, table=CATEGORIES) -> Column:
+    """Categories by weighted keyword counts, the highest first, equal ones in the table's order."""
+    low = F.lower(text)
+    scored = []
+    for place, (name, ws) in enumerate(table):
+        total = sum((_hits(low, w) for w in ws[1:]), _hits(low, ws[0]))
+        scored.append(F.struct((-total).alias("score"), F.lit(place).alias("place"), F.lit(name).alias("name")))
+    found = F.filter(F.array(*scored), lambda x: x["score"] < 0)
+    return F.transform(F.slice(F.array_sort(found), 1, most), lambda x: x["name"])
+
+
+def topic(text: Column, shortest: int = 10, long: int = 300, head: int = 250, table=TOPICS) -> Column:
+    """The topic with most of its keywords present, the first of equals; null for short texts. Of a long text the
+    beginning decides."""
+    low = F.lower(F.when(F.length(text) > long, F.substring(text, 1, head)).otherwise(text))
+    scored = []
+    for place, (name, ws) in enumerate(table):
+        present = [F.when(low.rlike(whole(w)), 1).otherwise(0) for w in ws]
+        scored.append(F.struct((-sum(present[1:], present[0])).alias("score"), F.lit(place).alias("place"), F.lit(name).alias("name")))
+    best = F.array_min(F.array(*scored))
+    return F.when((F.length(text) >= shortest) & (best["score"] < 0), best["name"])
+
+
+def _count_sql(w: str) -> str:
+    if " " in w:
+        return f"2 * len(regexp_extract_all(low, '(?:^|[^\\p{{L}}\\p{{N}}_]){w}(?:[^\\p{{L}}\\p{{N}}_]|$)'))"
+    return f"len(list_filter(toks, lambda x: x = '{w}'))"
+
+
+def _sum_sql(ws) -> str:
+    return " + ".join(map(_count_sql, ws))
+
+
+_TOKS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as toks"
+_CATS = " union all ".join(f"select doc_id, '{name}' as name, {place} as place, {_sum_sql(ws)} as score from l" for place, (name, ws) in enumerate(CATEGORIES))
+
+
+@query(f"""select d.doc_id, coalesce(c.found, '') as found from documents d left join (select doc_id, string_agg(name, '|' order by score desc, place) as found from (
+  select *, row_number() over (partition by doc_id order by score desc, place) as r from (with l as (select doc_id, lower(text) as low, {_TOKS} from documents) select * from ({_CATS})) where score > 0) where r <= 3 group by 1) c using (doc_id)""")
+def txt_categories(t: Tables) -> DataFrame:
+    return t.table("documents").select("doc_id", F.array_join(categories(F.col("text")), "|").alias("found"))
+
+
+_TOPICS = " union all ".join("select doc_id, '" + name + f"' as name, {place} as place, " + " + ".join(f"list_contains(toks, '{w}')::int" for w in ws) + " as score from l" for place, (name, ws) in enumerate(TOPICS))
+
+
+@query(f"""select d.doc_id, x.name as topic from documents d left join (select doc_id, name from (select *, row_number() over (partition by doc_id order by score desc, place) as r
+  from (with l as (select doc_id, regexp_extract_all(lower(case when length(text) > 300 then substr(text, 1, 250) else text end), '[\\p{{L}}\\p{{N}}_]+') as toks from documents where length(text) >= 10) select * from ({_TOPICS})) where score > 0) where r = 1) x using (doc_id)""")
+def txt_topic(t: Tables) -> DataFrame:
+    return t.table("documents").select("doc_id", topic(F.col("text")).alias("topic"))
+
+
+def grounding(text: Column, numbers, terms) -> Column:
+    """How far a text is covered by known numbers and terms: 0.7 of the share of its numbers that are known plus 0.3 of
+    the share of terms that it names; halved if it holds CJK ideographs."""
+    own = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))
+    known = F.size(F.array_intersect(own, F.array(*map(F.lit, numbers))))
+    share = F.when(F.size(own) == 0, 1.0).otherwise(known / F.size(own))
+    named = sum((F.when(F.lower(text).contains(w), 1.0).otherwise(0.0) for w in terms), F.lit(0.0)) / len(terms)
+    return (share * 0.7 + named * 0.3) * F.when(text.rlike(r"[一-鿿]"), 0.5).otherwise(1.0)
+
+
+@query(r"""select doc_id, round(((case when len(own) = 0 then 1.0::double else len(list_filter(own, lambda x: x in ('2', '3', '2.0', '4.0')))::double / len(own) end) * 0.7
+  + ((low like '%license%')::int + (low like '%the%')::int + (low like '%public%')::int)::double / 3 * 0.3) * case when regexp_matches(text, '[\x{4e00}-\x{9fff}]') then 0.5::double else 1.0::double end, 6) as score
+  from (select doc_id, text, lower(text) as low, list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?')) as own from documents)""")
+def alg_grounding(t: Tables) -> DataFrame:
+    return t.table("documents").select("doc_id", F.round(grounding(F.col("text"), ("2", "3", "2.0", "4.0"), ("license", "the", "public")), 6).alias("score"))

@@ -23,7 +23,8 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     from feedloom.functions import text  # noqa: F401
-    from feedloom.operators import analytics, community, deep, monitoring, primitives, rollups  # noqa: F401
+    from feedloom.operators import analytics, community, deep, monitoring, primitives, reports, rollups  # noqa: F401
+    from feedloom.sources import files  # noqa: F401
     from feedloom.streaming import events  # noqa: F401
 
 
