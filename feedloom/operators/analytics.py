@@ -11,10 +11,10 @@ from feedloom.sources.posts import Tables
 
 
 @query("""select product_id, date_trunc('week', published_at)::date as week, count(*)::bigint as total, count(*) filter (label = 'positive')::bigint as positive, count(*) filter (label = 'negative')::bigint as negative,
-  count(*) filter (label = 'neutral')::bigint as neutral, round(avg(score), 3) as avg_score from active where product_id is not null and published_at::date > date '2024-01-30' - 28 and published_at::date <= date '2024-01-30' group by 1, 2""")
+  count(*) filter (label = 'neutral')::bigint as neutral, round(avg(score), 8) as avg_score from active where product_id is not null and published_at::date > date '2024-01-30' - 28 and published_at::date <= date '2024-01-30' group by 1, 2""")
 def sentiment_trend(t: Tables, days: int = 28, bucket: str = "week") -> DataFrame:
     v = t.window(t.active, days).filter("product_id is not null")
-    return v.groupBy("product_id", F.to_date(F.date_trunc(bucket, "published_at")).alias("week")).agg(F.count("*").alias("total"), *[count_label(x).alias(x) for x in ("positive", "negative", "neutral")], F.round(F.avg("score"), 3).alias("avg_score"))
+    return v.groupBy("product_id", F.to_date(F.date_trunc(bucket, "published_at")).alias("week")).agg(F.count("*").alias("total"), *[count_label(x).alias(x) for x in ("positive", "negative", "neutral")], F.round(F.avg("score"), 8).alias("avg_score"))
 
 
 @query("select product_id, category, n, round(100.0 * n / sum(n) over (partition by product_id), 1)::double as pct from (select product_id, category, count(*)::bigint as n from acats where product_id is not null group by 1, 2)")
@@ -23,9 +23,9 @@ def ana_category_distribution(t: Tables) -> DataFrame:
     return g.withColumn("pct", F.round(ratio(F.col("n") * 100, F.sum("n").over(Window.partitionBy("product_id"))), 1))
 
 
-@query("select country_code, count(*)::bigint as n, round(avg(score), 3) as avg_score, round(count(*) filter (label = 'positive')::double / count(*) * 100, 1) as pos_pct from active where country_code is not null group by 1")
+@query("select country_code, count(*)::bigint as n, round(avg(score), 8) as avg_score, round(count(*) filter (label = 'positive')::double / count(*) * 100, 1) as pos_pct from active where country_code is not null group by 1")
 def ana_country_heatmap(t: Tables) -> DataFrame:
-    return t.active.filter("country_code is not null").groupBy("country_code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("avg_score"), F.round(ratio(count_label("positive"), F.count("*")) * 100, 1).alias("pos_pct"))
+    return t.active.filter("country_code is not null").groupBy("country_code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("avg_score"), F.round(ratio(count_label("positive"), F.count("*")) * 100, 1).alias("pos_pct"))
 
 
 @query("""select category, n, neg_pct, sample from (select category, count(*)::bigint as n, round(count(*) filter (label = 'negative')::double / count(*) * 100, 1) as neg_pct from acats where collected_at >= timestamp '2024-01-17' group by 1 order by n desc, category limit 10)
@@ -70,9 +70,9 @@ def ana_recent_issues(t: Tables, top: int = 20) -> DataFrame:
     return t.active.filter("label = 'negative'").orderBy(F.desc("published_at"), "id").limit(top).select("id", "platform_id", engagement().alias("eng"))
 
 
-@query("select published_at::date as day, count(*)::bigint as n, round(avg(score), 4) as avg_score from amentions where keyword ilike 'KW1_' group by 1")
+@query("select published_at::date as day, count(*)::bigint as n, round(avg(score), 8) as avg_score from amentions where keyword ilike 'KW1_' group by 1")
 def ana_keyword_track(t: Tables, pattern: str = "KW1_") -> DataFrame:
-    return t.mentions(t.active).filter(F.col("keyword").ilike(pattern)).groupBy(day().alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("avg_score"))
+    return t.mentions(t.active).filter(F.col("keyword").ilike(pattern)).groupBy(day().alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("avg_score"))
 
 
 @query("""select product_id, count(*)::bigint as total, count(*) filter (label = 'negative')::bigint as neg, round(count(*) filter (label = 'negative')::double / count(*), 4) as neg_rate,
@@ -81,9 +81,9 @@ def voc_product_stats(t: Tables) -> DataFrame:
     return t.active.groupBy("product_id").agg(F.count("*").alias("total"), count_label("negative").alias("neg"), F.round(ratio(count_label("negative"), F.count("*")), 4).alias("neg_rate"), F.count_distinct("platform_id").alias("sites"), F.min(day()).alias("first_day"), F.max(day()).alias("last_day"))
 
 
-@query("select v.product_id, h.h::bigint as hour, count(*)::bigint as n, round(avg(score), 4) as avg_score from active v join range(24) h(h) on extract(hour from published_at) = h.h where published_at::date > date '2024-01-16' and published_at::date <= date '2024-01-30' group by 1, 2")
+@query("select v.product_id, h.h::bigint as hour, count(*)::bigint as n, round(avg(score), 8) as avg_score from active v join range(24) h(h) on extract(hour from published_at) = h.h where published_at::date > date '2024-01-16' and published_at::date <= date '2024-01-30' group by 1, 2")
 def ins_hourly_pattern(t: Tables, days: int = 14) -> DataFrame:
-    return t.window(t.active, days).groupBy("product_id", F.hour("published_at").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("avg_score"))
+    return t.window(t.active, days).groupBy("product_id", F.hour("published_at").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("avg_score"))
 
 
 @query("select (isodow(published_at) - 1)::bigint as weekday, count(*)::bigint as n, round(100.0 * count(*) filter (label = 'negative') / count(*), 2)::double as neg_rate from active where published_at::date > date '2024-01-02' and published_at::date <= date '2024-01-30' group by 1")
@@ -118,14 +118,14 @@ def ins_sentiment_swing(t: Tables, days: int = 14, floor: int = 10) -> DataFrame
     return g.select("product_id", "n", F.round("a", 4).alias("after"), F.round("b", 4).alias("before"), F.round(F.col("a") - F.col("b"), 4).alias("delta_pp"))
 
 
-@query("""select p.code, o.o::bigint as offset_days, count(v.id)::bigint as n, round(avg(score), 4) as avg_score from products p cross join (values (0), (7), (14)) o(o)
+@query("""select p.code, o.o::bigint as offset_days, count(v.id)::bigint as n, round(avg(score), 8) as avg_score from products p cross join (values (0), (7), (14)) o(o)
   left join active v on v.product_id = p.id and v.published_at::date between p.released_at + o.o - 3 and p.released_at + o.o + 3 group by 1, 2""")
 def ins_product_lifecycle(t: Tables, offsets=(0, 7, 14), around: int = 3) -> DataFrame:
     """Days around fixed distances from each release, in one join on product."""
     at = t.products.select(F.col("id").alias("product_id"), "code", F.explode(F.sequence(F.date_sub("released_at", around), F.date_add("released_at", max(offsets) + around))).alias("day"), "released_at")
     at = at.withColumn("offset_days", F.explode(F.array(*[F.lit(o) for o in offsets]))).filter(F.abs(F.datediff("day", F.expr("date_add(released_at, offset_days)"))) <= around)
     g = t.active.groupBy("product_id", day().alias("day")).agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.count("score").alias("c"))
-    return at.join(g, ["product_id", "day"], "left").groupBy("code", F.col("offset_days").cast("long").alias("offset_days")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.round(ratio(F.sum("s"), F.sum("c")), 4).alias("avg_score"))
+    return at.join(g, ["product_id", "day"], "left").groupBy("code", F.col("offset_days").cast("long").alias("offset_days")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.round(ratio(F.sum("s"), F.sum("c")), 8).alias("avg_score"))
 
 
 @query("""select platform_id, n, case when hi = lo then 50.0 else round((raw - lo) / (hi - lo) * 100, 3) end as influence from (select *, min(raw) over () as lo, max(raw) over () as hi from (

@@ -17,10 +17,10 @@ def com_platforms_health(t: Tables) -> DataFrame:
     return h.groupBy("region").agg(F.count("*").alias("sites"), F.count_if(F.col("status") == "dead").alias("dead"))
 
 
-@query("select platform_id, product_id, count(*)::bigint as n, round(avg(score), 4) as avg_score, round(100.0 * count(*) filter (label = 'negative') / count(*), 2)::double as neg_pct from active where collected_at >= timestamp '2024-01-24' and product_id is not null group by 1, 2")
+@query("select platform_id, product_id, count(*)::bigint as n, round(avg(score), 8) as avg_score, round(100.0 * count(*) filter (label = 'negative') / count(*), 2)::double as neg_pct from active where collected_at >= timestamp '2024-01-24' and product_id is not null group by 1, 2")
 def com_product_matrix(t: Tables, days: int = 7) -> DataFrame:
     v = t.recent(t.active, days).filter("product_id is not null")
-    return v.groupBy("platform_id", "product_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("avg_score"), F.round(ratio(count_label("negative") * 100, F.count("*")), 2).alias("neg_pct"))
+    return v.groupBy("platform_id", "product_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("avg_score"), F.round(ratio(count_label("negative") * 100, F.count("*")), 2).alias("neg_pct"))
 
 
 @query("""select platform_id, n, round(q1, 8) as q1, round(q2, 8) as q2, round(q3, 8) as q3, round(greatest(lo, q1 - 1.5 * (q3 - q1)), 8) as low, round(least(hi, q3 + 1.5 * (q3 - q1)), 8) as high from (
@@ -69,23 +69,32 @@ def com_anomalies(t: Tables) -> DataFrame:
     return p.select("platform_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("kind"))
 
 
-def change_points(df: DataFrame, key: str, at: str, value: str, w: int = 3) -> DataFrame:
-    """Rows where the means of w rows before and of w rows from here on differ by more than twice the larger of the
-    local population deviation and 5 % of the series' own; series of six rows and more."""
-    order = Window.partitionBy(key).orderBy(at)
-    whole = Window.partitionBy(key)
-    before, after, local = order.rowsBetween(-w, -1), order.rowsBetween(0, w - 1), order.rowsBetween(-w, w - 1)
-    d = df.select(key, at, value, F.avg(value).over(before).alias("b"), F.avg(value).over(after).alias("a"), F.stddev_pop(value).over(local).alias("sd"), F.stddev_pop(value).over(whole).alias("all_sd"), F.count("*").over(whole).alias("__k"), F.row_number().over(order).alias("i"))
-    hit = F.abs(F.col("a") - F.col("b")) > F.greatest("sd", F.col("all_sd") * 0.05) * 1.2
-    return d.filter((F.col("__k") >= 6) & (F.col("i") > w) & (F.col("i") <= F.col("__k") - w) & hit).select(key, at, F.round("b", 4).alias("before"), F.round("a", 4).alias("after"))
+def change_points(df: DataFrame, key: str, at: str, value: str, w: int = 3, times: float = 2.0) -> DataFrame:
+    """Rows where the means of w rows before and of w rows from here on differ by more than so many times the largest
+    of both windows' population deviations and 5 % of the series' own. Constant series have none."""
+    order, whole = Window.partitionBy(key).orderBy(at), Window.partitionBy(key)
+    before, after = order.rowsBetween(-w, -1), order.rowsBetween(0, w - 1)
+    d = df.select(
+        key, at, F.avg(value).over(before).alias("__b"), F.avg(value).over(after).alias("__a"), F.stddev_pop(value).over(before).alias("__sb"), F.stddev_pop(value).over(after).alias("__sa"),
+        F.stddev_pop(value).over(whole).alias("__all"), F.count("*").over(whole).alias("__k"), F.row_number().over(order).alias("__i"),
+    )
+    hit = F.abs(F.col("__a") - F.col("__b")) > F.greatest("__sb", "__sa", F.col("__all") * 0.05) * times
+    inner = (F.col("__all") > 0) & (F.col("__i") > w) & (F.col("__i") <= F.col("__k") - w)
+    return d.filter(inner & hit).select(key, at, F.round("__b", 4).alias("before"), F.round("__a", 4).alias("after"))
 
 
-@query("""select category, day, round(b, 4) as before, round(a, 4) as after from (select category, day, avg(n) over (partition by category order by day rows between 3 preceding and 1 preceding) as b, avg(n) over (partition by category order by day rows between current row and 2 following) as a,
-    stddev_pop(n) over (partition by category order by day rows between 3 preceding and 2 following) as sd, stddev_pop(n) over (partition by category) as all_sd, count(*) over (partition by category) as k, row_number() over (partition by category order by day) as i
-  from (select category, published_at::date as day, count(*)::double as n from acats group by 1, 2)) where k >= 6 and i > 3 and i <= k - 3 and abs(a - b) > greatest(sd, all_sd * 0.05) * 1.2""")
+_BOTH = "over (partition by metric, category order by day rows between"
+
+
+@query(f"""select metric, category, day, round(b, 4) as before, round(a, 4) as after from (select metric, category, day, avg(v) {_BOTH} 3 preceding and 1 preceding) as b, avg(v) {_BOTH} current row and 2 following) as a,
+    stddev_pop(v) {_BOTH} 3 preceding and 1 preceding) as sb, stddev_pop(v) {_BOTH} current row and 2 following) as sa, stddev_pop(v) over (partition by metric, category) as sd, count(*) over (partition by metric, category) as k, row_number() over (partition by metric, category order by day) as i
+  from (select 'count' as metric, category, published_at::date as day, count(*)::double as v from acats group by 2, 3 union all select 'sent_avg', category, published_at::date, avg(score) from acats group by 2, 3 having avg(score) is not null))
+  where sd > 0 and i > 3 and i <= k - 3 and abs(a - b) > 2 * greatest(sb, sa, sd * 0.05)""")
 def alg_change_points(t: Tables) -> DataFrame:
-    g = t.by_category(t.active).groupBy("category", day().alias("day")).agg(F.count("*").cast("double").alias("n"))
-    return change_points(g, "category", "day", "n")
+    """Change points of the daily counts and of the daily means of each category."""
+    g = t.by_category(t.active).groupBy("category", day().alias("day")).agg(F.count("*").cast("double").alias("n"), F.avg("score").alias("s"))
+    of = lambda c, name: change_points(g.filter(F.col(c).isNotNull()), "category", "day", c).withColumn("metric", F.lit(name))
+    return of("n", "count").unionByName(of("s", "sent_avg"))
 
 
 @query("""select week, product_id, n, round(s / nullif(c, 0), 4) as sent_avg from (select date_trunc('week', collected_at)::date as week, product_id, count(*)::bigint as n, sum(score) as s, count(score) as c from posts where product_id is not null group by 1, 2)""")

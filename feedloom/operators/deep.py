@@ -206,12 +206,12 @@ def deep_series_comparison(t: Tables) -> DataFrame:
     return out.select("code", "series", "generation", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("score"))
 
 
-@query("""select related, n, round(s, 4) as score from (select b.keyword as related, count(distinct b.post_id)::bigint as n, avg(v.score) as s from kws a join kws b on a.post_id = b.post_id and b.keyword <> a.keyword join active v on v.id = a.post_id where a.keyword = 'kw5' group by 1) order by n desc, related limit 10""")
+@query("""select related, n, round(s, 8) as score from (select b.keyword as related, count(distinct b.post_id)::bigint as n, avg(v.score) as s from kws a join kws b on a.post_id = b.post_id and b.keyword <> a.keyword join active v on v.id = a.post_id where a.keyword = 'kw5' group by 1) order by n desc, related limit 10""")
 def deep_keyword_detail(t: Tables, keyword: str = "kw5", top: int = 10) -> DataFrame:
     a = t.keywords.filter(F.col("keyword") == keyword).select("post_id")
     b = t.keywords.filter(F.col("keyword") != keyword).join(a, "post_id")
     v = t.active.select(F.col("id").alias("post_id"), "score")
-    return b.join(v, "post_id").groupBy(F.col("keyword").alias("related")).agg(F.count_distinct("post_id").alias("n"), F.round(F.avg("score"), 4).alias("score")).orderBy(F.desc("n"), "related").limit(top)
+    return b.join(v, "post_id").groupBy(F.col("keyword").alias("related")).agg(F.count_distinct("post_id").alias("n"), F.round(F.avg("score"), 8).alias("score")).orderBy(F.desc("n"), "related").limit(top)
 
 
 @query("""select keyword, now::bigint as now, round(before / 14.0, 4)::double as mean_before from (select keyword, count(*) filter (published_at::date = date '2024-01-20') as now, count(*) filter (published_at::date < date '2024-01-20') as before

@@ -150,10 +150,10 @@ def agg_label_score(t: Tables) -> DataFrame:
     return t.posts.groupBy("platform_id").agg(F.round(label_score(), 4).alias("label_score"))
 
 
-@query("""select product_id, round(sum(a * n) / nullif(sum(n), 0), 4) as weighted, sum(n)::bigint as n from (select product_id, country_code, count(*) as n, round(avg(score), 4) as a from posts group by 1, 2) group by 1""")
+@query("""select product_id, round(sum(a * n) / nullif(sum(n), 0), 4) as weighted, sum(n)::bigint as n from (select product_id, country_code, count(*) as n, round(avg(score), 8) as a from posts group by 1, 2) group by 1""")
 def agg_weighted_mean(t: Tables) -> DataFrame:
     """Groups without a mean weigh in the denominator alone, as the rollup readers do it."""
-    g = t.posts.groupBy("product_id", "country_code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("a"))
+    g = t.posts.groupBy("product_id", "country_code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("a"))
     return g.groupBy("product_id").agg(F.round(ratio(F.sum(F.col("a") * F.col("n")), F.sum("n")), 4).alias("weighted"), F.sum("n").alias("n"))
 
 
