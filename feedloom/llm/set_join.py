@@ -9,15 +9,14 @@ similarity reaches the threshold. The work is dealt out in these steps:
    an element among the first |x| - ceil(t |x|) + 1 of each (prefix filter). Counting sends packed arrays of
    hashes to hash ranges; only elements that two or more sets hold come back, and a set
    with too few of those has no partner and leaves.
-3. Index lists (an element and the sets with it in their prefix) are read by position. Members are
-   kept by size, and whole blocks of a list whose sizes or remaining positions can't
-   reach the threshold are skipped.
-4. Each list first links its members to one of them (the answers of a set that is highly similar to
-   the rest). Members that have become one component share its answer and are never
-   compared with each other; only pairs of different components are compared afterwards,
-   so a group of thousands of near copies costs one comparison a member, not all pairs.
-5. Candidates are verified by intersecting the two sets; components come from repeated
-   minimum labels over the links.
+3. Each index list (an element and the sets with it in their prefix) is a star: its members are compared with one of
+   them, the least edited one, whose answer is computed in full; each member is kept as its
+   difference from that centre.
+4. Members that link to the centre share its component and need nothing more. The others' overlaps with all members
+   are derived from the differences, through index lists of the differences whose members stand by size: the part
+   of a list that can't reach the threshold is skipped by position. Only links that join two
+   components are given out, so a group of thousands of near copies costs a row a member, not all pairs.
+5. Components come from repeated minimum labels over the links.
 
 Truncated hashes in the counting step can only add candidates. Shingle hashes have 64 bits; at
 n distinct shingles the chance of any collision is n^2 / 2^65.
@@ -44,8 +43,8 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: The part of the hash space whose elements are counted.
 REGION = 0.35
-#: Members of a block of an index list.
-BLOCK = 64
+#: Members of a star that are compared in one place; larger stars are dealt out by pairs of parts.
+MEMBERS = 5_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 
@@ -217,9 +216,9 @@ def _unpack(six: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _shared(batches: Iterator) -> Iterator:
-    """The rows of some ranges -> key and its elements that other sets hold too, as (element, count)
-    pairs. Ranges don't overlap, so those of one task can be counted together."""
+def _shared(batches: Iterator, buckets: int) -> Iterator:
+    """The rows of some ranges -> for each bucket of sets the (set, element, count) of elements that two or more
+    sets hold. Ranges don't overlap, so those of one task can be counted together."""
     import pyarrow as pa
 
     hs, owners = [], []
@@ -242,22 +241,41 @@ def _shared(batches: Iterator) -> Iterator:
     h, o, count = h[keep], o[keep], count[keep]
     order = np.argsort(o, kind="stable")
     h, o, count = h[order], o[order], count[order]
-    pairs = np.stack([h.view(np.int64), count.astype(np.int64)], 1)
-    cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1], [True]])) if len(o) else np.zeros(1, int)
+    bucket = (_mix(o.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], np.stack([o, h.view(np.int64), count.astype(np.int64)], 1)[order]
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([rows[a:b].tobytes()], pa.binary())], ["bucket", "rows"])
+
+
+def _merged(batches: Iterator) -> Iterator:
+    """Buckets of sets -> key and (element, count) pairs of each set, one row a set."""
+    import pyarrow as pa
+
+    held = [np.frombuffer(b, np.int64).reshape(-1, 3) for batch in batches for b in batch.column("rows").to_pylist()]
+    if not held:
+        return
+    rows = np.concatenate(held)
+    del held
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    cuts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+    pairs = np.ascontiguousarray(rows[:, 1:])
     for at in range(0, len(cuts) - 1, 4096):
         own = cuts[at : at + 4097]
-        yield pa.RecordBatch.from_arrays([pa.array(o[own[:-1]]), pa.array([pairs[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["key", "pairs"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[own[:-1], 0]), pa.array([pairs[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["key", "pairs"])
 
 
 def _prefixes(batches: Iterator, num: int, den: int) -> Iterator:
     """key, n, inside, beyond, pairs (of all ranges) -> one row for each element of the prefix that
-    other sets may have in theirs, with its position."""
+    other sets may have in theirs, and the number of counted elements that no other set holds."""
     import pyarrow as pa
 
     for batch in batches:
         out: list[list] = [[], [], [], []]
         for key, n, inside, beyond, blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            pairs = np.frombuffer(b"".join(blobs or []), np.int64).reshape(-1, 2)
+            pairs = np.frombuffer(blobs or b"", np.int64).reshape(-1, 2)
             alone, p = inside - len(pairs), int(prefix_length(n, num, den))
             take = np.lexsort((pairs[:, 0], pairs[:, 1]))[: max(0, p - alone)]
             rest = np.frombuffer(beyond, np.int64)[: max(0, p - inside)]
@@ -266,85 +284,82 @@ def _prefixes(batches: Iterator, num: int, den: int) -> Iterator:
             out[0] += [key] * len(elements)
             out[1] += elements
             out[2] += [n] * len(elements)
-            out[3] += [*range(alone, alone + len(take)), *range(inside, inside + len(rest))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "element", "n", "position"])
+            out[3] += [alone] * len(elements)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "element", "n", "alone"])
 
 
-def _groups(batches: Iterator, by: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """The groups of rows that are sorted by `by`, whole, as dicts of arrays."""
-    held: dict[str, np.ndarray] | None = None
+def _groups(batches: Iterator) -> Iterator[list[tuple]]:
+    """Rows that are sorted by their first three columns, in groups."""
+    held: list[tuple] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = {c: np.asarray(batch.column(i)) for i, c in enumerate(batch.schema.names)}
-        if held is not None:
-            now = {c: np.concatenate([held[c], now[c]]) for c in now}
-        change = np.zeros(len(now[by[0]]) - 1, bool)
-        for c in by:
-            change |= now[c][1:] != now[c][:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield {c: v[a:b] for c, v in now.items()}
-        held = {c: v[cuts[-1] :] for c, v in now.items()}
-    if held is not None:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
         yield held
 
 
-def _across(batches: Iterator, num: int, den: int) -> Iterator:
-    """Parts of index lists, sorted by size -> pairs of members of different components that can reach
-    the threshold. Blocks of members are skipped by size and by position."""
-    import pyarrow as pa
-
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for g in _groups(batches, ["element", "level", "lo", "hi"]):
-        n, pos, key, comp, home, side = g["n"], g["position"], g["key"], g["component"], g["home"], g["side"]
-        if comp.min() == comp.max():
-            continue
-        order = np.argsort(n, kind="stable")
-        n, pos, key, comp, home, side = (x[order] for x in (n, pos, key, comp, home, side))
-        for at in range(0, len(n), BLOCK):
-            block = slice(at, at + BLOCK)
-            # partners are no larger than the block's members; those too small for its smallest are skipped
-            first = np.searchsorted(n, -(-num * n[block][0] // den))
-            last = at + len(n[block])
-            x, y = np.arange(at, last)[:, None], np.arange(first, last)[None, :]
-            need = -(-num * (n[x] + n[y]) // (num + den))
-            reach = np.minimum(n[x] - pos[x], n[y] - pos[y])
-            ok = (y < x) & (home[x] | home[y]) & (comp[x] != comp[y]) & (den * n[y] >= num * n[x]) & (reach >= need) & ((side[x] != side[y]) | (g["lo"][0] == g["hi"][0]))
-            i, j = np.nonzero(ok)
-            if len(i):
-                out.append((key[x[i, 0]], key[y[0, j]]))
-        if sum(len(a) for a, _ in out) > 50_000:
-            yield _pair_batch(pa, out)
-            out = []
-    if out:
-        yield _pair_batch(pa, out)
-
-
-def _pair_batch(pa, out):
-    a, b = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def _links(batches: Iterator, num: int, den: int) -> Iterator:
-    """a, b and their sets -> the pairs that link."""
+def _compared(batches: Iterator, num: int, den: int) -> Iterator:
+    """Pairs of a star's centre and a member, with both sets -> whether they link, and the member as its difference from
+    the centre: the elements that it lacks, then those that it adds."""
     import pyarrow as pa
 
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        rows: list[list] = [[] for _ in range(6)]
+        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-            common = int((t[at] == s).sum())
-            keep.append(den * common >= num * (len(s) + len(t) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
-
+            there = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
+            lacks, adds = s[~there], t[s[np.minimum(np.searchsorted(s, t), len(s) - 1)] != t]
+            common = len(s) - len(lacks)
+            for column, v in zip(rows, (a, b, den * common >= num * (len(s) + len(t) - common), len(s), len(lacks), np.concatenate([lacks, adds]).tobytes()), strict=True):
+                column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.binary())], ["a", "b", "linked", "centre", "lacks", "difference"])
+
+
+def _within(batches: Iterator, num: int, den: int) -> Iterator:
+    """Members of a star -> links between them, as few as join what links. The overlap of two members follows
+    from their differences: |c| - lacks x - lacks y + what the differences share. Index lists of the differences hold the
+    members by size, and the part of a list whose sizes can't reach the threshold is skipped."""
+    import pyarrow as pa
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa"))
-    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return rows.mapInArrow(partial(_links, num=num, den=den), "a long, b long")
+    for g in _groups(batches):
+        g.sort(key=lambda r: (r[5] + (len(r[7]) // 8 - r[6]) - r[6], r[3]))
+        keys = np.array([r[3] for r in g], np.int64)
+        linked, side = np.array([r[4] for r in g]), np.array([r[8] for r in g])
+        centre, lacks = g[0][5], np.array([r[6] for r in g])
+        diffs = [np.frombuffer(r[7], np.uint64) for r in g]
+        sizes = np.array([len(d) for d in diffs])
+        n = centre - lacks + (sizes - lacks)
+        if linked.all() or len(g) < 2:
+            continue
+        flat, owner = np.concatenate(diffs), np.repeat(np.arange(len(g)), sizes)
+        _, token = np.unique(flat, return_inverse=True)
+        order = np.argsort(token, kind="stable")  # members of a list stay in order of size
+        lists, posts = np.searchsorted(token[order], np.arange(token.max() + 2 if len(token) else 1)), owner[order]
+        begins = np.cumsum(sizes) - sizes
+        root = np.where(linked, -1, np.arange(len(g)))  # -1: with the centre
+        out = []
+        for x in np.flatnonzero(~linked):
+            low, high = np.searchsorted(n, -(-num * n[x] // den)), np.searchsorted(n, den * n[x] // num, side="right")
+            shared = np.zeros(len(g), np.int64)
+            for t in token[begins[x] : begins[x] + sizes[x]]:
+                p = posts[lists[t] : lists[t + 1]]
+                shared[p[np.searchsorted(p, low) : np.searchsorted(p, high)]] += 1
+            y = np.arange(low, high)
+            common = centre - lacks[x] - lacks[y] + shared[y]
+            hit = y[(den * common >= num * (n[x] + n[y] - common)) & (y != x) & ((side[y] != side[x]) | (g[0][1] == g[0][2]))]
+            if not len(hit):
+                continue
+            _, firsts = np.unique(root[hit], return_index=True)
+            for other in hit[firsts]:
+                if root[other] != root[x]:
+                    out.append((keys[x], keys[other]))
+                    root[root == max(root[x], root[other])] = min(root[x], root[other])
+        if out:
+            a, b = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -379,34 +394,31 @@ def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     rows = cut(docs.mapInArrow(partial(_set_rows, **bound), "doc_id long, n long, key long, inside long, beyond binary"), "sets")
     ranges = partitions(spark)
     sent = docs.select("text").mapInArrow(partial(_spread, ranges=ranges), "part int, hashes binary, owners binary, keys binary")
-    shared = sent.repartition(ranges, "part").mapInArrow(_shared, "key long, pairs binary")
+    counted = sent.repartition(ranges, "part").mapInArrow(partial(_shared, buckets=ranges), "bucket int, rows binary")
+    shared = counted.repartition(ranges, "bucket").mapInArrow(_merged, "key long, pairs binary")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("beyond").alias("beyond"))
-    gathered = shared.groupBy("key").agg(F.collect_list("pairs").alias("pairs"))
     # a class without shared elements can only link by elements outside the region
-    wanted = classes.join(gathered, "key", "left").filter("pairs is not null or octet_length(beyond) > 0").select("key", "n", "inside", "beyond", "pairs")
-    lists = cut(wanted.mapInArrow(partial(_prefixes, **bound), "key long, element long, n long, position long"), "lists")
-    stars = lists.groupBy("element").agg(F.min(F.struct("key", "n")).alias("star"), F.count("*").alias("members")).filter("members > 1")
-    lists = cut(lists.join(stars, "element").select("key", "element", "n", "position", F.col("star.key").alias("a"), F.col("star.n").alias("an")), "lists")
-    fits = (F.col("n") * den >= F.col("an") * num) & (F.col("an") * den >= F.col("n") * num)
-    pairs = lists.filter((F.col("key") != F.col("a")) & fits).select("a", F.col("key").alias("b")).distinct()
-    named = lists.select("key").distinct().join(classes.select("key", "least"), "key")
+    wanted = classes.join(shared, "key", "left").filter("pairs is not null or octet_length(beyond) > 0").select("key", "n", "inside", "beyond", "pairs")
+    lists = cut(wanted.mapInArrow(partial(_prefixes, **bound), "key long, element long, n long, alone long"), "lists")
+    # the centre of a list is the member with the smallest part of its own: the least edited of copies
+    least = F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "key")).alias("star")
+    stars = lists.groupBy("element").agg(least, F.count("*").alias("members")).filter("members > 1").select("element", F.col("star.key").alias("a"))
+    pairs = cut(lists.select("key", "element").join(stars, "element").filter("key <> a").select("a", F.col("key").alias("b")).distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "least"), "key")
     texts = docs.join(named.withColumnRenamed("least", "doc_id"), "doc_id").select("key", "text")
     sets = cut(texts.mapInArrow(_key_sets, "key long, hashes binary").dropDuplicates(["key"]), "sets")
-    links = cut(verified(pairs, sets, num, den), "links")
-    found = components(links).withColumnRenamed("node", "key")
-    # members of one component share its answer; only pairs of different components are left
-    lists = lists.drop("a", "an").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = lists.groupBy("element").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members")).filter("c1 <> c2")
-    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("long")
-    parts = F.ceil(F.col("members") / 2000).cast("int")
-    left = lists.join(mixed.select("element", "members"), "element").withColumn("level", level).withColumn("parts", parts)
-    left = left.withColumn("side", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.withColumn("at", F.explode(F.array(F.struct(F.col("level").alias("l"), F.lit(True).alias("home")), F.struct((F.col("level") + 1).alias("l"), F.lit(False).alias("home")))))
-    left = left.select("element", F.col("at.l").alias("level"), F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", F.col("at.home").alias("home"), "n", "position", "key", "component")
-    dealt = left.repartition(ranges, "element", "level", "lo", "hi").sortWithinPartitions("element", "level", "lo", "hi")
-    more = cut(dealt.mapInArrow(partial(_across, **bound), "a long, b long").distinct(), "pairs")
-    more = cut(verified(more, sets, num, den), "links")
-    final = components(links.union(more)).withColumnRenamed("node", "key") if more.take(1) else found
+    left, right = sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    stars = cut(both.mapInArrow(partial(_compared, **bound), "a long, b long, linked boolean, centre long, lacks long, difference binary"), "stars")
+    # stars whose members don't all link to the centre are looked at once more, in parts if they are large
+    open_stars = stars.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("open")).filter("open > 0 and members > 1")
+    dealt = stars.join(open_stars, "a").withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("a", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "b", "linked", "centre", "lacks", "difference", "side")
+    dealt = dealt.repartition(ranges, "a", "lo", "hi").sortWithinPartitions("a", "lo", "hi")
+    more = dealt.mapInArrow(partial(_within, **bound), "a long, b long")
+    links = stars.filter("linked").select("a", "b").union(more)
+    final = components(links).withColumnRenamed("node", "key")
     merged = classes.select("key", "least").join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = merged.groupBy("component").agg(F.min("least").alias("component_id"))
     named = merged.join(least, "component").select("key", "component_id")
