@@ -44,7 +44,7 @@ LENGTH = 50
 GRAM = 20
 MOST_CONTEXTS = 50_000
 #: Bytes of text that are hashed together.
-SLICE = 1_500_000
+SLICE = 600_000
 #: Bits of a position within a slice of at most 64 MB, in the low end of an anchor's rank.
 PLACE = np.uint64((1 << 26) - 1)
 NO_ID = -(1 << 63)
@@ -196,7 +196,7 @@ def _send(batches: Iterator, paths: list[str], ranges: int) -> Iterator:
                 held.append((gram, context, np.arange(number, number + len(anchor), dtype=np.uint32), np.array(ids, np.int64)[doc] if len(doc) else np.zeros(0, np.int64)))
                 number += len(anchor)
                 size += len(anchor)
-                if size > 1_000_000:
+                if size > 400_000:
                     yield _dealt(pa, held, shard, ranges)
                     held, size = [], 0
             if size:
