@@ -31,7 +31,7 @@ def filter_array_contains(t: Tables) -> DataFrame:
 def filter_array_all_append(t: Tables) -> DataFrame:
     """Rows without a category, with that category appended."""
     held = F.coalesce("categories", F.array().cast("array<string>"))
-    out = t.posts.filter((F.col("id") % 3 == 0) & ~F.array_contains(held, "cat3"))
+    out = t.posts.filter(~F.array_contains(held, "cat3"))
     return out.select("id", F.lit(True).alias("untagged"), F.array_join(F.array_sort(F.array_union(held, F.array(F.lit("cat3")))), "|").alias("tagged"))
 
 
@@ -72,7 +72,7 @@ def join_left_keep_empty(t: Tables) -> DataFrame:
 def join_left_dims(t: Tables) -> DataFrame:
     p = t.products.select(F.col("id").alias("product_id"), F.col("code").alias("product"))
     f = t.platforms.select(F.col("id").alias("platform_id"), "region")
-    out = t.posts.filter("id % 5 = 0").join(p, "product_id", "left").join(f, "platform_id", "left")
+    out = t.posts.join(p, "product_id", "left").join(f, "platform_id", "left")
     return out.select("id", F.coalesce("product", F.lit("none")).alias("product"), F.coalesce("region", F.lit("none")).alias("region"))
 
 
