@@ -1,9 +1,12 @@
 """Queries give the whole job: every row of the tables that the operator is about."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.operators import primitives
+from feedloom.sources import files
 from feedloom.sources.posts import Tables
+from feedloom.streaming import events
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +25,15 @@ def test_left_join_keeps_all_posts(t):
     region = {r["id"]: r["region"] for r in t.platforms.collect()}
     got = {r["id"]: (r["product"], r["region"]) for r in primitives.join_left_dims(t).collect()}
     assert got == {r["id"]: (code.get(r["product_id"], "none"), region.get(r["platform_id"], "none")) for r in t.posts.select("id", "product_id", "platform_id").collect()}
+
+
+def test_sink_takes_all_events(t):
+    got = {r["event_type"]: r["n"] for r in events.st_idempotent_sink(t).collect()}
+    assert got == {r["event_type"]: r["count"] for r in t.table("events").groupBy("event_type").count().collect()}
+
+
+def test_export_takes_all_posts(t):
+    got = {r["label"]: (r["n"], r["chars"]) for r in files.sink_csv_gzip(t).collect()}
+    chars = F.coalesce(F.sum(F.length(F.array_join("categories", "|"))), F.lit(0))
+    want = t.posts.groupBy("label").agg(F.count("*").alias("n"), chars.alias("chars")).collect()
+    assert got == {r["label"]: (r["n"], r["chars"]) for r in want}
