@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from feedloom.llm import byte_bpe, quality_model, set_join, source_mix, surrogates
 from feedloom.llm.common import cut, documents, table
 
+#: Words of a shingle and similarity of near copies in the pipeline; op5's contract has values of its own.
+NEAR = {"num": 80, "den": 100, "shingle": 5}
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject (score of 0.5 and more)."""
@@ -23,11 +26,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_ids repeat or are null, rows are told apart by a row number."""
     ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if ids[0] == ids[1]:
-        found = set_join.similar_components(docs)
+        found = set_join.similar_components(docs, **NEAR)
         firsts = found.filter("doc_id = component_id").select("doc_id")
         return docs.join(firsts, "doc_id", "left_semi").select(*docs.columns)
     marked = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = set_join.similar_components(marked, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    found = set_join.similar_components(marked, **NEAR, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
     named = found.join(marked.select("__row", "doc_id"), "__row")
     firsts = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x")).select(F.col("x.__row").alias("__row"))
     return marked.join(firsts, "__row", "left_semi").select(*docs.columns)

@@ -1,6 +1,6 @@
 """N-gram Jaccard join: exact self-join of shingle sets, and its connected components.
 
-Sets are distinct 4-word shingles, as 64-bit hashes. Two sets link when their Jaccard
+Sets are distinct shingles of 4 words, or as many as asked for, as 64-bit hashes. Two sets link when their Jaccard
 similarity reaches the threshold. The work is dealt out in these steps:
 
 1. Equal sets become one class, so copies cost one set, however many there are.
@@ -22,7 +22,7 @@ Truncated hashes in the counting step can only add candidates. Shingle hashes ha
 n distinct shingles the chance of any collision is n^2 / 2^65.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a
-text of fewer than 4 words is one shingle; equal texts link (similarity 1); rows with
+text of fewer words than a shingle is one shingle; equal texts link (similarity 1); rows with
 equal doc_id are one document each and give a row each; an empty table gives no rows;
 extra columns are ignored.
 """
@@ -139,7 +139,7 @@ def _key(s: np.ndarray) -> int | None:
     return int(_mix(x + np.uint64(len(s))).view(np.int64)[0])
 
 
-def _set_rows(batches: Iterator, num: int, den: int) -> Iterator:
+def _set_rows(batches: Iterator, num: int, den: int, size: int) -> Iterator:
     """doc_id, text -> doc_id, n, key, inside (elements in the counted region) and beyond (the
     elements outside it that the prefix may need)."""
     import pyarrow as pa
@@ -147,7 +147,7 @@ def _set_rows(batches: Iterator, num: int, den: int) -> Iterator:
     for batch in batches:
         at = 0
         for texts in _slices(batch.column(1)):
-            sets = shingles(texts)
+            sets = shingles(texts, size)
             inside = [int(np.searchsorted(s, _region())) for s in sets]
             beyond = [s[i : max(i, int(prefix_length(len(s), num, den)))].tobytes() if len(s) else b"" for s, i in zip(sets, inside, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -157,14 +157,14 @@ def _set_rows(batches: Iterator, num: int, den: int) -> Iterator:
             at += len(texts)
 
 
-def _key_sets(batches: Iterator) -> Iterator:
+def _key_sets(batches: Iterator, size: int) -> Iterator:
     """key, text -> key and the set's hashes, where the text has that key."""
     import pyarrow as pa
 
     for batch in batches:
         at, keys = 0, batch.column(0).to_pylist()
         for texts in _slices(batch.column(1)):
-            got = [(k, s.tobytes()) for k, s in zip(keys[at : at + len(texts)], shingles(texts), strict=True) if _key(s) == k]
+            got = [(k, s.tobytes()) for k, s in zip(keys[at : at + len(texts)], shingles(texts, size), strict=True) if _key(s) == k]
             at += len(texts)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["key", "hashes"])
 
@@ -173,7 +173,7 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(ranges) // ((_region() >> np.uint64(32)) + np.uint64(1))).astype(np.int64)
 
 
-def _spread(batches: Iterator, ranges: int) -> Iterator:
+def _spread(batches: Iterator, ranges: int, words: int) -> Iterator:
     """text -> rows (part, hashes, owners, keys): the counted elements of many sets, sorted, by range.
     hashes are the upper 6 bytes; owners point into keys. Equal sets of a slice are sent once."""
     import pyarrow as pa
@@ -181,7 +181,7 @@ def _spread(batches: Iterator, ranges: int) -> Iterator:
     held, size = {}, 0
     for batch in batches:
         for texts in _slices(batch.column(0)):
-            for s in shingles(texts):
+            for s in shingles(texts, words):
                 if (k := _key(s)) is not None:
                     held[k] = s[: np.searchsorted(s, _region())].copy()
                     size += len(held[k])
@@ -386,14 +386,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(e.select("v", "v").distinct())
 
 
-def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     bound = {"num": num, "den": den}
-    rows = cut(docs.mapInArrow(partial(_set_rows, **bound), "doc_id long, n long, key long, inside long, beyond binary"), "sets")
+    rows = cut(docs.mapInArrow(partial(_set_rows, **bound, size=shingle), "doc_id long, n long, key long, inside long, beyond binary"), "sets")
     ranges = partitions(spark)
-    sent = docs.select("text").mapInArrow(partial(_spread, ranges=ranges), "part int, hashes binary, owners binary, keys binary")
+    sent = docs.select("text").mapInArrow(partial(_spread, ranges=ranges, words=shingle), "part int, hashes binary, owners binary, keys binary")
     counted = sent.repartition(ranges, "part").mapInArrow(partial(_shared, buckets=ranges), "bucket int, rows binary")
     shared = counted.repartition(ranges, "bucket").mapInArrow(_merged, "key long, pairs binary")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("beyond").alias("beyond"))
@@ -406,7 +406,7 @@ def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     pairs = cut(lists.select("key", "element").join(stars, "element").filter("key <> a").select("a", F.col("key").alias("b")).distinct(), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "least"), "key")
     texts = docs.join(named.withColumnRenamed("least", "doc_id"), "doc_id").select("key", "text")
-    sets = cut(texts.mapInArrow(_key_sets, "key long, hashes binary").dropDuplicates(["key"]), "sets")
+    sets = cut(texts.mapInArrow(partial(_key_sets, size=shingle), "key long, hashes binary").dropDuplicates(["key"]), "sets")
     left, right = sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     stars = cut(both.mapInArrow(partial(_compared, **bound), "a long, b long, linked boolean, centre long, lacks long, difference binary"), "stars")

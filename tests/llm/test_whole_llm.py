@@ -1,8 +1,9 @@
 """Training-data operators give the whole job on inputs with copies."""
 
+import corpus_pipeline
 from cases import prose
 
-from feedloom.llm import main_text
+from feedloom.llm import main_text, set_join
 
 
 def test_copied_pages_without_article_keep_their_texts(spark):
@@ -27,3 +28,25 @@ def test_a_menu_of_short_items_is_one_string(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><ul>{menu}</ul><div>{prose(i, 40)}</div></body>") for i in range(3)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in main_text.extract(df).collect()} == {i: prose(i, 40) for i in range(3)}
+
+
+def test_pipeline_links_near_copies_by_five_words(spark):
+    base = prose(1, 51).split()
+    inner = [*base[:25], "other", *base[26:]]  # 42 of 52 five-word shingles
+    docs = [(9, base), (2, inner), (5, [*inner[:12], "more", *inner[13:]]), (7, prose(2, 51).split()), (1, "a b c d".split()), (3, "a b c d".split()), (4, [])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+
+    def shingles(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    sets = [(i, shingles(w)) for i, w in docs]
+    group = {i: i for i, _ in docs}
+    for i, s in sets:
+        for j, x in sets:
+            if s and x and 100 * len(s & x) >= 80 * len(s | x):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert got == set(group.values()) and len(got) < len(docs)
+    found = set_join.similar_components(df, **corpus_pipeline.NEAR).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(s), group[i]) for i, s in sets}
