@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries per partition.
 
-The rank file becomes a merge table (left id, right id, merged id). In a task, the
-distinct pieces not seen before are put into a table of token-position rows; a recursive
-query joins neighbouring rows with the merge table and contracts, in each word, the leftmost pair of
-minimum rank, until no pair is left. Decoding joins ids with the vocabulary and aggregates
-the bytes in position order. A worker keeps the ids of chunks it has met, so a document
-costs one lookup a chunk. The rank file (bounded by the vocabulary) is read on the driver
-and broadcast.
+The rank file becomes a merge table (pair of tokens, rank of the merged one). In a task, the
+distinct pieces not seen before become words of tokens, a character each. A recursive
+query turns every word into token-position rows, joins neighbouring rows with the merge table and contracts, in each
+word, the leftmost pair of minimum rank, until no pair is left. Decoding joins ids with the vocabulary and aggregates
+the bytes in position order. A task keeps the ids of chunks it has met, so a document
+costs one lookup a chunk; the cache is bounded and dropped at the end of the task. The rank file
+(bounded by the vocabulary) is read on the driver and broadcast.
 
-Pieces longer than LONG bytes would need as many rounds as they have tokens; they go
-through the same contraction with a heap instead, which gives the same ids.
+Pieces of any length go this way. Two facts keep the rounds of long ones few, and change no result:
+
+* no merge crosses two neighbouring bytes that stand beside each other in no token, so a piece is cut there into words;
+* a round contracts all occurrences of the pair of minimum rank at a time, from the left, if no token that
+  holds the merged one has a lower rank, since then no pair that arises comes before the next occurrence. Else it contracts the leftmost alone.
 
 Defined cases: null and empty texts have no tokens; repeated rows are encoded alike; very
 long texts are used whole; an empty table gives no rows; extra columns are ignored unless
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +30,24 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chunks
 from .common import documents
 
-LONG = 48
-#: Words that one recursive query works on, to bound its memory.
-WORDS = 20_000
-
-ENCODE = """
-with recursive st(w, toks) as (
-  select w, list(t order by p) from seed group by w
-  union all
-  select s.w, s.toks[:m.k & 1023] || [(m.k >> 10)::integer] || s.toks[(m.k & 1023) + 3:]
-  from st s join (
-    select w, min((mt.merged::bigint << 10) | p) as k
-    from (select w, unnest(range(len(toks) - 1)) as p, unnest(toks[:-2]) as l, unnest(toks[2:]) as r from st where len(toks) > 1) x
-    join merges mt on mt.pair = (x.l::bigint << 32) | x.r
-    group by w) m using (w))
-select w, arg_min(toks, len(toks)) as toks from st group by w order by w
+#: Bytes of words that one recursive query works on, to bound its memory.
+BYTES = 200_000
+#: Token 0 as a character: the planes from there on hold no surrogates.
+ZERO = 0x20000
+
+ENCODE = f"""
+with recursive st(w, s) using key (w) as (
+  select w, s from seed
+  union
+  select w, case when k & 1 = 1 then s[:(k >> 1 & 2147483647) - 1] || chr((k >> 32)::integer + {ZERO}) || s[(k >> 1 & 2147483647) + 2:]
+    else replace(s, s[(k >> 1 & 2147483647):(k >> 1 & 2147483647) + 1], chr((k >> 32)::integer + {ZERO})) end
+  from (
+    select w, any_value(s) as s, min((m.merged::bigint << 32) | (p << 1) | m.alone) as k
+    from (select w, s, unnest(range(1, len(c))) as p, unnest(c[:-2]) || unnest(c[2:]) as pair
+          from (select w, s, string_split(s, '') as c from st where length(s) > 1)) x
+    join merges m using (pair)
+    group by w))
+select s from st order by w
 """
 DECODE = """
 select x.w, string_agg(hex(v.b), '' order by x.p) as h
@@ -60,81 +65,95 @@ class Bpe:
 
     def __init__(self, data: bytes, pattern: str):
         import duckdb
+        import numpy as np
         import pyarrow as pa
         import regex
 
         self.ranks = read_ranks(data)
         self.pattern = regex.compile(pattern)
-        self.byte = [self.ranks.get(bytes([b]), -1) for b in range(256)]
-        if min(self.byte) < 0:
+        if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("the rank file lacks single bytes")
+        self.byte = {b: chr(self.ranks[bytes([b])] + ZERO) for b in range(256)}
         ranks = self.ranks
-        pairs = [((ranks[b[:i]] << 32) | ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
+        pairs = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
+        low = {x for a, b, r in pairs for x in (a, b) if x > r}  # tokens that are part of one of lower rank
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-        self.con.register("m", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "merged": pa.array([r for _, r in pairs], pa.int32())}))
+        self.con.register("m", pa.table({"pair": [chr(a + ZERO) + chr(b + ZERO) for a, b, _ in pairs], "merged": pa.array([r for *_, r in pairs], pa.int32()), "alone": pa.array([int(r in low) for *_, r in pairs], pa.int64())}))
         self.con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "b": pa.array(list(ranks), pa.binary())}))
         self.con.execute("create table merges as select * from m; create table vocab as select * from v")
+        flat = np.frombuffer(b"".join(ranks), np.uint8).astype(np.int64)
+        last = np.cumsum([len(b) for b in ranks])[:-1] - 1
+        beside = np.delete(flat[:-1] * 256 + flat[1:], last)
+        self.beside = np.bincount(beside, minlength=1 << 16) > 0
         self.encoder = chunks.Encoder(self.encode_chunks, "<u4" if max(ranks.values()) > 65535 else "<u2")
+        #: The tokens themselves, as stored ids.
+        self.stored = {b: np.array([r], self.encoder.dtype).tobytes() for b, r in ranks.items()}
         self.decoded: dict[bytes, bytes] = {}
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """ids of words, each merged by itself."""
+    def clear(self) -> None:
+        self.encoder.clear()
+        self.decoded = {}
+
+    def words(self, pieces: list[bytes]) -> list[list[bytes]]:
+        """Pieces, cut where no merge can cross."""
+        import numpy as np
+
+        out = [[p] for p in pieces]
+        if not pieces:
+            return out
+        flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(p) for p in pieces])
+        apart = ~self.beside[flat[:-1] * 256 + flat[1:]]
+        apart[ends[:-1] - 1] = False
+        cuts = np.flatnonzero(apart) + 1
+        owner = np.searchsorted(ends, cuts, side="right")
+        for i, own in zip(np.unique(owner).tolist(), np.split(cuts, np.flatnonzero(np.diff(owner)) + 1), strict=True) if len(cuts) else ():
+            p = pieces[i]
+            at = [0, *(own - (ends[i] - len(p))).tolist(), len(p)]
+            out[i] = [p[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
+
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """ids, as they are stored, of words, each merged by itself."""
         import numpy as np
         import pyarrow as pa
 
-        out: list[list[int]] = []
-        for at in range(0, len(words), WORDS):
-            part = words[at : at + WORDS]
-            lens = np.array([len(w) for w in part])
-            ends = np.cumsum(lens)
-            flat = np.frombuffer(b"".join(part), np.uint8)
-            seed = pa.table({"w": np.repeat(np.arange(len(part), dtype="i4"), lens), "p": (np.arange(len(flat)) - np.repeat(ends - lens, lens)).astype("i4"), "t": np.array(self.byte, "i4")[flat]})
-            self.con.register("seed", seed)
-            out += self.con.sql(ENCODE).to_arrow_table()["toks"].to_pylist()
+        out: list[bytes] = []
+        if not words:
+            return out
+        ends = np.cumsum([len(w) for w in words])
+        cuts = [0, *(np.flatnonzero(np.diff(ends // BYTES)) + 1).tolist(), len(words)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            seed = [w.decode("latin-1").translate(self.byte) for w in words[low:high]]
+            self.con.register("seed", pa.table({"w": np.arange(len(seed), dtype="i4"), "s": seed}))
+            done = self.con.sql(ENCODE).to_arrow_table()["s"].to_pylist()
+            ids = (np.frombuffer("".join(done).encode("utf-32-le"), "<u4") - np.uint32(ZERO)).astype(self.encoder.dtype).tobytes()
+            at = (np.concatenate([[0], np.cumsum([len(s) for s in done])]) * np.dtype(self.encoder.dtype).itemsize).tolist()
+            out += [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The stored ids of each piece."""
+        known, out, names, raw = self.stored, {}, [], []
+        for p in pieces:
+            b = p.encode()
+            if (k := known.get(b)) is not None:
+                out[p] = k
+            else:
+                names.append(p)
+                raw.append(b)
+        split = self.words(raw)
+        todo = list({w for ws in split for w in ws if w not in known})
+        ids = dict(zip(todo, self.contract(todo), strict=True))
+        for p, ws in zip(names, split, strict=True):
+            out[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids.get(w) or known[w] for w in ws])
         return out
 
-    def heap(self, word: bytes) -> list[int]:
-        """The same contraction for a long word: pairs in a heap, tokens in a linked list."""
-        toks = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(toks) + 1)), list(range(-1, len(toks) - 1))
-        ranks, queue = self.ranks, []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < len(toks) and (r := ranks.get(toks[i] + toks[j])) is not None:
-                heapq.heappush(queue, (r, i, len(toks[i]) + len(toks[j])))
-
-        for i in range(len(toks) - 1):
-            push(i)
-        while queue:
-            r, i, n = heapq.heappop(queue)
-            if not toks[i] or after[i] >= len(toks):
-                continue
-            j = after[i]
-            if len(toks[i]) + len(toks[j]) != n or ranks.get(toks[i] + toks[j]) != r:
-                continue
-            toks[i], toks[j] = toks[i] + toks[j], b""
-            after[i] = after[j]
-            if after[j] < len(toks):
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return [ranks[t] for t in toks if t]
-
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        raw = [p.encode() for p in pieces]
-        out = [[self.ranks[w]] if w in self.ranks else self.heap(w) if len(w) > LONG else None for w in raw]
-        todo = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(todo, self.contract([raw[i] for i in todo]), strict=True):
-            out[i] = ids
-        return out  # type: ignore[return-value]
-
-    def encode_chunks(self, texts: list[str]) -> list[list[int]]:
-        split = [self.pattern.findall(t) for t in texts]
-        distinct = list({p for s in split for p in s})
-        ids = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
-        return [[i for p in s for i in ids[p]] for s in split]
+    def encode_chunks(self, texts: list[str]) -> list[bytes]:
+        find = self.pattern.findall
+        split = [find(t) for t in texts]
+        ids = self.encode_pieces(list({p for s in split for p in s}))
+        return [ids[s[0]] if len(s) == 1 else b"".join([ids[p] for p in s]) for s in split]
 
     def decode(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """Bytes of runs of ids, which come as they are stored."""
@@ -144,9 +163,8 @@ class Bpe:
         missing = list({r for r in runs if r not in self.decoded and r})
         fresh = {b"": b""}
         if missing:
-            parts = [np.frombuffer(r, self.encoder.dtype) for r in missing]
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("i4")
-            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype("i4")))
+            offsets = (np.cumsum([0, *[len(r) for r in missing]]) // np.dtype(self.encoder.dtype).itemsize).astype("i4")
+            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(missing), self.encoder.dtype).astype("i4")))
             self.con.register("ids", pa.table({"w": np.arange(len(missing), dtype="i4"), "toks": toks}))
             fresh |= dict(zip(missing, map(bytes.fromhex, self.con.sql(DECODE).to_arrow_table()["h"].to_pylist()), strict=True))
         if len(self.decoded) < chunks.CACHE:
@@ -159,7 +177,7 @@ _OPEN: dict[tuple, Bpe] = {}
 
 
 def opened(data: bytes, pattern: str) -> Bpe:
-    """One Bpe a process: workers are used again, and so are their caches."""
+    """One Bpe a process: workers are used again, and so are their merge tables."""
     key = (hashlib.sha256(data).digest(), pattern)
     if key not in _OPEN:
         _OPEN.clear()
@@ -208,6 +226,7 @@ def _run(docs: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: s
                 kind = pa.string() if digests else pa.binary()
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, kind)], [*kept, "n_tokens", *names])
                 at += len(texts)
+        bpe.clear()
 
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     kind = T.StringType() if digests else T.BinaryType()

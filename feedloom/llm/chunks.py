@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Cached chunks a worker, about 150 bytes each.
-CACHE = 1_200_000
+#: Cached chunks a task, about 150 bytes each; what doesn't fit is encoded again where it recurs.
+CACHE = 500_000
 #: Characters handled at a time, so that a worker's memory doesn't follow the batch size.
 SLICE = 4_000_000
 
@@ -35,8 +35,14 @@ class Encoder:
         self.first: dict[str, bytes] = {"": b""}
         self.later: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        """At the end of a task, so that a worker that waits holds no more than when it started."""
+        self.first = {"": b""}
+        self.later = {}
+
     def _stored(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(i, self.dtype).tobytes() for i in self.encode_many(texts)] if texts else []
+        """Ids of texts as they are stored; encode_many may give them so."""
+        return [i if isinstance(i, bytes) else np.asarray(i, self.dtype).tobytes() for i in self.encode_many(texts)] if texts else []
 
     def _fill(self, known: dict, missing: list[str], lead: str):
         fresh = dict(zip(missing, self._stored([c if c[:1] == "\n" else lead + c for c in missing]), strict=True))

@@ -6,29 +6,38 @@ similarity reaches the threshold. The work is dealt out in these steps:
 1. Equal sets become one class, so copies cost one set, however many there are.
 2. Every set is put into one global order of its elements: those of a hash region (REGION of
    all hashes) by how many sets hold them, then the rest by hash. Two linked sets share
-   an element among the first |x| - ceil(t |x|) + 1 of each (prefix filter). Counting sends packed arrays of
+   an element among the first |x| - ceil(t |x|) + 1 of each, and the smaller one has it among its first
+   |x| - ceil(2t / (1 + t) |x|) + 1 (prefix filter). Counting sends packed arrays of
    hashes to hash ranges; only elements that two or more sets hold come back, and a set
    with too few of those has no partner and leaves.
-3. Each index list (an element and the sets with it in their prefix) is a star: its members are compared with one of
-   them, the least edited one, whose answer is computed in full; each member is kept as its
-   difference from that centre.
-4. Members that link to the centre share its component and need nothing more. The others' overlaps with all members
-   are derived from the differences, through index lists of the differences whose members stand by size: the part
-   of a list that can't reach the threshold is skipped by position. Only links that join two
+3. An index list (an element and the sets with it in their prefix) is cut into blocks by size. A block holds
+   the sets that can be the smaller of a pair (lower ones) and those that can be the larger; sets that no lower one of the
+   block can reach by size, or by the position of the element in them, are skipped.
+4. Each block is a star: its members are compared with one of its lower sets, the least edited one, whose answer is
+   computed in full; each member is kept as its difference from that centre. The centre is sent once a star, or once a part of a
+   large star, never once a pair.
+5. Members that link to the centre share its component and need nothing more. The others' answers
+   are derived from the centre's: overlaps follow from the differences, through index lists of the differences whose members stand by
+   size, so that the part of a list that can't reach the threshold is skipped by position. Only links that join two
    components are given out, so a group of thousands of near copies costs a row a member, not all pairs.
-5. Components come from repeated minimum labels over the links.
+6. Components come from repeated minimum labels over the links.
+
+Memory a task doesn't follow the input: hash ranges are as many as keep ELEMENTS elements in one, a task reads its
+ranges one after the other in sorted order, and a star of over MEMBERS members is dealt out in parts.
 
 Truncated hashes in the counting step can only add candidates. Shingle hashes have 64 bits; at
 n distinct shingles the chance of any collision is n^2 / 2^65.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a
 text of fewer words than a shingle is one shingle; equal texts link (similarity 1); rows with
-equal doc_id are one document each and give a row each; an empty table gives no rows;
-extra columns are ignored.
+equal doc_id are one document each and give a row each; rows with a null doc_id link like others and take the
+least doc_id of their component, which is null if none of its rows has one; very long texts are used whole; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,8 +52,10 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: The part of the hash space whose elements are counted.
 REGION = 0.35
-#: Members of a star that are compared in one place; larger stars are dealt out by pairs of parts.
-MEMBERS = 5_000
+#: Counted elements of a hash range, which a task holds at a time.
+ELEMENTS = 1_000_000
+#: Members of a star that are compared in one place; larger stars are dealt out in parts, then by pairs of parts.
+MEMBERS = 4_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 
@@ -140,19 +151,19 @@ def _key(s: np.ndarray) -> int | None:
 
 
 def _set_rows(batches: Iterator, num: int, den: int, size: int) -> Iterator:
-    """doc_id, text -> doc_id, n, key, inside (elements in the counted region) and beyond (the
+    """doc_id, place, text -> doc_id, place, n, key, inside (elements in the counted region) and beyond (the
     elements outside it that the prefix may need)."""
     import pyarrow as pa
 
     for batch in batches:
         at = 0
-        for texts in _slices(batch.column(1)):
+        for texts in _slices(batch.column(2)):
             sets = shingles(texts, size)
             inside = [int(np.searchsorted(s, _region())) for s in sets]
             beyond = [s[i : max(i, int(prefix_length(len(s), num, den)))].tobytes() if len(s) else b"" for s, i in zip(sets, inside, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), pa.array(inside, pa.int64()), pa.array(beyond, pa.binary())],
-                ["doc_id", "n", "key", "inside", "beyond"],
+                [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), pa.array(inside, pa.int64()), pa.array(beyond, pa.binary())],
+                ["doc_id", "place", "n", "key", "inside", "beyond"],
             )
             at += len(texts)
 
@@ -216,150 +227,226 @@ def _unpack(six: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _by_first(batches: Iterator) -> Iterator[list[tuple]]:
+    """Rows that are sorted by their first column, in groups of equal values."""
+    held: list[tuple] = []
+    for batch in batches:
+        for i, first in enumerate(batch.column(0).to_pylist()):
+            if held and first != held[0][0]:
+                yield held
+                held = []
+            held.append((first, *[c[i].as_py() for c in batch.columns[1:]]))
+    if held:
+        yield held
+
+
 def _shared(batches: Iterator, buckets: int) -> Iterator:
-    """The rows of some ranges -> for each bucket of sets the (set, element, count) of elements that two or more
-    sets hold. Ranges don't overlap, so those of one task can be counted together."""
+    """The rows of hash ranges, sorted by range -> for each bucket of sets the (set, element, count) of elements that two
+    or more sets hold."""
     import pyarrow as pa
 
-    hs, owners = [], []
-    for batch in batches:
-        for h, o, k in zip(batch.column("hashes").to_pylist(), batch.column("owners").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-            hs.append(_unpack(h))
-            owners.append(np.frombuffer(k, np.int64)[np.frombuffer(o, np.uint16)])
-    if not hs:
-        return
-    h, o = np.concatenate(hs), np.concatenate(owners)
-    del hs, owners
-    order = np.lexsort((o, h))
-    h, o = h[order], o[order]
-    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])  # equal sets came from several tasks
-    h, o = h[fresh], o[fresh]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    count = np.diff(np.concatenate([new, [len(h)]]))
-    count = np.repeat(count, count)
-    keep = count > 1
-    h, o, count = h[keep], o[keep], count[keep]
-    order = np.argsort(o, kind="stable")
-    h, o, count = h[order], o[order], count[order]
-    bucket = (_mix(o.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, rows = bucket[order], np.stack([o, h.view(np.int64), count.astype(np.int64)], 1)[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if b > a:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([rows[a:b].tobytes()], pa.binary())], ["bucket", "rows"])
+    for rows in _by_first(batches):
+        h = np.concatenate([_unpack(r[1]) for r in rows])
+        o = np.concatenate([np.frombuffer(r[3], np.int64)[np.frombuffer(r[2], np.uint16)] for r in rows])
+        del rows
+        order = np.argsort(h, kind="stable")
+        h, o = h[order], o[order]
+        twice = h[1:] == h[:-1]
+        keep = np.concatenate([[False], twice]) | np.concatenate([twice, [False]])
+        h, o = h[keep], o[keep]
+        order = np.lexsort((o, h))
+        h, o = h[order], o[order]
+        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])[: len(h)]  # equal sets came from several tasks
+        h, o = h[fresh], o[fresh]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        count = np.diff(np.concatenate([new, [len(h)]]))
+        count = np.repeat(count, count)
+        keep = count > 1
+        if not keep.any():
+            continue
+        h, o, count = h[keep], o[keep], count[keep]
+        bucket = (_mix(o.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((o, bucket))
+        bucket, table = bucket[order], np.stack([o[order], h[order].view(np.int64), count[order].astype(np.int64)], 1)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([table[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "rows"])
 
 
 def _merged(batches: Iterator) -> Iterator:
-    """Buckets of sets -> key and (element, count) pairs of each set, one row a set."""
+    """Buckets of sets, sorted by bucket -> key and (element, count) pairs of each set, one row a set."""
     import pyarrow as pa
 
-    held = [np.frombuffer(b, np.int64).reshape(-1, 3) for batch in batches for b in batch.column("rows").to_pylist()]
-    if not held:
-        return
-    rows = np.concatenate(held)
-    del held
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    cuts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
-    pairs = np.ascontiguousarray(rows[:, 1:])
-    for at in range(0, len(cuts) - 1, 4096):
-        own = cuts[at : at + 4097]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[own[:-1], 0]), pa.array([pairs[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["key", "pairs"])
+    for group in _by_first(batches):
+        rows = np.concatenate([np.frombuffer(r[1], np.int64).reshape(-1, 3) for r in group])
+        del group
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+        pairs = np.ascontiguousarray(rows[:, 1:])
+        for at in range(0, len(cuts) - 1, 4096):
+            own = cuts[at : at + 4097]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[own[:-1], 0]), pa.array([pairs[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["key", "pairs"])
 
 
 def _prefixes(batches: Iterator, num: int, den: int) -> Iterator:
     """key, n, inside, beyond, pairs (of all ranges) -> one row for each element of the prefix that
-    other sets may have in theirs, and the number of counted elements that no other set holds."""
+    other sets may have in theirs, with its position and the number of counted elements that no other set holds."""
     import pyarrow as pa
 
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for key, n, inside, beyond, blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             pairs = np.frombuffer(blobs or b"", np.int64).reshape(-1, 2)
             alone, p = inside - len(pairs), int(prefix_length(n, num, den))
             take = np.lexsort((pairs[:, 0], pairs[:, 1]))[: max(0, p - alone)]
             rest = np.frombuffer(beyond, np.int64)[: max(0, p - inside)]
             # elements of the region have 6 bytes, so they can't be taken for others
-            elements = pairs[take, 0].tolist() + rest.tolist()
-            out[0] += [key] * len(elements)
-            out[1] += elements
-            out[2] += [n] * len(elements)
-            out[3] += [alone] * len(elements)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "element", "n", "alone"])
+            out[0] += [key] * (len(take) + len(rest))
+            out[1] += pairs[take, 0].tolist() + rest.tolist()
+            out[2] += [n] * (len(take) + len(rest))
+            out[3] += [*range(alone, alone + len(take)), *range(inside, inside + len(rest))]
+            out[4] += [alone] * (len(take) + len(rest))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "element", "n", "position", "alone"])
+
+
+def stars(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """key, element, n, position, alone -> pairs (a, b, low) of a centre and a member. low: b can be the smaller of a pair in
+    some block of that centre."""
+    step = 1.0001 * math.log(den / num) if num < den else 1.0  # a pair's sizes are in one band or in neighbouring ones
+    n, p = F.col("n"), F.col("position")
+    low = p < n - F.ceil(2 * num * n / F.lit(num + den)) + 1
+    rows = lists.select("key", "element", "n", "position", "alone", low.alias("low"), F.floor(F.log(n.cast("double")) / step).alias("band"))
+    rows = rows.select("key", "element", "n", "position", "alone", F.explode(F.array(F.struct("band", "low"), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("low")))).alias("x"))
+    rows = rows.select("key", "element", "n", "position", "alone", "x.band", "x.low")
+    lower = lambda x: F.when(F.col("low"), x)
+    blocks = rows.groupBy("element", "band").agg(
+        F.min(lower(F.struct((F.col("alone") / n).alias("own"), "key"))).alias("centre"), F.min(lower(n)).alias("least"), F.max(lower(n)).alias("most"), F.count("*").alias("members")
+    )
+    blocks = blocks.filter("members > 1 and centre is not null").select("element", "band", F.col("centre.key").alias("a"), "least", "most")
+    met = rows.join(blocks, ["element", "band"]).filter(F.col("key") != F.col("a"))
+    met = met.filter((n >= F.col("least")) & (num * n <= den * F.col("most")) & ((n - p) * (num + den) >= num * (n + F.col("least"))))
+    return met.groupBy("a", F.col("key").alias("b")).agg(F.max("low").alias("low"))
+
+
+def _difference(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What t lacks of s, and what it adds."""
+    there = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
+    return s[~there], t[s[np.minimum(np.searchsorted(s, t), len(s) - 1)] != t]
+
+
+class _Star:
+    """Members of a star as their differences from the centre."""
+
+    def __init__(self, centre: int, num: int, den: int):
+        self.centre, self.num, self.den = centre, num, den
+        self.keys: list[int] = []
+        self.lacks: list[int] = []
+        self.diffs: list[np.ndarray] = []
+        self.low: list[bool] = []
+        self.linked: list[bool] = []
+        self.side: list[int] = []
+
+    def add(self, key: int, low: bool, lacks: int, difference: np.ndarray, side: int = 0) -> None:
+        n = self.centre - lacks + len(difference) - lacks
+        common = self.centre - lacks
+        self.keys.append(key)
+        self.low.append(low)
+        self.lacks.append(lacks)
+        self.diffs.append(difference)
+        self.side.append(side)
+        self.linked.append(self.den * common >= self.num * (self.centre + n - common))
+
+    def links(self, between: bool = False) -> list[tuple[int, int]]:
+        """Links of members that don't link to the centre, as few as join what links. The overlap of two members follows
+        from their differences: |c| - lacks x - lacks y + what the differences share. between: only links of two sides."""
+        if all(self.linked) or not any(self.low) or len(self.keys) < 2:
+            return []
+        num, den, m = self.num, self.den, len(self.keys)
+        sizes = np.array([len(d) for d in self.diffs])
+        lacks = np.array(self.lacks)
+        by_size = np.lexsort((np.array(self.keys), self.centre - 2 * lacks + sizes))
+        keys, lacks, sizes = np.array(self.keys)[by_size], lacks[by_size], sizes[by_size]
+        low, linked, side = (np.array(x)[by_size] for x in (self.low, self.linked, self.side))
+        n = self.centre - 2 * lacks + sizes
+        flat, owner = np.concatenate([self.diffs[i] for i in by_size]), np.repeat(np.arange(m), sizes)
+        _, token = np.unique(flat, return_inverse=True)
+        posts = np.sort(token * m + owner)  # the index lists, one after the other, members by size
+        begins = np.cumsum(sizes) - sizes
+        root = np.where(linked, -1, np.arange(m))  # -1: with the centre
+        out = []
+        for x in np.flatnonzero(~linked):
+            first, last = np.searchsorted(n, -(-num * n[x] // den)), np.searchsorted(n, den * n[x] // num, side="right")
+            own = token[begins[x] : begins[x] + sizes[x]] * m
+            a, b = np.searchsorted(posts, own + first), np.searchsorted(posts, own + last)
+            length = b - a
+            at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(length.sum())
+            y = np.arange(first, last)
+            shared = np.bincount(posts[at] % m - first, minlength=len(y))
+            common = self.centre - lacks[x] - lacks[y] + shared
+            hit = (den * common >= num * (n[x] + n[y] - common)) & (y != x) & (low[y] | low[x])
+            if between:
+                hit &= side[y] != side[x]
+            y = y[hit]
+            _, firsts = np.unique(root[y], return_index=True)
+            for other in y[firsts]:
+                if root[other] != root[x]:
+                    out.append((int(keys[x]), int(keys[other])))
+                    root[root == max(root[x], root[other])] = min(root[x], root[other])
+        return out
 
 
-def _groups(batches: Iterator) -> Iterator[list[tuple]]:
-    """Rows that are sorted by their first three columns, in groups."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:3] != held[0][:3]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+STAR = "a long, b long, linked boolean, low boolean, centre long, lacks long, difference binary"
 
 
-def _compared(batches: Iterator, num: int, den: int) -> Iterator:
-    """Pairs of a star's centre and a member, with both sets -> whether they link, and the member as its difference from
-    the centre: the elements that it lacks, then those that it adds."""
+def _star_rows(rows: list[tuple]):
     import pyarrow as pa
 
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "linked", "low", "centre", "lacks", "difference"])
+
+
+def _compared(batches: Iterator, num: int, den: int) -> Iterator:
+    """Stars, or parts of them, sorted with the centre first: a, part, parts, member, key, low, hashes -> the links of a whole
+    star; of a part the links to the centre and all members' differences."""
+    at, whole, c, star = None, True, None, None
+
+    def done():
+        rows = [(at[0], k, True, low, None, None, None) if whole else (at[0], k, linked, low, star.centre, lacks, d.tobytes()) for k, low, linked, lacks, d in zip(star.keys, star.low, star.linked, star.lacks, star.diffs, strict=True) if linked or not whole]
+        if whole:
+            rows += [(min(x), max(x), True, None, None, None, None) for x in star.links()]
+        return _star_rows(rows)
+
     for batch in batches:
-        rows: list[list] = [[] for _ in range(6)]
-        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            there = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
-            lacks, adds = s[~there], t[s[np.minimum(np.searchsorted(s, t), len(s) - 1)] != t]
-            common = len(s) - len(lacks)
-            for column, v in zip(rows, (a, b, den * common >= num * (len(s) + len(t) - common), len(s), len(lacks), np.concatenate([lacks, adds]).tobytes()), strict=True):
-                column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.binary())], ["a", "b", "linked", "centre", "lacks", "difference"])
+        sets = batch.column(6)
+        for i, (a, part, parts, member, key, low) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True)):
+            own = np.frombuffer(sets[i].as_buffer(), np.uint64)
+            if (a, part) != at:
+                if star is not None:
+                    yield done()
+                at, whole, c, star = (a, part), parts == 1, own.copy(), _Star(len(own), num, den)
+            if member:
+                lacks, adds = _difference(c, own)
+                star.add(key, low, len(lacks), np.concatenate([lacks, adds]))
+    if star is not None:
+        yield done()
 
 
 def _within(batches: Iterator, num: int, den: int) -> Iterator:
-    """Members of a star -> links between them, as few as join what links. The overlap of two members follows
-    from their differences: |c| - lacks x - lacks y + what the differences share. Index lists of the differences hold the
-    members by size, and the part of a list whose sizes can't reach the threshold is skipped."""
-    import pyarrow as pa
+    """Pairs of parts of large stars: a, lo, hi, b, low, centre, lacks, difference, side -> links of their members."""
+    at, star = None, None
 
-    for g in _groups(batches):
-        g.sort(key=lambda r: (r[5] + (len(r[7]) // 8 - r[6]) - r[6], r[3]))
-        keys = np.array([r[3] for r in g], np.int64)
-        linked, side = np.array([r[4] for r in g]), np.array([r[8] for r in g])
-        centre, lacks = g[0][5], np.array([r[6] for r in g])
-        diffs = [np.frombuffer(r[7], np.uint64) for r in g]
-        sizes = np.array([len(d) for d in diffs])
-        n = centre - lacks + (sizes - lacks)
-        if linked.all() or len(g) < 2:
-            continue
-        flat, owner = np.concatenate(diffs), np.repeat(np.arange(len(g)), sizes)
-        _, token = np.unique(flat, return_inverse=True)
-        order = np.argsort(token, kind="stable")  # members of a list stay in order of size
-        lists, posts = np.searchsorted(token[order], np.arange(token.max() + 2 if len(token) else 1)), owner[order]
-        begins = np.cumsum(sizes) - sizes
-        root = np.where(linked, -1, np.arange(len(g)))  # -1: with the centre
-        out = []
-        for x in np.flatnonzero(~linked):
-            low, high = np.searchsorted(n, -(-num * n[x] // den)), np.searchsorted(n, den * n[x] // num, side="right")
-            shared = np.zeros(len(g), np.int64)
-            for t in token[begins[x] : begins[x] + sizes[x]]:
-                p = posts[lists[t] : lists[t + 1]]
-                shared[p[np.searchsorted(p, low) : np.searchsorted(p, high)]] += 1
-            y = np.arange(low, high)
-            common = centre - lacks[x] - lacks[y] + shared[y]
-            hit = y[(den * common >= num * (n[x] + n[y] - common)) & (y != x) & ((side[y] != side[x]) | (g[0][1] == g[0][2]))]
-            if not len(hit):
-                continue
-            _, firsts = np.unique(root[hit], return_index=True)
-            for other in hit[firsts]:
-                if root[other] != root[x]:
-                    out.append((keys[x], keys[other]))
-                    root[root == max(root[x], root[other])] = min(root[x], root[other])
-        if out:
-            a, b = np.array(out, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def done():
+        return _star_rows([(min(x), max(x), True, None, None, None, None) for x in star.links(between=at[1] != at[2])])
+
+    for batch in batches:
+        for a, lo, hi, b, low, centre, lacks, difference, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (a, lo, hi) != at:
+                if star is not None:
+                    yield done()
+                at, star = (a, lo, hi), _Star(centre, num, den)
+            star.add(b, low, lacks, np.frombuffer(difference, np.uint64), side)
+    if star is not None:
+        yield done()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -389,40 +476,44 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+    text, doc_id = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    # where a text is found again: by its doc_id, or without one by its hash
+    place = F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.xxhash64(text)).alias("at"))
+    docs = docs.select(doc_id.alias("doc_id"), place.alias("place"), F.encode(text, "UTF-8").alias("text"))
     bound = {"num": num, "den": den}
-    rows = cut(docs.mapInArrow(partial(_set_rows, **bound, size=shingle), "doc_id long, n long, key long, inside long, beyond binary"), "sets")
-    ranges = partitions(spark)
+    rows = cut(docs.mapInArrow(partial(_set_rows, **bound, size=shingle), "doc_id long, place struct<none boolean, at long>, n long, key long, inside long, beyond binary"), "sets")
+    parts = partitions(spark)
+    ranges = max(parts, -(-(rows.agg(F.sum("inside")).first()[0] or 0) // ELEMENTS))
     sent = docs.select("text").mapInArrow(partial(_spread, ranges=ranges, words=shingle), "part int, hashes binary, owners binary, keys binary")
-    counted = sent.repartition(ranges, "part").mapInArrow(partial(_shared, buckets=ranges), "bucket int, rows binary")
-    shared = counted.repartition(ranges, "bucket").mapInArrow(_merged, "key long, pairs binary")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("beyond").alias("beyond"))
+    counted = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(partial(_shared, buckets=ranges), "bucket int, rows binary")
+    shared = counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, "key long, pairs binary")
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("beyond").alias("beyond"))
     # a class without shared elements can only link by elements outside the region
     wanted = classes.join(shared, "key", "left").filter("pairs is not null or octet_length(beyond) > 0").select("key", "n", "inside", "beyond", "pairs")
-    lists = cut(wanted.mapInArrow(partial(_prefixes, **bound), "key long, element long, n long, alone long"), "lists")
-    # the centre of a list is the member with the smallest part of its own: the least edited of copies
-    least = F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "key")).alias("star")
-    stars = lists.groupBy("element").agg(least, F.count("*").alias("members")).filter("members > 1").select("element", F.col("star.key").alias("a"))
-    pairs = cut(lists.select("key", "element").join(stars, "element").filter("key <> a").select("a", F.col("key").alias("b")).distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "least"), "key")
-    texts = docs.join(named.withColumnRenamed("least", "doc_id"), "doc_id").select("key", "text")
-    sets = cut(texts.mapInArrow(partial(_key_sets, size=shingle), "key long, hashes binary").dropDuplicates(["key"]), "sets")
-    left, right = sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    stars = cut(both.mapInArrow(partial(_compared, **bound), "a long, b long, linked boolean, centre long, lacks long, difference binary"), "stars")
-    # stars whose members don't all link to the centre are looked at once more, in parts if they are large
-    open_stars = stars.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("open")).filter("open > 0 and members > 1")
-    dealt = stars.join(open_stars, "a").withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("a", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "b", "linked", "centre", "lacks", "difference", "side")
-    dealt = dealt.repartition(ranges, "a", "lo", "hi").sortWithinPartitions("a", "lo", "hi")
-    more = dealt.mapInArrow(partial(_within, **bound), "a long, b long")
-    links = stars.filter("linked").select("a", "b").union(more)
+    lists = cut(wanted.mapInArrow(partial(_prefixes, **bound), "key long, element long, n long, position long, alone long"), "lists")
+    pairs = cut(stars(lists, num, den), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "place"), "key")
+    texts = docs.select(F.col("place.none").alias("none"), F.col("place.at").alias("at"), "text").join(named.select("key", F.col("place.none").alias("none"), F.col("place.at").alias("at")), ["none", "at"])
+    sets = texts.select("key", "text").mapInArrow(partial(_key_sets, size=shingle), "key long, hashes binary").dropDuplicates(["key"])
+    # a star goes to one place, or its parts to several, with the centre in each
+    dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "a")
+    members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", F.lit(True).alias("member"), F.col("b").alias("key"), "low")
+    centres = dealt.select("a", "parts").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(False).alias("member"), F.col("a").alias("key"), F.lit(True).alias("low"))
+    both = members.union(centres).join(sets, "key").select("a", "part", "parts", "member", "key", "low", "hashes")
+    both = both.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "member")
+    found = cut(both.mapInArrow(partial(_compared, **bound), STAR), "stars")
+    # large stars with members that don't link to the centre are looked at once more, by pairs of parts
+    large = found.filter("difference is not null")
+    opened = large.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"), F.count_if(~F.col("linked")).alias("open"), F.count_if("low").alias("lows")).filter("open > 0 and lows > 0")
+    again = large.join(opened, "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    again = again.select("a", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "b", "low", "centre", "lacks", "difference", "side")
+    more = again.repartition(parts, "a", "lo", "hi").sortWithinPartitions("a", "lo", "hi").mapInArrow(partial(_within, **bound), STAR)
+    links = found.filter("linked").select("a", "b").union(more.select("a", "b"))
     final = components(links).withColumnRenamed("node", "key")
     merged = classes.select("key", "least").join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = merged.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = merged.join(least, "component").select("key", "component_id")
-    return rows.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = merged.join(least, "component").select("key", "component_id")
+    return rows.select("doc_id", "n", "key").join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,7 +175,11 @@ def brute_components(docs):
     return sorted(((i is None, i or 0), len(s), least.get(find(n))) for n, (i, s) in enumerate(sets))
 
 
-def test_set_join_is_exact(spark, docs, none):
+@pytest.mark.parametrize("members,elements", [(set_join.MEMBERS, set_join.ELEMENTS), (2, 500)])
+def test_set_join_is_exact(spark, docs, none, monkeypatch, members, elements):
+    """With the usual bounds, and with stars and hash ranges so small that all are dealt out."""
+    monkeypatch.setattr(set_join, "MEMBERS", members)
+    monkeypatch.setattr(set_join, "ELEMENTS", elements)
     rng = random.Random(5)
     made = [(r[0], r[1]) for r in rows()]
     base = [prose(1000 + i, rng.choice([5, 12, 40, 150])) for i in range(25)]
@@ -184,9 +188,13 @@ def test_set_join_is_exact(spark, docs, none):
         for _ in range(rng.randint(0, max(1, len(w) // 30))):
             w[rng.randrange(len(w))] = f"edit{rng.randint(0, 3)}"
         made.append((100 + i, " ".join(w)))
+    chain = prose(4000, 150).split()
+    for i, word in enumerate((0, 75, 149)):  # rows without a doc_id link like others, also where they alone join two
+        made.append((None if i == 1 else 900 + i, " ".join(chain[:word] + ["new"] + chain[word:])))
+    made += [(None, prose(5000, 60)), (None, prose(5000, 60))]
     df = spark.createDataFrame([(*x, "k", 1) for x in made], "doc_id long, text string, key string, n long").repartition(3)
-    got = sorted(((r[0] is None, r[0] or 0), r[1], r[2]) for r in set_join.similar_components(df).collect())
-    assert got == brute_components(made)
+    got = sorted(((r[0] is None, r[0] or 0), r[1], r[2] or -1) for r in set_join.similar_components(df).collect())
+    assert got == sorted((a, n, c or -1) for a, n, c in brute_components(made))
     assert set_join.similar_components(none).count() == 0
 
 
@@ -297,6 +305,8 @@ def test_bpe_equals_the_library(spark, docs, none):
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks, special_tokens={})
     rng = random.Random(1)
     texts = [r[1] or "" for r in rows()] + ["".join(rng.choice(" \n\tab 's1.é") for _ in range(rng.randint(1, 30))) for _ in range(1500)] + ["aaaa" * 300, "it's we'll\r\n\r\nok   x"]
+    # long pieces: one letter, letters whose tokens overlap, letters that meet in no token, another script
+    texts += ["a" * 20_000, *("".join(rng.choice(letters) for _ in range(3000)) for letters in ("abcdefgh", "ABCDXYZabcq0379+/", "éaü日本")), "\0\1" * 300]
     for t, parts in zip(texts, bpe.encoder.encode(texts), strict=True):
         ids = np.frombuffer(b"".join(parts), bpe.encoder.dtype).tolist()
         assert ids == library.encode_ordinary(t)

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 from cases import SCHEMA, rows, words
-from test_operators import brute_components
+from test_llm_operators import brute_components
 
 
 @pytest.fixture(scope="module")
