@@ -31,7 +31,7 @@ from . import chunks
 from .common import documents
 
 #: Bytes of words that one recursive query works on, to bound its memory.
-BYTES = 200_000
+BYTES = 100_000
 #: Token 0 as a character: the planes from there on hold no surrogates.
 ZERO = 0x20000
 
@@ -77,7 +77,7 @@ class Bpe:
         ranks = self.ranks
         pairs = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         low = {x for a, b, r in pairs for x in (a, b) if x > r}  # tokens that are part of one of lower rank
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
         self.con.register("m", pa.table({"pair": [chr(a + ZERO) + chr(b + ZERO) for a, b, _ in pairs], "merged": pa.array([r for *_, r in pairs], pa.int32()), "alone": pa.array([int(r in low) for *_, r in pairs], pa.int64())}))
         self.con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "b": pa.array(list(ranks), pa.binary())}))
         self.con.execute("create table merges as select * from m; create table vocab as select * from v")

@@ -15,7 +15,7 @@ import numpy as np
 #: Cached chunks a task, about 150 bytes each; what doesn't fit is encoded again where it recurs.
 CACHE = 500_000
 #: Characters handled at a time, so that a worker's memory doesn't follow the batch size.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def regular(chunk: str) -> bool:

@@ -5,19 +5,24 @@ prefix polynomial hashes:
 
 1. Among the short substrings (GRAM bytes) of a window the one of least hash is its anchor, so equal
    windows have equal anchors at equal places. The windows of one anchor are a run; the text
-   that they span is the run's context. Anchors, hashes of contexts and documents go to hash
-   ranges as packed arrays.
-2. Runs with the same anchor and context as a run of an earlier document are covered whole.
+   that they span is the run's context. Equal runs of a slice of texts become one row, so that a passage of many documents
+   costs a row a slice. Anchors, digests of contexts and least documents go to hash ranges as packed arrays.
+2. Runs with the same anchor and context as a run of an earlier document are covered whole; contexts are
+   equal when a cryptographic digest of their bytes is, beside the anchor's hash (64 and 40 bits).
    Where contexts differ around the same anchor, as at the ends of a repeated passage,
-   one run of each context is kept for comparison.
+   the runs of the earliest document of each context are kept for comparison.
 3. The windows of those are suffix-sorted within their anchor: a mergesort whose comparisons
    find the common extension of two suffixes by binary search on prefix hashes, then look at one
    byte. Neighbours with a common extension of LENGTH are equal, which their bytes confirm.
    An anchor with more contexts than MOST_CONTEXTS (a passage that a third of all documents
-   frame differently) isn't gathered: its windows are dealt out by their hashes and the
+   frame differently) isn't gathered: its windows are dealt out by their digests and the
    earliest document is found by a grouped minimum.
 4. A last pass over the texts joins the covered ranges and drops them.
 
+Memory a task doesn't follow the input: texts are hashed in pieces of SLICE bytes, also inside a long text (a run
+that a piece cuts is one of another context, which step 3 resolves), hash ranges hold the runs of about
+RANGE bytes of text, and a task reads its ranges one after the other in sorted order.
+
 The texts are written once as shards to the shared folder; the later passes read them there, so
 texts are never shuffled.
 
@@ -37,16 +42,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, fresh_path, open_fs, partitions
-from .set_join import _BASE, _MULT, _RANDOM, _mix, _powers
+from .set_join import _RANDOM, _by_first, _mix, _powers
 
 #: Fixed value of the contract.
 LENGTH = 50
 GRAM = 20
 MOST_CONTEXTS = 50_000
-#: Bytes of text that are hashed together.
-SLICE = 600_000
-#: Bits of a position within a slice of at most 64 MB, in the low end of an anchor's rank.
-PLACE = np.uint64((1 << 26) - 1)
+#: Bytes of text that are hashed together, and whose runs a hash range holds.
+SLICE = 400_000
+RANGE = 8_000_000
+#: Bits of a position within a piece, in the low end of an anchor's rank.
+PLACE = np.uint64((1 << 20) - 1)
 NO_ID = -(1 << 63)
 
 
@@ -113,34 +119,52 @@ def suffix_sort(text: Hashed, starts: np.ndarray, segment: np.ndarray, limit: in
     return order
 
 
-def runs(text: Hashed, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, first and last window, hash of the anchor and of the context, of all runs of the
-    documents at starts..ends of a stream."""
-    n, none = len(text.data), np.zeros(0, np.int64)
+def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchor, first and last window, hash of the anchor and digest of the context, of all runs of the
+    documents at starts..ends of a stream, piece by piece."""
+    edge = np.zeros(len(data) + 1, np.int32)
     long = ends - starts >= LENGTH
-    if not long.any():
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    at = np.arange(n - GRAM + 1)
+    np.add.at(edge, starts[long], 1)
+    np.add.at(edge, ends[long] - LENGTH + 1, -1)
+    windows = np.flatnonzero(np.cumsum(edge[:-1]))
+    none = np.zeros(0, np.int64)
+    parts = [(none, none, none, none.astype(np.uint64), none.astype(np.uint64))]
+    for low in range(0, len(data), SLICE):
+        own = windows[np.searchsorted(windows, low) : np.searchsorted(windows, low + SLICE)]
+        if len(own):
+            anchor, first, last, gram, context = _piece(data[low : low + SLICE + LENGTH - 1], own - low)
+            parts.append((anchor + low, first + low, last + low, gram, context))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+
+
+def _piece(data: np.ndarray, windows: np.ndarray):
+    text = Hashed(data)
+    at = np.arange(len(data) - GRAM + 1)
     gram = _mix(text.of(at, GRAM))
-    rank = (gram & ~PLACE) | at.astype(np.uint64)
-    span = LENGTH - GRAM + 1
-    low, have = rank, 1
+    low, have, span = (gram & ~PLACE) | at.astype(np.uint64), 1, LENGTH - GRAM + 1
+    places = len(low)
     while have * 2 <= span:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < span:
-        low = np.minimum(low[: len(rank) - span + 1], low[span - have : span - have + len(rank) - span + 1])
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts[long], 1)
-    np.add.at(edge, ends[long] - LENGTH + 1, -1)
-    windows = np.flatnonzero(np.cumsum(edge[:-1]))
+        low = np.minimum(low[: places - span + 1], low[span - have : places - have + 1])
     anchor = (low[windows] & PLACE).astype(np.int64)
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)])
-    cuts = np.flatnonzero(new)
+    cuts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)]))
     first, last = windows[cuts], windows[np.concatenate([cuts[1:], [len(windows)]]) - 1]
-    anchor = anchor[cuts]
-    context = _mix(text.of(first, last - first + LENGTH) + _mix(((anchor - first) * 4096 + (last - first)).astype(np.uint64) * _MULT + _BASE))
-    return anchor, first, last, gram[anchor], context
+    anchor, raw = anchor[cuts], data.tobytes()
+    places = (anchor - first).astype(np.uint8).tobytes()  # where the anchor stands in the context is part of it
+    digest = b"".join([hashlib.blake2b(raw[x:y], digest_size=8, salt=places[i : i + 1]).digest() for i, (x, y) in enumerate(zip(first.tolist(), (last + LENGTH).tolist(), strict=True))])
+    return anchor, first, last, gram[anchor], np.frombuffer(digest, np.uint64)
+
+
+def _equal_runs(gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each run among equal ones, and a run and the least document of each class."""
+    order = np.lexsort((doc, context, gram))
+    g, c = gram[order], context[order]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])[: len(g)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return which, order[new], doc[order[new]]
 
 
 def _shard(path: str) -> Iterator[tuple[int, list, list[bytes]]]:
@@ -165,13 +189,15 @@ def _shard(path: str) -> Iterator[tuple[int, list, list[bytes]]]:
 
 
 def _slices(path: str):
+    """position, doc_ids, texts, where they start and end, their bytes as one stream, and its runs: anchor, first, last, hash,
+    context, document, class among equal runs; run and least document of each class."""
     for position, ids, texts in _shard(path):
         ends = np.cumsum([len(t) for t in texts])
         starts = ends - [len(t) for t in texts]
         data = np.frombuffer(b"".join(texts), np.uint8)
-        text = Hashed(data) if len(data) >= LENGTH else None
-        none = np.zeros(0, np.int64)
-        yield position, ids, texts, starts, ends, text, runs(text, starts, ends) if text else (none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        anchor, first, last, gram, context = runs(data, starts, ends)
+        doc = np.array(ids, np.int64)[np.searchsorted(ends, first, side="right")]
+        yield position, ids, texts, starts, ends, data, (anchor, first, last, gram, context, doc, *_equal_runs(gram, context, doc))
 
 
 def _five(x: np.ndarray) -> bytes:
@@ -184,19 +210,18 @@ def _from_five(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _send(batches: Iterator, paths: list[str], ranges: int) -> Iterator:
-    """Shard numbers -> for each hash range the anchors, contexts, run numbers and documents."""
+def _send(batches: Iterator, ranges: int) -> Iterator:
+    """Shards and their paths -> for each hash range the anchors, contexts, class numbers and documents."""
     import pyarrow as pa
 
     for batch in batches:
-        for shard in batch.column(0).to_pylist():
+        for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             number, held, size = 0, [], 0
-            for _, ids, _, starts, _, _, (anchor, first, _, gram, context) in _slices(paths[shard]):
-                doc = np.searchsorted(starts, first, side="right") - 1
-                held.append((gram, context, np.arange(number, number + len(anchor), dtype=np.uint32), np.array(ids, np.int64)[doc] if len(doc) else np.zeros(0, np.int64)))
-                number += len(anchor)
-                size += len(anchor)
-                if size > 400_000:
+            for *_, (_, _, _, gram, context, _, _, run, least) in _slices(path):
+                held.append((gram[run], context[run], np.arange(number, number + len(run), dtype=np.uint32), least))
+                number += len(run)
+                size += len(run)
+                if size > 200_000:
                     yield _dealt(pa, held, shard, ranges)
                     held, size = [], 0
             if size:
@@ -209,86 +234,87 @@ def _dealt(pa, held, shard: int, ranges: int):
     gram, context, number, doc = gram[order], context[order], number[order], doc[order]
     part = ((gram >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     cuts = np.searchsorted(part, np.arange(ranges + 1))
-    rows: list[list] = [[] for _ in range(6)]
+    rows: list[list] = [[] for _ in range(7)]
     for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if b > a:
             known, which = np.unique(doc[a:b], return_inverse=True)
             wide = np.uint16 if len(known) <= 1 << 16 else np.uint32
-            for column, x in zip(rows, (p, shard, _five(gram[a:b]) + _five(context[a:b]), number[a:b].tobytes(), which.astype(wide).tobytes(), known.tobytes()), strict=True):
+            for column, x in zip(rows, (p, shard, _five(gram[a:b]), context[a:b].tobytes(), number[a:b].tobytes(), which.astype(wide).tobytes(), known.tobytes()), strict=True):
                 column.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[2:]]], ["part", "shard", "hashes", "numbers", "which", "docs"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[2:]]], ["part", "shard", "grams", "contexts", "numbers", "which", "docs"])
 
 
 def _judge(batches: Iterator) -> Iterator:
-    """The runs of some hash ranges -> for each shard its covered runs, and its runs to compare with their
-    anchors and the number of contexts there."""
+    """The rows of hash ranges, sorted by range -> for each shard the classes that an earlier document holds too, and those to compare
+    with their anchors and the number of contexts there."""
     import pyarrow as pa
 
-    held = []
-    for batch in batches:
-        for shard, hashes, numbers, which, docs in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+    for rows in _by_first(batches):
+        held = []
+        for _, shard, grams, contexts, numbers, which, docs in rows:
             number, known = np.frombuffer(numbers, np.uint32), np.frombuffer(docs, np.int64)
             own = np.frombuffer(which, np.uint16 if len(which) == 2 * len(number) else np.uint32)
-            half = len(hashes) // 2
-            held.append((_from_five(hashes[:half]), _from_five(hashes[half:]), number, known[own], np.full(len(number), shard, np.int32)))
-    if not held:
-        return
-    gram, context, number, doc, shard = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
-    order = np.argsort(gram, kind="stable")
-    g = gram[order]
-    alone = np.concatenate([[True], g[1:] != g[:-1]]) & np.concatenate([g[1:] != g[:-1], [True]])
-    order = order[~alone]  # anchors met once have no equal windows
-    gram, context, number, doc, shard = gram[order], context[order], number[order], doc[order], shard[order]
-    if not len(gram):
-        return
-    order = np.lexsort((doc, context, gram))
-    gram, context, number, doc, shard = gram[order], context[order], number[order], doc[order], shard[order]
-    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-    new_context = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
-    each = np.cumsum(new_context) - 1
-    earliest = doc[new_context][each]  # documents rise within a context
-    group = np.cumsum(new_gram) - 1
-    contexts = np.bincount(group[new_context])[group]
-    starts = np.flatnonzero(new_gram)
-    mixed = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))[group]
-    covered = doc > earliest
-    compare = ~covered & (contexts > 1) & mixed
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.unique(shard))
-    out: list[list] = [[] for _ in range(5)]
-    for rows in np.split(order, cuts[1:]):
-        c, k = rows[covered[rows]], rows[compare[rows]]
-        for column, x in zip(out, (int(shard[rows[0]]), number[c].tobytes(), number[k].tobytes(), gram[k].tobytes(), contexts[k].astype(np.uint32).tobytes()), strict=True):
-            column.append(x)
-    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["shard", "covered", "compare", "anchors", "contexts"])
+            held.append((_from_five(grams), np.frombuffer(contexts, np.uint64), number, known[own], np.full(len(number), shard, np.int32)))
+        del rows
+        gram, context, number, doc, shard = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.argsort(gram, kind="stable")
+        g = gram[order]
+        twice = g[1:] == g[:-1]
+        order = order[np.concatenate([[False], twice]) | np.concatenate([twice, [False]])]  # an anchor met once has no equal windows elsewhere
+        if not len(order):
+            continue
+        gram, context, number, doc, shard = gram[order], context[order], number[order], doc[order], shard[order]
+        order = np.lexsort((doc, context, gram))
+        gram, context, number, doc, shard = gram[order], context[order], number[order], doc[order], shard[order]
+        new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+        new_context = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
+        earliest = doc[new_context]  # documents rise within a context
+        late = doc > earliest[np.cumsum(new_context) - 1]
+        of = np.flatnonzero(new_gram[new_context])
+        contexts = np.diff(np.concatenate([of, [len(earliest)]]))
+        mixed = np.minimum.reduceat(earliest, of) < np.maximum.reduceat(earliest, of)
+        group = np.cumsum(new_gram) - 1
+        compare = ~late & (mixed & (contexts > 1))[group]
+        keep = late | compare
+        late, compare, gram, number, shard, contexts = late[keep], compare[keep], gram[keep], number[keep], shard[keep], contexts[group[keep]]
+        order = np.argsort(shard, kind="stable")
+        if not len(order):
+            continue
+        out: list[list] = [[] for _ in range(5)]
+        for rows_ in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            c, k = rows_[late[rows_]], rows_[compare[rows_]]
+            for column, x in zip(out, (int(shard[rows_[0]]), number[c].tobytes(), number[k].tobytes(), gram[k].tobytes(), contexts[k].astype(np.uint32).tobytes()), strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["shard", "late", "compare", "anchors", "contexts"])
 
 
 def _joined(blobs: list[bytes] | None, kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs or []), kind)
 
 
-def _contexts(batches: Iterator, paths: list[str]) -> Iterator:
-    """Shards with their runs to compare -> those runs' contexts."""
+def _contexts(batches: Iterator) -> Iterator:
+    """Shards with their classes to compare -> the contexts of those classes' runs in their least document."""
     import pyarrow as pa
 
     for batch in batches:
-        for shard, numbers, anchors, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for shard, path, numbers, anchors, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             number, key, count = _joined(numbers, np.uint32), _joined(anchors, np.uint64).view(np.int64), _joined(counts, np.uint32)
             order = np.argsort(number)
             number, key, count = number[order], key[order], count[order]
             base = 0
-            for position, ids, _, starts, _, text, (anchor, first, last, _, _) in _slices(paths[shard]):
-                a, b = np.searchsorted(number, (base, base + len(anchor)))
-                own = number[a:b].astype(np.int64) - base
-                base += len(anchor)
+            for position, _, _, _, _, data, (anchor, first, last, _, _, doc, which, run, least) in _slices(path):
+                a, b = np.searchsorted(number, (base, base + len(run)))
+                at = np.full(len(run), -1)
+                at[number[a:b].astype(np.int64) - base] = np.arange(a, b)
+                base += len(run)
+                own = np.flatnonzero((at[which] >= 0) & (doc == least[which]))
                 if not len(own):
                     continue
-                doc = np.searchsorted(starts, first[own], side="right") - 1
-                raw = text.data.tobytes()
-                spans = [raw[x : y + LENGTH] for x, y in zip(first[own], last[own], strict=True)]
+                asked, raw = at[which[own]], data.tobytes()
+                spans = [raw[x : y + LENGTH] for x, y in zip(first[own].tolist(), last[own].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[a:b]), pa.array(count[a:b].astype(np.int64)), pa.array(np.full(len(own), shard, np.int32)), pa.array(np.array(ids, np.int64)[doc]), pa.array(position + first[own]), pa.array((anchor - first)[own]), pa.array(spans, pa.binary())],
+                    [pa.array(key[asked]), pa.array(count[asked].astype(np.int64)), pa.array(np.full(len(own), shard, np.int32)), pa.array(doc[own]), pa.array(position + first[own]), pa.array((anchor - first)[own]), pa.array(spans, pa.binary())],
                     ["anchor", "contexts", "shard", "doc", "first", "offset", "span"],
                 )
 
@@ -389,25 +415,27 @@ def _pack(batches: Iterator) -> Iterator:
             yield from _ranges(pa, np.asarray(batch.column(0)), x, x + LENGTH)
 
 
-def _kept(batches: Iterator, paths: list[str]) -> Iterator:
-    """Shards with covered runs and ranges -> doc_id, text, what is kept of it and the removed counts."""
+def _kept(batches: Iterator) -> Iterator:
+    """Shards with the classes that earlier documents hold and covered ranges -> doc_id, text, what is kept of it and the removed counts."""
     import pyarrow as pa
 
     for batch in batches:
-        for shard, covered, ranges in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            number = np.sort(_joined(covered, np.uint32))
+        for path, late, ranges in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+            number = np.sort(_joined(late, np.uint32))
             pairs = _joined(ranges, np.int64).reshape(-1, 2)
             pairs = pairs[np.argsort(pairs[:, 0])]
             base = 0
-            for position, ids, texts, starts, ends, text, (anchor, first, last, _, _) in _slices(paths[shard]):
-                a, b = np.searchsorted(number, (base, base + len(anchor)))
-                own = number[a:b].astype(np.int64) - base
-                base += len(anchor)
-                n = int(ends[-1])
+            for position, ids, texts, starts, ends, data, (_, first, last, _, _, doc, which, run, least) in _slices(path):
+                a, b = np.searchsorted(number, (base, base + len(run)))
+                elsewhere = np.zeros(len(run), bool)
+                elsewhere[number[a:b].astype(np.int64) - base] = True
+                base += len(run)
+                covered = elsewhere[which] | (doc > least[which])
+                n = len(data)
                 c, d = np.searchsorted(pairs[:, 0], (position, position + n))
                 edge = np.zeros(n + 1, np.int32)
-                np.add.at(edge, np.concatenate([first[own], pairs[c:d, 0] - position]), 1)
-                np.add.at(edge, np.concatenate([last[own] + LENGTH, pairs[c:d, 1] - position]), -1)
+                np.add.at(edge, np.concatenate([first[covered], pairs[c:d, 0] - position]), 1)
+                np.add.at(edge, np.concatenate([last[covered] + LENGTH, pairs[c:d, 1] - position]), -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed = np.concatenate([[0], np.cumsum(gone)])
                 # a removed run starts where the byte before isn't removed, or at a document's start
@@ -415,7 +443,6 @@ def _kept(batches: Iterator, paths: list[str]) -> Iterator:
                 inner = starts[(starts < ends)]
                 begin[inner] = gone[inner]
                 spans = np.concatenate([[0], np.cumsum(begin)])
-                data = text.data if text else np.frombuffer(b"".join(texts), np.uint8)
                 rest = [t if removed[s] == removed[e] else data[s:e][~gone[s:e]].tobytes() for t, s, e in zip(texts, starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([None if i == NO_ID else i for i in ids], pa.int64()), pa.array(ends - starts), pa.array(removed[ends] - removed[starts]), pa.array(spans[ends] - spans[starts]), pa.array([hashlib.sha256(r).hexdigest() for r in rest]), pa.array(rest, pa.binary())],
@@ -427,25 +454,28 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of every document."""
     spark = docs.sparkSession
     path = fresh_path(spark, "texts")
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text")).write.option("compression", "zstd").parquet(path)
-    paths = sorted(spark.read.schema("doc_id long, text binary").parquet(path).inputFiles())
-    ranges, n = partitions(spark), max(1, len(paths))
-    shards = spark.range(0, len(paths), 1, n).select(F.col("id").cast("int").alias("shard"))
-    sent = shards.mapInArrow(partial(_send, paths=paths, ranges=ranges), "part int, shard int, hashes binary, numbers binary, which binary, docs binary")
-    judged = sent.repartition(ranges, "part").mapInArrow(_judge, "shard int, covered binary, compare binary, anchors binary, contexts binary")
-    flags = cut(judged.groupBy("shard").agg(*[F.collect_list(c).alias(c) for c in ("covered", "compare", "anchors", "contexts")]), "flags")
+    text = F.encode(F.col(text_col), "UTF-8")
+    docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("size")).write.option("compression", "zstd").parquet(path)
+    written = spark.read.schema("doc_id long, text binary, size long").parquet(path)
+    parts, paths = partitions(spark), sorted(written.inputFiles())
+    ranges, n = max(parts, -(-(written.agg(F.sum("size")).first()[0] or 0) // RANGE)), max(1, len(paths))
+    shards = spark.createDataFrame(list(enumerate(paths)), "shard int, path string").repartition(n, "shard")
+    sent = shards.mapInArrow(partial(_send, ranges=ranges), "part int, shard int, grams binary, contexts binary, numbers binary, which binary, docs binary")
+    judged = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_judge, "shard int, late binary, compare binary, anchors binary, contexts binary")
+    flags = cut(judged.groupBy("shard").agg(*[F.collect_list(c).alias(c) for c in ("late", "compare", "anchors", "contexts")]), "flags")
     one = lambda df: shards.join(df, "shard", "left").repartition(n, "shard")
-    spans = one(flags.select("shard", "compare", "anchors", "contexts")).mapInArrow(partial(_contexts, paths=paths), "anchor long, contexts long, shard int, doc long, first long, offset long, span binary")
+    spans = one(flags.filter("exists(compare, x -> octet_length(x) > 0)").select("shard", "compare", "anchors", "contexts")).select("shard", "path", "compare", "anchors", "contexts")
+    spans = spans.filter("compare is not null").mapInArrow(_contexts, "anchor long, contexts long, shard int, doc long, first long, offset long, span binary")
     spans = cut(spans, "spans")
-    near = spans.filter(F.col("contexts") <= most_contexts).repartition(ranges, "anchor").sortWithinPartitions("anchor")
+    near = spans.filter(F.col("contexts") <= most_contexts).repartition(parts, "anchor").sortWithinPartitions("anchor")
     found = near.mapInArrow(_compare, "shard int, ranges binary")
     hot = spans.filter(F.col("contexts") > most_contexts).mapInArrow(_windows, "h1 long, h2 long, doc long, shard int, start long")
     least = hot.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
     late = hot.join(least, ["h1", "h2"]).filter("doc > least").select("shard", "start")
     found = found.union(late.mapInArrow(_pack, "shard int, ranges binary"))
     ranges_ = cut(found.groupBy("shard").agg(F.collect_list("ranges").alias("ranges")), "ranges")
-    last = one(flags.select("shard", "covered").join(ranges_, "shard", "full")).select("shard", "covered", "ranges")
-    return last.mapInArrow(partial(_kept, paths=paths), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    last = one(flags.select("shard", "late").join(ranges_, "shard", "full")).select("shard", "path", "late", "ranges")
+    return last.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -52,8 +53,14 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: The part of the hash space whose elements are counted.
 REGION = 0.35
+#: Bytes of a long text that are hashed at a time.
+PIECE = 1_000_000
+_BLANK = re.compile(rb"[ \t-\r]")
 #: Counted elements of a hash range, which a task holds at a time.
 ELEMENTS = 1_000_000
+#: Bits of the filter that says which texts are read again: 8 MB, whatever the input. With very many
+#: candidates it lets more texts through, which costs time and changes nothing.
+FILTER = 1 << 26
 #: Members of a star that are compared in one place; larger stars are dealt out in parts, then by pairs of parts.
 MEMBERS = 4_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -85,8 +92,25 @@ _LOWER[65:91] += 32
 
 
 def shingles(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each UTF-8 text, A-Z lower-cased. All texts are
-    hashed in one pass: words by prefix polynomial hashes, shingles from the words' hashes."""
+    """The sorted distinct shingle hashes of each UTF-8 text, A-Z lower-cased; long texts are hashed in pieces."""
+    short = [t if len(t) <= 2 * PIECE else b"" for t in texts]
+    return [s if t is x else _long(t, n) for t, x, s in zip(texts, short, _hashed(short, n), strict=True)]
+
+
+def _long(text: bytes, n: int) -> np.ndarray:
+    """Pieces end between words and start with the last n - 1 words of the one before."""
+    found, lead, at = np.zeros(0, np.uint64), [], 0
+    while at < len(text):
+        end = m.start() if (m := _BLANK.search(text, at + PIECE)) else len(text)
+        words = text[at:end].split()
+        if len(lead) + len(words) >= n or not len(found) and end == len(text):
+            found = np.union1d(found, _hashed([b" ".join([*lead, *words])], n)[0])
+        lead, at = [*lead, *words][1 - n :] if n > 1 else [], end
+    return found
+
+
+def _hashed(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
+    """All texts are hashed in one pass: words by prefix polynomial hashes, shingles from the words' hashes."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     if not len(data):
         return [np.zeros(0, np.uint64) for _ in texts]
@@ -168,16 +192,28 @@ def _set_rows(batches: Iterator, num: int, den: int, size: int) -> Iterator:
             at += len(texts)
 
 
-def _key_sets(batches: Iterator, size: int) -> Iterator:
-    """key, text -> key and the set's hashes, where the text has that key."""
+def _key_sets(batches: Iterator, wanted, size: int) -> Iterator:
+    """bit, text -> key and hashes of the sets of the texts whose bit is wanted."""
     import pyarrow as pa
 
+    bits = np.frombuffer(wanted.value, np.uint8)
     for batch in batches:
-        at, keys = 0, batch.column(0).to_pylist()
-        for texts in _slices(batch.column(1)):
-            got = [(k, s.tobytes()) for k, s in zip(keys[at : at + len(texts)], shingles(texts, size), strict=True) if _key(s) == k]
-            at += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["key", "hashes"])
+        bit = np.asarray(batch.column(0))
+        own = batch.column(1).take(pa.array(np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)))
+        for texts in _slices(own):
+            got = [s for s in shingles(texts, size) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["key", "hashes"])
+
+
+def _filter(bits: DataFrame):
+    """A broadcast bitmap of FILTER bits with those of bits (bit) set."""
+    size = 1 << 15  # bits of a row of Spark's bitmap functions
+    out = bytearray(FILTER // 8)
+    rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    for r in rows.toLocalIterator():
+        at = (r["n"] - 1) * size // 8
+        out[at : at + size // 8] = r["map"]
+    return bits.sparkSession.sparkContext.broadcast(bytes(out))
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -493,8 +529,10 @@ def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     lists = cut(wanted.mapInArrow(partial(_prefixes, **bound), "key long, element long, n long, position long, alone long"), "lists")
     pairs = cut(stars(lists, num, den), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "place"), "key")
-    texts = docs.select(F.col("place.none").alias("none"), F.col("place.at").alias("at"), "text").join(named.select("key", F.col("place.none").alias("none"), F.col("place.at").alias("at")), ["none", "at"])
-    sets = texts.select("key", "text").mapInArrow(partial(_key_sets, size=shingle), "key long, hashes binary").dropDuplicates(["key"])
+    bit = F.pmod(F.xxhash64("place"), F.lit(FILTER))
+    wanted = _filter(named.select((bit + 1).alias("bit")))  # Spark counts bits from 1
+    # only the sets of candidates are sent; of texts that share a bit or a doc_id, those that no star asks for fall out in the join
+    sets = docs.select(bit.alias("bit"), "text").mapInArrow(partial(_key_sets, wanted=wanted, size=shingle), "key long, hashes binary").dropDuplicates(["key"])
     # a star goes to one place, or its parts to several, with the centre in each
     dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "a")
     members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", F.lit(True).alias("member"), F.col("b").alias("key"), "low")

@@ -198,6 +198,16 @@ def test_set_join_is_exact(spark, docs, none, monkeypatch, members, elements):
     assert set_join.similar_components(none).count() == 0
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("a bb ccc dddd".split()) for _ in range(k)).replace(" a ", rng.choice((" \n", "\t\x0b", "  "))).encode() for k in (0, 1, 3, 4, 5, 60, 900)] + [b"x" * 500, b"  ", b"y" * 90 + b" z"]
+    for n in (1, 4, 5):
+        want = set_join.shingles(texts, n)
+        with monkeypatch.context() as m:
+            m.setattr(set_join, "PIECE", 30)
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(set_join.shingles(texts, n), want, strict=True))
+
+
 # 6 fingerprints
 def test_neighbours(docs, none):
     clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -272,14 +282,20 @@ def brute_repeats(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most", [repeats.MOST_CONTEXTS, 1])
-def test_repeats_are_exact(spark, none, most):
+@pytest.mark.parametrize("most,size", [(repeats.MOST_CONTEXTS, repeats.RANGE), (1, repeats.RANGE), (repeats.MOST_CONTEXTS, 3000)])
+def test_repeats_are_exact(spark, none, monkeypatch, most, size):
+    """With the usual bounds, with every anchor as a hot one, and with many ranges and texts of several pieces."""
+    monkeypatch.setattr(repeats, "RANGE", size)
     rng = random.Random(8)
     made = [(-1 if r[0] is None else r[0], r[1]) for r in rows()]
     passage = prose(77, 30)
     for i in range(60):
         made.append((100 + i, prose(200 + i, rng.randint(0, 40)) + passage[rng.randint(0, 40) : rng.randint(80, len(passage))] + prose(300 + i % 5, rng.randint(0, 30))))
     made += [(500, "=" * 300), (501, "=" * 120), (502, "ab" * 100)]
+    if size == 3000:
+        long = prose(11, 75_000)
+        assert len(long) > repeats.SLICE
+        made += [(600, long), (601, prose(12, 7) + long[1000:]), (602, long[390_000:410_000])]
     df = spark.createDataFrame([(*x, "k") for x in made], "doc_id long, text string, shard string").repartition(4)
     got = sorted(tuple(r)[:5] for r in repeats.without_repeats(df, most_contexts=most).collect())
     assert got == brute_repeats(made)
