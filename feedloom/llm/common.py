@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="feedloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -53,6 +55,12 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x.lower() not in taken) for n in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,14 +7,16 @@ a keyed SHA-256 of the other half gives. A permutation keeps what a table would
 
 * distinctness: two entities of a format never get the same surrogate;
 * coreference: the same entity gets the same surrogate in every document and every run with the
-  same key, with no table of entities to build, join or keep secret beside the key;
+  same key, with no table of entities to build, join or keep secret beside the key. What is permuted is the entity without its
+  layout (the digits of cards and phones, an address in lower case, an IBAN without spaces); the layout is put back after;
 * format and script: punctuation, case, length and alphabet stay. Country codes of phones, the first
-  digit of cards, prefixes of access keys and names of settings stay too; a card's check digit is
-  valid after if it was valid before; addresses get a name under a reserved domain.
+  digit of cards, countries of IBANs, prefixes of access keys and names of settings stay too; check digits of cards (Luhn) and
+  IBANs (mod 97) are valid after if they were valid before; addresses get a name under a reserved domain.
 
 Names behind a title get a given name of the title's gender in the name's script, joined to the permuted
-one, so they stay distinct too; a family name is permuted by itself, so "Mr A B" and "Mr B"
-stay one person. collisions() checks distinctness on real data.
+one, so they stay distinct too; a family name is permuted by itself, vowels among vowels and consonants among consonants, so
+"Mr A B" and "Mr B" stay one person and it reads like a name. collisions() checks distinctness on real data; the query
+runs it over all documents and fails if it finds any.
 
 All work is built-in expressions on one row; nothing is shuffled.
 
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free
 
 KEY = "feedloom-surrogates-1"
 ROUNDS = 4
@@ -40,7 +42,11 @@ HEX = "0123456789abcdef"
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 CYRILLIC = "".join(map(chr, range(0x430, 0x450)))
 GREEK = "".join(map(chr, [*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA)]))
+#: Vowels of the scripts; the other letters are consonants.
+VOWELS = "aeiouy" + "àáâãäåæèéêëìíîïòóôõöøùúûüý" + "аеиоуыэюя" + "αεηιουω"
 TEXTUAL = (DIGITS, LOWER, LOWER.upper(), ACCENTED, ACCENTED.upper(), CYRILLIC, CYRILLIC.upper(), GREEK, GREEK.upper())
+_SOUNDS = tuple("".join(c for c in a if (c in VOWELS) == v) for a in (LOWER, ACCENTED, CYRILLIC, GREEK) for v in (True, False))
+SOUNDS = (*_SOUNDS, *(a.upper() for a in _SOUNDS))
 
 #: Given names by gender and script.
 GIVEN = {
@@ -51,10 +57,14 @@ GIVEN = {
     ("m", "greek"): "Αντώνης Βασίλης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λευτέρης Μάριος Νίκος Πέτρος Σταύρος".split(),
     ("f", "greek"): "Αγγελική Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Κατερίνα Λίνα Μαρία Νίκη Σοφία Χρυσή".split(),
 }
-MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Don|Господин|Κύριος"
-FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Doña|Sra|Srta|Госпожа|Κυρία"
+MALE = "Mr|Mister|Sir|Lord|Herr|Monsieur|Señor|Don|Sr|Signor|Senhor|Господин|Κύριος"
+FEMALE = "Mrs|Ms|Miss|Madam|Lady|Dame|Frau|Madame|Mme|Mlle|Señora|Señorita|Doña|Sra|Srta|Signora|Senhora|Госпожа|Κυρία"
+#: Titles that say nothing about gender.
+NEUTRAL = "Mx|Dr|Prof|Professor|Rev|Доктор|Профессор|Δρ"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: A name: parts joined by hyphens or apostrophes.
+_PART = r"\p{Lu}\p{L}{0,30}(?:[-'’]\p{L}{1,30}){0,3}(?!\p{L})"
 #: (type, pattern); the first that matches at a place wins.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}))+"),
@@ -65,11 +75,11 @@ PATTERNS = (
     ("phone", r"(?<![\w+])\+?\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
     ("card", r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
-    ("name", rf"\b(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}]{{1,30}}(?: \p{{Lu}}[\p{{L}}]{{1,30}})?"),
+    ("name", rf"\b(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_PART}(?: {_PART})?"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What a text needs for any of the patterns to match; far cheaper than they are.
-HINT = rf"[0-9@]|\b(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b|\b(?:{MALE}|{FEMALE})\b"
+HINT = rf"[0-9@]|\b(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b|\b(?:{MALE}|{FEMALE}|{NEUTRAL})\b"
 
 
 def _chars(s: Column) -> Column:
@@ -105,13 +115,56 @@ def permuted(s: Column, key: str, alphabets=TEXTUAL) -> Column:
     return F.when(F.length(s) < 2, _moved(s, _amount(key, F.lit(0)), alphabets)).otherwise(many)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _laid_out(e: Column, chars: Column, own: str) -> Column:
+    """chars in the places of e's characters that match own; the others stay."""
+    count = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), f"(?!{own}).", ""))
+    return F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike(own), F.substring(chars, count(i), F.lit(1))).otherwise(c)), "")
+
+
+def _digits(e: Column) -> Column:
+    return F.regexp_replace(e, r"\D", "")
+
+
+def _cased(moved: Column, e: Column) -> Column:
+    """moved, with capitals where e has them."""
+    return F.array_join(F.zip_with(_chars(moved), _chars(e), lambda m, c: F.when(c != F.lower(c), F.upper(m)).otherwise(m)), "")
+
+
 def _email(e: Column, key: str) -> Column:
+    plain = lambda x: _cased(permuted(F.lower(x), key, (DIGITS, LOWER)), x)
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     known = r"(?i)(^|\.)(example\.(?:com|net|org))$"
     kept = F.regexp_extract(domain, known, 2)
     rest = F.regexp_replace(domain, known, "")
-    other = F.concat(permuted(F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), key), F.lit("."), F.substring_index(domain, ".", -1), F.lit(".example"))
-    return F.concat(permuted(local, key), F.lit("@"), F.when(kept == "", other).when(rest == "", kept).otherwise(F.concat(permuted(rest, key), F.lit("."), kept)))
+    other = F.concat(plain(F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)), F.lit("."), F.substring_index(domain, ".", -1), F.lit(".example"))
+    return F.concat(plain(local), F.lit("@"), F.when(kept == "", other).when(rest == "", kept).otherwise(F.concat(plain(rest), F.lit("."), kept)))
+
+
+def _phone(e: Column, key: str) -> Column:
+    """The country code stays; the digits behind it are permuted without their layout."""
+    head = F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .\-(])|)", 1)
+    rest = F.substring(e, F.length(head) + 1, F.length(e))
+    return F.concat(head, _let(permuted(_digits(rest), key, (DIGITS,)), lambda d: _laid_out(rest, d, r"\d")))
+
+
+def _mod97(country: Column, rest: Column) -> Column:
+    """The check digits that an IBAN of this country and account has."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    left = F.aggregate(_chars(F.concat(rest, country, F.lit("00"))), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+    return F.lit(98) - left
+
+
+def _iban(e: Column, key: str) -> Column:
+    """The account is permuted; the check digits are as far from the right ones as before."""
+    country, check, account = F.substring(e, 1, 2), F.substring(e, 3, 2).cast("int"), F.regexp_replace(F.substring(e, F.lit(5), F.length(e)), " ", "")
+    pair = F.struct(permuted(account, key).alias("m"), (check - _mod97(country, account)).alias("off"))
+    whole = lambda x: F.concat(country, F.lpad(F.pmod(_mod97(country, x["m"]) + x["off"], F.lit(100)).cast("string"), 2, "0"), x["m"])
+    return _let(_let(pair, whole), lambda x: _laid_out(e, x, r"[A-Z0-9]"))
 
 
 def _kept_prefix(e: Column, pattern: str, key: str, alphabets=TEXTUAL) -> Column:
@@ -128,11 +181,14 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(e: Column, key: str) -> Column:
-    body, check = F.substring(e, F.lit(1), F.length(e) - 1), F.substring(e, F.length(e), F.lit(1)).cast("int")
-    plain = lambda x: F.regexp_replace(x, r"\D", "")
-    moved = F.concat(F.substring(body, 1, 1), permuted(F.substring(body, F.lit(2), F.length(body)), key))
-    pair = F.array(F.struct(moved.alias("m"), (check - _luhn(plain(body))).alias("off")))
-    return F.element_at(F.transform(pair, lambda x: F.concat(x["m"], F.pmod(_luhn(plain(x["m"])) + x["off"], F.lit(10)).cast("string"))), 1)
+    """The first digit stays; the check digit is as far from the right one as before."""
+
+    def moved(d: Column) -> Column:
+        body, check = F.substring(d, F.lit(1), F.length(d) - 1), F.substring(d, F.length(d), F.lit(1)).cast("int")
+        pair = F.struct(F.concat(F.substring(body, 1, 1), permuted(F.substring(body, F.lit(2), F.length(body)), key, (DIGITS,))).alias("m"), (check - _luhn(body)).alias("off"))
+        return _let(pair, lambda x: F.concat(x["m"], F.pmod(_luhn(x["m"]) + x["off"], F.lit(10)).cast("string")))
+
+    return _let(moved(_digits(e)), lambda d: _laid_out(e, d, r"\d"))
 
 
 def _ip(e: Column, key: str) -> Column:
@@ -147,7 +203,9 @@ def _name(e: Column, key: str) -> Column:
     title, rest = F.substring_index(e, " ", 1), F.regexp_replace(e, r"^\S+ ", "")
     family = F.substring_index(rest, " ", -1)
     given = F.when(rest.contains(" "), F.substring_index(rest, " ", 1))
-    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.?$"), "f").otherwise("m")
+    # without a title that tells it, the given name itself decides, so that a person keeps one
+    either = F.when(F.crc32(F.concat(F.lit(key), F.coalesce(given, F.lit(""))).cast("binary")) % 2 == 0, "f").otherwise("m")
+    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.?$"), "f").when(title.rlike(rf"^(?:{MALE})\.?$"), "m").otherwise(either)
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     chosen = None
     for (g, s), names in GIVEN.items():
@@ -155,8 +213,8 @@ def _name(e: Column, key: str) -> Column:
         name = F.element_at(F.array(*[F.lit(n) for n in names]), _amount(key, F.lit("given"), given) % len(names) + 1)
         chosen = F.when(here, name) if chosen is None else chosen.when(here, name)
     # the permuted given name behind the chosen one keeps people with one family name apart
-    first = F.when(given.isNotNull(), F.concat(chosen, F.lit("-"), permuted(given, key), F.lit(" ")))
-    return F.concat(title, F.lit(" "), F.coalesce(first, F.lit("")), permuted(family, key))
+    first = F.when(given.isNotNull(), F.concat(chosen, F.lit("-"), permuted(given, key, SOUNDS), F.lit(" ")))
+    return F.concat(title, F.lit(" "), F.coalesce(first, F.lit("")), permuted(family, key, SOUNDS))
 
 
 def kind_of(e: Column) -> Column:
@@ -170,20 +228,23 @@ def kind_of(e: Column) -> Column:
 
 def surrogate(e: Column, key: str = KEY) -> Column:
     """The replacement of one entity."""
-    kind = kind_of(e)
     setting = r"(?s)^(.*?[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,256}$"
     value = F.regexp_replace(e, r"(?s)^.*[=:]\s{0,3}[\"']?", "")
-    return (
-        F.when(kind == "email", _email(e, key))
-        .when(kind == "setting", F.when(value.rlike("^[0-9a-f]+$"), _kept_prefix(e, setting, key, (HEX,))).otherwise(_kept_prefix(e, setting, key)))
-        .when(kind == "access_key", _kept_prefix(e, "^(....)", key))
-        .when(kind == "iban", _kept_prefix(e, "^(..)", key))
-        .when(kind == "ip", _ip(e, key))
-        .when(kind == "phone", _kept_prefix(e, r"^(\+\d{1,3}(?=[ .\-(])|)", key))
-        .when(kind == "ssn", permuted(e, key))
-        .when(kind == "name", _name(e, key))
-        .otherwise(_card(e, key))
-    )
+
+    def of(kind: Column) -> Column:
+        return (
+            F.when(kind == "email", _email(e, key))
+            .when(kind == "setting", F.when(value.rlike("^[0-9a-f]+$"), _kept_prefix(e, setting, key, (HEX,))).otherwise(_kept_prefix(e, setting, key)))
+            .when(kind == "access_key", _kept_prefix(e, "^(....)", key))
+            .when(kind == "iban", _iban(e, key))
+            .when(kind == "ip", _ip(e, key))
+            .when(kind == "phone", _phone(e, key))
+            .when(kind == "ssn", _let(permuted(_digits(e), key, (DIGITS,)), lambda d: _laid_out(e, d, r"\d")))
+            .when(kind == "name", _name(e, key))
+            .otherwise(_card(e, key))
+        )
+
+    return _let(kind_of(e), of)
 
 
 def entities(text: Column) -> Column:
@@ -201,11 +262,11 @@ def replaced(text: Column, found: Column, key: str = KEY) -> Column:
 
 def with_surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
     """docs with the entities of text_col replaced; count_col, if given, counts them."""
-    found = entities(F.col(text_col))
-    out = docs.withColumn("__found", found)
+    (found,) = free(docs, "__found")
+    out = docs.withColumn(found, entities(F.col(text_col)))
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size("__found"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, replaced(F.col(text_col), F.col("__found"), key)).drop("__found")
+        out = out.withColumn(count_col, F.coalesce(F.size(found), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, replaced(F.col(text_col), F.col(found), key)).drop(found)
 
 
 def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -216,5 +277,8 @@ def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_surrogates(documents(spark, sf_dir).select("doc_id", "text"), count_col="n_entities")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    if found := collisions(docs).take(1):
+        raise ValueError(f"a surrogate stands for {found[0]['count']} entities of type {found[0]['kind']}: choose another key")
+    out = with_surrogates(docs, count_col="n_entities")
     return out.select("doc_id", "text", "n_entities")

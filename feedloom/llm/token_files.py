@@ -73,7 +73,8 @@ class Library:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # their strings in a text are encoded as the library does, each by itself
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.newline = self.encode(["\n"])[0]
         self.encoder = chunks.Encoder(self.encode_chunks, f"<u{self.width}")
@@ -93,7 +94,7 @@ class Library:
         import numpy as np
 
         out: list = [None] * len(texts)
-        lines = [i for i, t in enumerate(texts) if t[:1] == " " and len(t) < 100 and t[1:].split() == [t[1:]]]
+        lines = [i for i, t in enumerate(texts) if t[:1] == " " and len(t) < 100 and t[1:].split() == [t[1:]] and not any(x in t for x in self.special)]
         if len(self.newline) == 1:
             for at in range(0, len(lines), 2000):
                 part = lines[at : at + 2000]

@@ -98,6 +98,45 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert len(set(got)) == len(got) and surrogates.collisions(df).count() == 0
 
 
+def one_surrogate(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [r["text"] for r in surrogates.with_surrogates(df).orderBy("doc_id").collect()]
+
+
+def test_formats_of_an_entity_share_a_surrogate(spark):
+    plain = lambda x: "".join(c for c in x if c.isalnum())
+    a, b, c = one_surrogate(spark, "4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111")
+    assert plain(a) == b == plain(c) and a[4] == a[9] == " " and c[4] == "-" and b != "4111111111111111"
+    a, b, c = one_surrogate(spark, "+1 (876) 555-3199", "+1 876 555 3199", "(876) 555-3199")
+    assert plain(a) == plain(b) == "1" + plain(c) and a[:4] == "+1 (" and a != "+1 (876) 555-3199"
+    a, b = one_surrogate(spark, "A.Bc@Corp.org", "a.bc@corp.org")
+    assert a.lower() == b and a[0].isupper() and a[4:6] == f"@{a[5].upper()}" and b != "a.bc@corp.org"
+    a, b = one_surrogate(spark, "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432")
+    assert plain(a) == b and a != "GB82 WEST 1234 5698 7654 32" and a[4] == a[9] == " "
+
+
+def test_iban_check_digits(spark):
+    valid = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    good, bad = one_surrogate(spark, "GB82WEST12345698765432", "GB83WEST12345698765432")
+    assert valid("GB82WEST12345698765432") and valid(good) and not valid(bad) and good[4:] == bad[4:] and good[:2] == "GB"
+
+
+def test_whole_names_get_surrogates(spark):
+    got = one_surrogate(spark, "Mrs. Anna-Maria O'Neil", "Dr. Jane Roe", "Mr Smith", "Mr John Smith", "Господин Петров", "Prof Roe left", "Dr. Jane Roe and Dr. Jane Roe")
+    assert got[0].startswith("Mrs. ") and not any(x in got[0] for x in ("Anna-Maria", "Maria O", "Neil", "O'N"))
+    assert got[0].split(" ")[1].split("-")[0] in surrogates.GIVEN["f", "latin"] and got[0].split(" ")[2][1] == "'"
+    assert "Jane" not in got[1] and "Roe" not in got[1] and got[2].split()[-1] == got[3].split()[-1] and got[5].endswith(" left")
+    assert got[5].split()[1] == got[1].split()[-1] and got[6] == f"{got[1]} and {got[1]}"
+    vowels = lambda w: [c.lower() in surrogates.VOWELS for c in w]
+    assert vowels(got[2].split()[1]) == vowels("Smith") and vowels(got[4].split()[1]) == vowels("Петров")
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([(1, "mail a@corp.org", "x", "y", "z")], "doc_id long, text string, __found string, __w string, __letters string")
+    assert surrogates.with_surrogates(df).select("__found", "__w").collect() == [("x", "y")]
+    assert quality_model.features(df).select("__found", "__w", "__letters").collect() == [("x", "y", "z")]
+
+
 def test_card_check_digit_is_kept(spark):
     def valid(n):
         ds = [int(c) for c in n if c.isdigit()][::-1]
@@ -237,14 +276,16 @@ def test_token_files_round_trip(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_files.byte_50k())
-    t.encode_special_tokens = True
+    ends = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", "x  <|endoftext|>\n\ny <|endof text|>", "p\n<|endoftext|>\nq"]
+    more = [(700 + i, x, "en", "s1", len(x), "k", "z", "s", "p") for i, x in enumerate(ends)]
+    docs = docs.union(spark.createDataFrame(more, SCHEMA))
     path = f"file://{tmp_path}/tokens"
     shards = token_files.write(docs, token_files.byte_50k(), path)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read(spark, path, shards).collect())
     start, order = 0, [g[1] for g in got]
-    assert order == [None, *sorted(r[0] for r in rows() if r[0] is not None)]
+    assert order == [None, *sorted(r[0] for r in [*rows(), *more] if r[0] is not None)]
     left = {}
-    for r in rows():
+    for r in [*rows(), *more]:
         ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]
         left.setdefault(r[0], []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     for s, d, n, c in got:
