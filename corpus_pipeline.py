@@ -16,19 +16,15 @@ NEAR = {"num": 80, "den": 100, "shingle": 5}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject (score of 0.5 and more)."""
+    """Documents that the classifier doesn't reject (score of 0.5 and more). A null or empty text is judged by its
+    statistics (all 0), repeated rows are judged alike, long texts whole, and an empty table stays empty."""
     scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), keep_columns=True, names=("__score", "__predicted"))
     return scored.filter("__predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents that links join: the one of least doc_id. Where
-    doc_ids repeat or are null, rows are told apart by a row number."""
-    ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if ids[0] == ids[1]:
-        found = set_join.similar_components(docs, **NEAR)
-        firsts = found.filter("doc_id = component_id").select("doc_id")
-        return docs.join(firsts, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of documents that links join: the one of least doc_id, a null one last. Rows are told
+    apart by a row number of a written table, so doc_ids may repeat or be null. Texts without words are in no group and stay."""
     marked = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = set_join.similar_components(marked, **NEAR, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
     named = found.join(marked.select("__row", "doc_id"), "__row")
@@ -37,19 +33,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates in place of personal data; n_chars follows the text."""
+    """Texts with surrogates in place of personal data; n_chars follows the text. Null texts stay null (n_chars too),
+    texts without entities stay as they are, repeated rows are replaced alike."""
     out = surrogates.with_surrogates(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: once an epoch, the last of a source cut at the budget."""
+    """The documents of the mix: once an epoch, the last of a source cut at the budget. Texts without words take nothing
+    and aren't in the mix; a null source is a source, the last one; repeated rows are taken each for itself."""
     out = source_mix.mixed_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and digests of the ids and of the decoded bytes of every row."""
+    """doc_id, source, n_tokens and digests of the ids and of the decoded bytes of every row. A null text counts as empty
+    and has no tokens; repeated rows are encoded alike; long texts whole."""
     return byte_bpe.digests(docs, *byte_bpe.multi_50k(), keep=("source",))
 
 
