@@ -86,38 +86,46 @@ def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _amount(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 7), 16, 10).cast("int")
 
 
 def _moved(c: Column, amount: Column, alphabets) -> Column:
-    out = None
-    for a in alphabets:
-        at = F.call_function("locate", c, F.lit(a))
-        to = F.substring(F.lit(a), (at - 1 + amount) % len(a) + 1, F.lit(1))
-        out = F.when(at > 0, to) if out is None else out.when(at > 0, to)
-    return out.otherwise(c)
+    """c, moved within the alphabet that holds it: the letters of all alphabets stand in one string, with the start and size
+    of each letter's own beside it."""
+    letters = "".join(alphabets)
+    starts = [len("".join(alphabets[:k])) for k in range(len(alphabets))]
+    own = F.expr(f"map({', '.join(f"{k}, named_struct('at', {starts[k]}, 'n', {len(a)})" for k, a in enumerate(alphabets))})")
+    which = "".join(chr(0x100 + k) * len(a) for k, a in enumerate(alphabets))
+    alphabet = lambda at: own[F.ascii(F.substring(F.lit(which), at, F.lit(1))) - 0x100]
+    to = lambda at, a: F.substring(F.lit(letters), a["at"] + (at - 1 - a["at"] + amount) % a["n"] + 1, F.lit(1))
+    return _let(F.call_function("locate", c, F.lit(letters)), lambda at: F.when(at > 0, _let(alphabet(at), lambda a: to(at, a))).otherwise(c))
 
 
 def permuted(s: Column, key: str, alphabets=TEXTUAL) -> Column:
     """A keyed permutation of the strings with the same alphabet at each place. A string of one
     character is moved by the key alone."""
-    cs = _chars(s)
-    half = F.floor(F.size(cs) / 2).cast("int")
-    start = F.struct(F.slice(cs, F.lit(1), half).alias("l"), F.slice(cs, half + 1, F.size(cs)).alias("r"))
-    start = F.struct(F.coalesce(start["l"], F.array().cast("array<string>")).alias("l"), F.coalesce(start["r"], F.array().cast("array<string>")).alias("r"))
+    one = F.array().cast("array<string>")
 
     def turn(state: Column, k: Column) -> Column:
-        other = F.array_join(state["r"], "")
-        return F.struct(state["r"].alias("l"), F.transform(state["l"], lambda c, i: _moved(c, _amount(key, k, i, other), alphabets)).alias("r"))
+        # the other half's text is computed once for all characters
+        return _let(F.array_join(state["r"], ""), lambda other: F.struct(state["r"].alias("l"), F.transform(state["l"], lambda c, i: _moved(c, _amount(key, k, i, other), alphabets)).alias("r")))
 
-    many = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda state: F.concat(F.array_join(state["l"], ""), F.array_join(state["r"], "")))
-    return F.when(F.length(s) < 2, _moved(s, _amount(key, F.lit(0)), alphabets)).otherwise(many)
+    def halves(cs: Column) -> Column:
+        half = F.floor(F.size(cs) / 2).cast("int")
+        return F.struct(F.when(half > 0, F.slice(cs, F.lit(1), half)).otherwise(one).alias("l"), F.when(half >= 0, F.slice(cs, half + 1, F.size(cs))).otherwise(one).alias("r"))
 
+    # a half of no characters takes no part, so one character is moved by the key alone
+    def whole(cs: Column) -> Column:
+        many = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves(cs), turn, lambda state: F.array_join(F.concat(state["l"], state["r"]), ""))
+        return F.when(F.size(cs) > 1, many).otherwise(F.array_join(F.transform(cs, lambda c: _moved(c, _amount(key, F.lit(0)), alphabets)), ""))
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return _let(_chars(s), whole)
 
 
 def _laid_out(e: Column, chars: Column, own: str) -> Column:
@@ -136,7 +144,7 @@ def _cased(moved: Column, e: Column) -> Column:
 
 
 def _email(e: Column, key: str) -> Column:
-    plain = lambda x: _cased(permuted(F.lower(x), key, (DIGITS, LOWER)), x)
+    plain = lambda x: _let(x, lambda y: _cased(permuted(F.lower(y), key, (DIGITS, LOWER)), y))
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     known = r"(?i)(^|\.)(example\.(?:com|net|org))$"
     kept = F.regexp_extract(domain, known, 2)
@@ -207,10 +215,10 @@ def _name(e: Column, key: str) -> Column:
     either = F.when(F.crc32(F.concat(F.lit(key), F.coalesce(given, F.lit(""))).cast("binary")) % 2 == 0, "f").otherwise("m")
     gender = F.when(title.rlike(rf"^(?:{FEMALE})\.?$"), "f").when(title.rlike(rf"^(?:{MALE})\.?$"), "m").otherwise(either)
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    chosen = None
+    chosen, chosen_by = None, _amount(key, F.lit("given"), given)
     for (g, s), names in GIVEN.items():
         here = (gender == g) & (script == s)
-        name = F.element_at(F.array(*[F.lit(n) for n in names]), _amount(key, F.lit("given"), given) % len(names) + 1)
+        name = F.element_at(F.expr(f"array({', '.join(f"'{n}'" for n in names)})"), chosen_by % len(names) + 1)
         chosen = F.when(here, name) if chosen is None else chosen.when(here, name)
     # the permuted given name behind the chosen one keeps people with one family name apart
     first = F.when(given.isNotNull(), F.concat(chosen, F.lit("-"), permuted(given, key, SOUNDS), F.lit(" ")))
