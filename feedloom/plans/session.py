@@ -12,6 +12,7 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str =
         "spark.driver.memory": memory,
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         **conf,
     }.items():
