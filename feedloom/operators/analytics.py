@@ -70,9 +70,13 @@ def ana_recent_issues(t: Tables, top: int = 20) -> DataFrame:
     return t.active.filter("label = 'negative'").orderBy(F.desc("published_at"), "id").limit(top).select("id", "platform_id", engagement().alias("eng"))
 
 
-@query("select published_at::date as day, count(*)::bigint as n, round(avg(score), 8) as avg_score from amentions where keyword ilike 'KW1_' group by 1")
-def ana_keyword_track(t: Tables, pattern: str = "KW1_") -> DataFrame:
-    return t.mentions(t.active).filter(F.col("keyword").ilike(pattern)).groupBy(day().alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("avg_score"))
+@query("""select published_at::date as day, count(*)::bigint as n, sum((label = 'positive')::int)::bigint as positive, sum((label = 'negative')::int)::bigint as negative, sum((label = 'neutral')::int)::bigint as neutral, round(avg(score), 3) as avg_score
+from active where published_at >= timestamp '2024-01-31' - interval 30 day and body ilike '%kw1%' group by 1""", keyword="kw1")
+def ana_keyword_track(t: Tables, keyword: str, days: int = 30, bucket: str = "day") -> DataFrame:
+    """Posts whose text holds a keyword, by day, week or month."""
+    v = t.active.filter((F.col("published_at") >= t.as_of - F.expr(f"interval {days} days")) & F.col("body").ilike(f"%{keyword}%"))
+    label = lambda x: F.sum((F.col("label") == x).cast("int")).cast("long").alias(x)
+    return v.groupBy(F.to_date(F.date_trunc(bucket, "published_at")).alias("day")).agg(F.count("*").alias("n"), label("positive"), label("negative"), label("neutral"), F.round(F.avg("score"), 3).alias("avg_score"))
 
 
 @query("""select product_id, count(*)::bigint as total, count(*) filter (label = 'negative')::bigint as neg, round(count(*) filter (label = 'negative')::double / count(*), 4) as neg_rate,
@@ -102,20 +106,22 @@ def ins_emerging_keywords(t: Tables, days: int = 7) -> DataFrame:
     return g.select("keyword", "this", "prev", F.round(ratio(F.col("this") - F.col("prev"), F.greatest("prev", F.lit(1))), 4).alias("growth"), F.expr("case when this >= prev + 2 then 'emerging' when prev >= this + 2 then 'declining' else 'flat' end").alias("state"))
 
 
-@query("""select keyword, platform_id, count(*)::bigint as n from mentions r where published_at::date > date '2024-01-27' and not exists (select 1 from mentions o where o.keyword = r.keyword and o.platform_id = r.platform_id and o.published_at::date <= date '2024-01-27' and o.published_at::date > date '2024-01-13') group by 1, 2 having count(*) >= 1""")
-def ins_new_terms(t: Tables, days: int = 3, prior: int = 14) -> DataFrame:
-    """Keywords of a platform in the last days that it didn't have in the days before."""
+@query("""select keyword, language, min(published_at::date) as first_seen, count(*)::bigint as n from mentions r where published_at::date > date '2024-01-30' - 29 and published_at::date <= date '2024-01-30' and not exists (select 1 from mentions o where o.keyword = r.keyword
+  and coalesce(o.language, '') = coalesce(r.language, '') and o.published_at::date <= date '2024-01-30' - 29 and o.published_at::date > date '2024-01-30' - 119) group by 1, 2 having count(*) >= 2 order by n desc, first_seen desc, keyword, language limit 50""", days=29)
+def ins_new_terms(t: Tables, days: int = 30, history: int = 90, floor: int = 2, top: int = 50) -> DataFrame:
+    """Keywords of a language in the last days that the days before lack. One aggregation gives both, archived posts included."""
     edge = F.date_sub(t.anchor, days)
-    old = t.mentions(t.posts.filter((day() <= edge) & (day() > F.date_sub(edge, prior)))).select("keyword", "platform_id").distinct()
-    return t.mentions(t.posts.filter(day() > edge)).join(old, ["keyword", "platform_id"], "left_anti").groupBy("keyword", "platform_id").agg(F.count("*").alias("n"))
+    new = day() > edge
+    g = t.mentions(t.window(t.posts, days + history)).groupBy("keyword", "language").agg(F.min(day()).alias("first_seen"), F.count_if(new).alias("n"), F.count_if(~new).alias("old"))
+    return g.filter((F.col("old") == 0) & (F.col("n") >= floor)).orderBy(F.desc("n"), F.desc("first_seen"), "keyword", "language").limit(top).select("keyword", "language", "first_seen", "n")
 
 
 @query("""select product_id, n, round(a, 4) as after, round(b, 4) as before, round(a - b, 4) as delta_pp from (select product_id, count(*)::bigint as n, avg(score) filter (published_at::date > date '2024-01-23') as a, avg(score) filter (published_at::date <= date '2024-01-23') as b
-  from active where product_id is not null and published_at::date > date '2024-01-16' and published_at::date <= date '2024-01-30' group by 1) where n >= 10""")
-def ins_sentiment_swing(t: Tables, days: int = 14, floor: int = 10) -> DataFrame:
+  from active where product_id is not null and published_at::date > date '2024-01-16' and published_at::date <= date '2024-01-30' group by 1) where n >= 10 order by abs(round(a - b, 4)) desc, product_id""", floor=10)
+def ins_sentiment_swing(t: Tables, days: int = 14, floor: int = 50) -> DataFrame:
     now = day() > F.date_sub(t.anchor, days // 2)
     g = t.window(t.active, days).filter("product_id is not null").groupBy("product_id").agg(F.count("*").alias("n"), F.avg(F.when(now, F.col("score"))).alias("a"), F.avg(F.when(~now, F.col("score"))).alias("b")).filter(F.col("n") >= floor)
-    return g.select("product_id", "n", F.round("a", 4).alias("after"), F.round("b", 4).alias("before"), F.round(F.col("a") - F.col("b"), 4).alias("delta_pp"))
+    return g.select("product_id", "n", F.round("a", 4).alias("after"), F.round("b", 4).alias("before"), F.round(F.col("a") - F.col("b"), 4).alias("delta_pp")).orderBy(F.abs("delta_pp").desc(), "product_id")
 
 
 @query("""select p.code, o.o::bigint as offset_days, count(v.id)::bigint as n, round(avg(score), 8) as avg_score from products p cross join (values (0), (7), (14)) o(o)
@@ -128,17 +134,24 @@ def ins_product_lifecycle(t: Tables, offsets=(0, 7, 14), around: int = 3) -> Dat
     return at.join(g, ["product_id", "day"], "left").groupBy("code", F.col("offset_days").cast("long").alias("offset_days")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.round(ratio(F.sum("s"), F.sum("c")), 8).alias("avg_score"))
 
 
-@query("""select platform_id, n, case when hi = lo then 50.0 else round((raw - lo) / (hi - lo) * 100, 3) end as influence from (select *, min(raw) over () as lo, max(raw) over () as hi from (
-  select platform_id, count(*)::bigint as n, (avg(likes + comments + shares) + 1) * (100.0 * count(*) filter (label = 'negative') / count(*) + 1) / (1 + exp(least(20.0, greatest(-20.0, avg((date '2024-01-30' - published_at::date)::double))) / 2)) as raw
-  from active where published_at::date > date '2024-01-16' and published_at::date <= date '2024-01-30' group by 1 having count(*) >= 5))""")
-def ins_platform_influence(t: Tables, days: int = 14) -> DataFrame:
-    """Engagement times negative share times a sigmoid of the age, scaled to 0..100 over the platforms."""
-    age = F.avg(F.datediff(t.anchor, day()).cast("double"))
-    raw = (F.avg(engagement()) + 1) * (ratio(count_label("negative") * 100, F.count("*")) + 1) / (1 + F.exp(F.least(F.lit(20.0), F.greatest(F.lit(-20.0), age)) / 2))
-    g = t.window(t.active, days).groupBy("platform_id").agg(F.count("*").alias("n"), raw.alias("raw")).filter("n >= 5")
-    w = Window.partitionBy(F.lit(1))
-    g = g.withColumn("lo", F.min("raw").over(w)).withColumn("hi", F.max("raw").over(w))
-    return g.select("platform_id", "n", F.when(F.col("hi") == F.col("lo"), 50.0).otherwise(F.round((F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100, 3)).alias("influence"))
+@query("""select platform_id, region, n, round(lag_days, 4) as lag_days, case when hi = lo then 50.0 else round((raw - lo) / (hi - lo) * 100, 3) end as influence from (select *, min(raw) over () as lo, max(raw) over () as hi from (
+  select platform_id, region, n, (eng + 1) * (100.0::double * neg / n + 1) / (1 + exp(greatest(-20.0, least(20.0, lag_days / 2)))) as raw, lag_days from (
+    select platform_id, region, count(*)::bigint as n, avg(likes + comments + shares) as eng, count(*) filter (label = 'negative') as neg, (sum(s)::double / count(*) - (select sum(s)::double / count(*) from (select datediff('second', timestamp '2024-01-01', published_at) as s from active where published_at::date between date '2024-01-30' - 30 and date '2024-01-30'))) / 86400 as lag_days
+    from (select *, datediff('second', timestamp '2024-01-01', published_at) as s from active) v join platforms f on f.id = v.platform_id where published_at::date between date '2024-01-30' - 30 and date '2024-01-30' group by 1, 2 having count(*) >= 5)))""")
+def ins_platform_influence(t: Tables, days: int = 30, floor: int = 5) -> DataFrame:
+    """Engagement times negative share times a sigmoid of the lead, scaled to 0..100 over the platforms. A platform leads
+    if its mean time lies before that of all posts."""
+    v = t.since(t.active, days).withColumn("s", F.expr("timestampdiff(SECOND, timestamp_ntz '2024-01-01', published_at)"))
+    mean = lambda s, n: F.sum(s).cast("double") / F.sum(n)
+    g = v.groupBy("platform_id").agg(F.count("*").alias("n"), F.avg(engagement()).alias("eng"), count_label("negative").alias("neg"), F.sum("s").alias("s"))
+    everything = g.agg(mean("s", "n").alias("middle"))
+    lag = (F.col("s").cast("double") / F.col("n") - F.col("middle")) / 86400
+    g = g.filter(F.col("n") >= floor).join(t.platforms.select(F.col("id").alias("platform_id"), "region"), "platform_id").crossJoin(everything).withColumn("lag_days", lag)
+    raw = (F.col("eng") + 1) * (ratio(F.col("neg") * 100, F.col("n")) + 1) / (1 + F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("lag_days") / 2))))
+    g = g.withColumn("raw", raw)
+    g = g.crossJoin(g.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")))
+    scaled = F.when(F.col("hi") == F.col("lo"), 50.0).otherwise(F.round((F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100, 3))
+    return g.select("platform_id", "region", "n", F.round("lag_days", 4).alias("lag_days"), scaled.alias("influence"))
 
 
 @query("""select count(*)::bigint as total, round(100.0 * count(*) filter (label = 'negative') / count(*), 2)::double as neg_pct,

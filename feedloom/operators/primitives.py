@@ -27,7 +27,7 @@ def filter_array_contains(t: Tables) -> DataFrame:
     return t.posts.filter(has("categories", "cat3")).select("id", F.size("categories").cast("long").alias("n"))
 
 
-@query("select id, not coalesce(list_contains(categories, 'cat3'), false) as untagged, list_aggregate(list_sort(list_distinct(coalesce(categories, []) || ['cat3'])), 'string_agg', '|') as tagged from posts where id % 3 = 0 and not coalesce(list_contains(categories, 'cat3'), false)")
+@query("select id, not coalesce(list_contains(categories, 'cat3'), false) as untagged, list_aggregate(list_sort(list_distinct(coalesce(categories, []) || ['cat3'])), 'string_agg', '|') as tagged from posts where not coalesce(list_contains(categories, 'cat3'), false)")
 def filter_array_all_append(t: Tables) -> DataFrame:
     """Rows without a category, with that category appended."""
     held = F.coalesce("categories", F.array().cast("array<string>"))
@@ -68,7 +68,7 @@ def join_left_keep_empty(t: Tables) -> DataFrame:
     return t.platforms.join(bad, F.col("id") == F.col("platform_id"), "left").select("code", "region", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
-@query("select v.id, coalesce(p.code, 'none') as product, coalesce(f.region, 'none') as region from posts v left join products p on p.id = v.product_id left join platforms f on f.id = v.platform_id where v.id % 5 = 0")
+@query("select v.id, coalesce(p.code, 'none') as product, coalesce(f.region, 'none') as region from posts v left join products p on p.id = v.product_id left join platforms f on f.id = v.platform_id")
 def join_left_dims(t: Tables) -> DataFrame:
     p = t.products.select(F.col("id").alias("product_id"), F.col("code").alias("product"))
     f = t.platforms.select(F.col("id").alias("platform_id"), "region")

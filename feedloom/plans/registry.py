@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +12,12 @@ from feedloom.sources.posts import SQL_VIEWS, Tables
 _FOUND: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of Tables under its name. sql may use the views of SQL_VIEWS."""
+def query(sql: str | None = None, **given):
+    """Registers a function of Tables under its name. sql may use the views of SQL_VIEWS. given: arguments of the registered
+    query where a function's defaults, made for years of posts, would find nothing in a month of them."""
 
-    def add(f: Callable[[Tables], DataFrame]):
-        _FOUND[f.__name__] = (f, sql)
+    def add(f: Callable[..., DataFrame]):
+        _FOUND[f.__name__] = (partial(f, **given), sql)
         return f
 
     return add
@@ -23,7 +25,7 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     from feedloom.functions import text  # noqa: F401
-    from feedloom.operators import analytics, community, deep, monitoring, primitives, reports, rollups  # noqa: F401
+    from feedloom.operators import analytics, community, deep, details, monitoring, primitives, reports, rollups, writes  # noqa: F401
     from feedloom.sources import files  # noqa: F401
     from feedloom.streaming import events  # noqa: F401
 

@@ -44,6 +44,7 @@ class Tables:
             F.when(F.col("k") % 3 == 0, "ko").when(F.col("k") % 3 == 1, "en").otherwise("de").alias("language"),
             label.alias("label"), score.alias("score"), cats.alias("categories"), F.floor("value").cast("long").alias("likes"), F.col("k").alias("comments"), (F.col("k") % 5).alias("shares"),
             F.col("ts").alias("published_at"), F.col("ts").alias("collected_at"), F.when(F.col("event_id") % 10 == 0, F.col("ts")).alias("archived_at"),
+            F.when(F.col("k") % 17 != 0, F.concat(kind, F.lit(" at KW"), (F.col("k") % 40).cast("string"), F.lit(", kw"), (40 + F.floor("value") % 30).cast("string"), F.repeat(F.lit("!"), F.col("k").cast("int") % 3))).alias("body"),
         )
 
     @cached_property
@@ -79,6 +80,10 @@ class Tables:
         """Rows of the last days before as_of, half open."""
         return posts.filter((F.col(column) >= self.as_of - F.expr(f"interval {days} days")) & (F.col(column) < self.as_of))
 
+    def since(self, posts: DataFrame, days: int) -> DataFrame:
+        """Rows published from days before the anchor date to that date, both included."""
+        return posts.filter(F.to_date("published_at").between(F.date_sub(self.anchor, days), self.anchor))
+
     def window(self, posts: DataFrame, days: int) -> DataFrame:
         """Rows published in the days up to and with the anchor date."""
         day = F.to_date("published_at")
@@ -93,7 +98,8 @@ with posts as (
     case when event_type = 'error' then 'negative' when event_type in ('purchase', 'signup') then 'positive' when event_type = 'view' and k % 13 = 0 then null else 'neutral' end as label,
     case when event_type = 'error' then -least(value, 100.0) / 100 when event_type in ('purchase', 'signup') then least(value, 100.0) / 100 when event_type = 'view' and k % 13 = 0 then null else 0.0 end as score,
     case when k % 11 = 0 then null when k % 2 = 0 then ['cat' || (k % 12)::varchar] else ['cat' || (k % 12)::varchar, 'cat' || ((k + 5) % 12)::varchar] end as categories,
-    floor(value)::bigint as likes, k as comments, k % 5 as shares, ts as published_at, ts as collected_at, case when event_id % 10 = 0 then ts end as archived_at
+    floor(value)::bigint as likes, k as comments, k % 5 as shares, ts as published_at, ts as collected_at, case when event_id % 10 = 0 then ts end as archived_at,
+    case when k % 17 <> 0 then event_type || ' at KW' || (k % 40)::varchar || ', kw' || (40 + floor(value)::bigint % 30)::varchar || repeat('!', (k % 3)::int) end as body
   from (select *, regexp_extract(props, '([0-9]+)', 1)::bigint as k from events)),
 active as (select * from posts where archived_at is null),
 kws as (select id as post_id, unnest(['kw' || (comments % 40)::varchar, 'kw' || (40 + likes % 30)::varchar, 'kw' || (70 + (comments + likes) % 25)::varchar]) as keyword from posts),

@@ -37,3 +37,20 @@ def test_export_takes_all_posts(t):
     chars = F.coalesce(F.sum(F.length(F.array_join("categories", "|"))), F.lit(0))
     want = t.posts.groupBy("label").agg(F.count("*").alias("n"), chars.alias("chars")).collect()
     assert got == {r["label"]: (r["n"], r["chars"]) for r in want}
+
+
+@pytest.mark.parametrize("name", ["st_tumbling", "st_sliding", "st_session", "st_dedup", "st_cooldown"])
+def test_streams_read_a_folder_like_a_file(spark, sf, t, tmp_path_factory, name):
+    folder = tmp_path_factory.mktemp("tables")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"file://{folder}/events.parquet")
+    f = getattr(events, name)
+    rows = sorted(map(tuple, f(Tables(spark, f"file://{folder}")).collect()), key=str)
+    assert rows == sorted(map(tuple, f(t).collect()), key=str) and rows
+
+
+def test_upserts_keep_the_latest_row_of_a_key(spark, tmp_path):
+    for k, part in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("c", 5), ("a", 1)])):
+        spark.createDataFrame(part, "k string, n long").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("k string, n long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    got = events.drain(stream.groupBy("k").agg(F.sum("n").alias("n")), "update", ["k"])
+    assert {tuple(r) for r in got.collect()} == {("a", 4), ("b", 1), ("c", 5)}
