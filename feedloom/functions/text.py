@@ -51,12 +51,11 @@ _TOKENS = f"(select doc_id, lang, w from (select doc_id, lang, unnest(regexp_ext
 
 @query(f"select w as word, count(*)::bigint as n, count(distinct doc_id)::bigint as docs from {_TOKENS} group by 1 order by n desc, word limit 50")
 def txt_tokens_topn(t: Tables, top: int = 50) -> DataFrame:
-    """Occurrences and documents of a word. Both are sums over one explode, so they combine before the shuffle, which
-    a distinct count of documents wouldn't."""
-    one = lambda n, d: lambda w: F.struct(w.alias("word"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    w = tokens(F.col("text"))
-    rows = t.table("documents").select(F.explode(F.concat(F.transform(w, one(1, 0)), F.transform(F.array_distinct(w), one(0, 1)))).alias("x"))
-    g = rows.groupBy(F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("docs"))
+    """Occurrences and documents of a word. A text's words are found and sorted once; the first of equal ones counts the
+    document, so both are sums over one row a word, which combine before the shuffle."""
+    first = lambda s: F.transform(s, lambda w, i: F.struct(w.alias("word"), F.when((i > 0) & (w == F.get(s, i - 1)), 0).otherwise(1).alias("d")))
+    rows = t.table("documents").select(F.explode(F.flatten(F.transform(F.array(F.array_sort(tokens(F.col("text")))), first))).alias("x"))
+    g = rows.groupBy(F.col("x.word").alias("word")).agg(F.count("*").alias("n"), F.sum("x.d").alias("docs"))
     return g.orderBy(F.desc("n"), "word").limit(top)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.columns import count_label, day, engagement, ratio
+from feedloom.operators.rollups import stored_edges
 from feedloom.plans.registry import query
 from feedloom.sources.posts import Tables
 
@@ -177,10 +178,8 @@ def chart_daily_filled(t: Tables, days: int = 14) -> DataFrame:
     union all select 'product:' || product_id::varchar, 'platform:' || platform_id::varchar, count(*) from posts where product_id is not null group by 1, 2
     union all select 'product:' || product_id::varchar, 'country:' || country_code, count(*) from posts where product_id is not null and country_code is not null group by 1, 2) group by 1, 2 having sum(weight) >= 5) group by 1""")
 def kg_graph(t: Tables, floor: int = 5) -> DataFrame:
-    """Products of the knowledge graph with the summed weights of their edges."""
-    from feedloom.operators.rollups import kg_edges
-
-    e = kg_edges(t).groupBy("source", "target").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= floor)
+    """Products of the knowledge graph with the summed weights of their edges, from the stored rollup."""
+    e = stored_edges(t).groupBy("source", "target").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= floor)
     return e.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("weight"), F.count("*").alias("edges"))
 
 

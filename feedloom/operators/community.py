@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.columns import count_label, day, ratio
 from feedloom.operators.rollups import platform_health
+from feedloom.operators.rollups import daily_scores
 from feedloom.plans.registry import query
 from feedloom.sources.posts import Tables
 
@@ -60,12 +61,12 @@ def com_clusters(t: Tables, k: int = 6, seed: int = 42) -> DataFrame:
 
 
 @query("""select platform_id, kind from (select *, case when p7 = 0 then 'dead_7d' end as a, case when p7 > 0 and p24 = 0 then 'idle_24h' end as b, case when s <= -0.05 then 'extreme_negative' end as c, case when p7 >= 14 and p24 < 0.9 * p7 / 7 then 'drop_rate' end as d from (
-  select f.id as platform_id, count(v.id) filter (collected_at >= timestamp '2024-01-24') as p7, count(v.id) filter (collected_at >= timestamp '2024-01-30') as p24, round(avg(score), 6) as s from platforms f left join posts v on v.platform_id = f.id group by 1)), unnest([a, b, c, d]) u(kind) where kind is not null""")
-def com_anomalies(t: Tables) -> DataFrame:
+  select f.id as platform_id, count(v.id) filter (collected_at >= timestamp '2024-01-24') as p7, count(v.id) filter (collected_at >= timestamp '2024-01-30') as p24, round(avg(score), 6) as s from platforms f left join posts v on v.platform_id = f.id group by 1)), unnest([a, b, c, d]) u(kind) where kind is not null""", extreme=-0.05, drop=0.9)
+def com_anomalies(t: Tables, extreme: float = -0.3, drop: float = 0.3) -> DataFrame:
     since = lambda d: F.count_if(F.col("collected_at") >= t.as_of - F.expr(f"interval {d} days"))
     g = t.posts.groupBy("platform_id").agg(since(7).alias("p7"), since(1).alias("p24"), F.round(F.avg("score"), 6).alias("s"))
     p = t.platforms.select(F.col("id").alias("platform_id")).join(g, "platform_id", "left").na.fill(0, ["p7", "p24"])
-    kinds = F.array(F.when(F.col("p7") == 0, "dead_7d"), F.when((F.col("p7") > 0) & (F.col("p24") == 0), "idle_24h"), F.when(F.col("s") <= -0.05, "extreme_negative"), F.when((F.col("p7") >= 14) & (F.col("p24") < F.col("p7") * 0.9 / 7), "drop_rate"))
+    kinds = F.array(F.when(F.col("p7") == 0, "dead_7d"), F.when((F.col("p7") > 0) & (F.col("p24") == 0), "idle_24h"), F.when(F.col("s") <= extreme, "extreme_negative"), F.when((F.col("p7") >= 14) & (F.col("p24") < F.col("p7") * drop / 7), "drop_rate"))
     return p.select("platform_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("kind"))
 
 
@@ -97,9 +98,10 @@ def alg_change_points(t: Tables) -> DataFrame:
     return of("n", "count").unionByName(of("s", "sent_avg"))
 
 
-@query("""select week, product_id, n, round(s / nullif(c, 0), 4) as sent_avg from (select date_trunc('week', collected_at)::date as week, product_id, count(*)::bigint as n, sum(score) as s, count(score) as c from posts where product_id is not null group by 1, 2)""")
+@query("""select week, product_id, n, round(s / nullif(c, 0), 4) as sent_avg from (select date_trunc('week', collected_at)::date as week, product_id, count(*)::bigint as n, sum(score::decimal(28,12))::double as s, count(score) as c from posts where product_id is not null group by 1, 2)""")
 def tmp_series(t: Tables, bucket: str = "week") -> DataFrame:
-    v = t.posts.filter("product_id is not null").groupBy(F.to_date(F.date_trunc(bucket, "collected_at")).alias("week"), "product_id").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.count("score").alias("c"))
+    """From the stored rollup."""
+    v = daily_scores(t).filter("product_id is not null").groupBy(F.to_date(F.date_trunc(bucket, "day")).alias("week"), "product_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
     return v.select("week", "product_id", "n", F.round(ratio(F.col("s"), F.col("c")), 4).alias("sent_avg"))
 
 
@@ -116,7 +118,9 @@ def _z(x: Column, w) -> Column:
 
 @query("""select country_code, n, round(m, 4) as sent_avg, case when coalesce(stddev_pop(m) over (), 0) = 0 then 0.0 else round((m - avg(m) over ()) / stddev_pop(m) over (), 4) end as z from (select country_code, count(*)::bigint as n, avg(score) as m from posts where country_code is not null and collected_at >= timestamp '2024-01-17' group by 1)""")
 def geo_choropleth(t: Tables, days: int = 14) -> DataFrame:
-    g = t.recent(t.posts, days).filter("country_code is not null").groupBy("country_code").agg(F.count("*").alias("n"), F.avg("score").alias("m"))
+    """From the stored rollup: whole days up to as_of."""
+    first = F.to_date(t.as_of - F.expr(f"interval {days} days"))
+    g = daily_scores(t).filter((F.col("day") >= first) & F.col("country_code").isNotNull()).groupBy("country_code").agg(F.sum("n").alias("n"), ratio(F.sum("s"), F.sum("c")).alias("m"))
     return g.select("country_code", "n", F.round("m", 4).alias("sent_avg"), F.round(_z(F.col("m"), Window.partitionBy(F.lit(1))), 4).alias("z"))
 
 

@@ -168,8 +168,8 @@ _SPIKES = """(select category, d, n, (n - m) / sd as z from (select *, avg(n) ov
   join (select category, d, keyword, delta, row_number() over (partition by category, d order by delta desc, keyword) as r from (
     select s.category, s.d, m.keyword, (count(*) filter (m.day between s.d - 1 and s.d) - count(*) filter (m.day between s.d - 4 and s.d - 2))::bigint as delta from {_SPIKES} s
     join (select c.category, c.published_at::date as day, keyword from acats c join kws on c.id = post_id) m on m.category = s.category and m.day between s.d - 4 and s.d group by 1, 2, 3) where delta > 0) k
-  on k.category = s.category and k.d = s.d and k.r <= 5""")
-def deep_anomaly_context(t: Tables, days: int = 14, z: float = 1.2, top: int = 20) -> DataFrame:
+  on k.category = s.category and k.d = s.d and k.r <= 5""", z=1.2)
+def deep_anomaly_context(t: Tables, days: int = 14, z: float = 2.5, top: int = 20) -> DataFrame:
     """Spikes of a category with the keywords that grew most, from one join of spikes with posts by category and day."""
     s = spikes(t, days, z).orderBy(F.desc("z"), "category", "d").limit(top)
     m = t.by_category(t.active).select("id", "category", day().alias("day")).join(t.keywords, F.col("id") == F.col("post_id"))

@@ -99,16 +99,16 @@ def dedup_exact(t: Tables) -> DataFrame:
 
 @query("""select rule, platform_id from (select 'sentiment_drop' as rule, platform_id from posts where collected_at >= timestamp '2024-01-23' group by 2 having count(*) filter (collected_at >= timestamp '2024-01-30') >= 3 and count(*) filter (collected_at >= timestamp '2024-01-30' and label = 'negative')::double / count(*) filter (collected_at >= timestamp '2024-01-30') >= 0.1 + coalesce(count(*) filter (collected_at < timestamp '2024-01-30' and label = 'negative')::double / nullif(count(*) filter (collected_at < timestamp '2024-01-30'), 0), 0)
   union all select 'site_dead', platform_id from posts group by 2 having max(collected_at) < timestamp '2024-01-30'
-  union all select 'issue_spike', platform_id from posts where collected_at >= timestamp '2024-01-23' and label = 'negative' group by 2 having count(*) filter (collected_at >= timestamp '2024-01-30') > 2 * count(*) filter (collected_at < timestamp '2024-01-30') / 7.0)""")
-def ops_threshold_rules(t: Tables) -> DataFrame:
+  union all select 'issue_spike', platform_id from posts where collected_at >= timestamp '2024-01-23' and label = 'negative' group by 2 having count(*) filter (collected_at >= timestamp '2024-01-30') > 2 * count(*) filter (collected_at < timestamp '2024-01-30') / 7.0)""", floor=3, rise=0.1, spike_floor=0)
+def ops_threshold_rules(t: Tables, floor: int = 20, rise: float = 0.3, spike_floor: int = 50, times: float = 2.0) -> DataFrame:
     """Three rules on the last day against the seven before, in one aggregation."""
     now = F.col("collected_at") >= t.as_of - F.expr("interval 1 day")
     week = F.col("collected_at") >= t.as_of - F.expr("interval 8 days")
     bad = F.col("label") == "negative"
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     g = t.posts.groupBy("platform_id").agg(n(now).alias("n1"), n(now & bad).alias("b1"), n(week & ~now).alias("n7"), n(week & ~now & bad).alias("b7"), F.max("collected_at").alias("last"))
-    drop = (F.col("n1") >= 3) & (ratio(F.col("b1"), F.col("n1")) >= F.lit(0.1) + F.coalesce(ratio(F.col("b7"), F.col("n7")), F.lit(0.0)))
-    rules = F.array(F.when(drop, "sentiment_drop"), F.when(F.col("n1") == 0, "site_dead"), F.when(F.col("b1") > F.col("b7") * 2 / 7.0, "issue_spike"))
+    drop = (F.col("n1") >= floor) & (ratio(F.col("b1"), F.col("n1")) >= F.lit(rise) + F.coalesce(ratio(F.col("b7"), F.col("n7")), F.lit(0.0)))
+    rules = F.array(F.when(drop, "sentiment_drop"), F.when(F.col("n1") == 0, "site_dead"), F.when((F.col("b1") >= spike_floor) & (F.col("b1") > F.col("b7") * times / 7.0), "issue_spike"))
     return g.select(F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"), "platform_id")
 
 

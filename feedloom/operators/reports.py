@@ -77,8 +77,8 @@ def report_product_summary(t: Tables, top: int = 5) -> DataFrame:
     select category, d, (n - m) / sd as z from (select *, avg(n) over (partition by category) as m, stddev_samp(n) over (partition by category) as sd from (select category, published_at::date as d, count(*)::double as n from acats where published_at::date > date '2024-01-16' and published_at::date <= date '2024-01-30' group by 1, 2)) where sd > 0)
     where z >= 1.2 order by z desc, category, d limit 15) s
   join (select a.category, a.day, keyword, count(*) filter (p.d between a.day - 1 and a.day)::bigint as after, count(*) filter (p.d = a.day - 2)::bigint as before from (select distinct category, published_at::date as day from acats) a
-    join (select c.category, published_at::date as d, keyword from acats c join kws on c.id = post_id) p on p.category = a.category and p.d between a.day - 2 and a.day group by 1, 2, 3) c on c.category = s.category and c.day = s.day where after >= 2 and after > before""")
-def deep_anomaly_with_drivers(t: Tables, days: int = 14, z: float = 1.2, top: int = 15) -> DataFrame:
+    join (select c.category, published_at::date as d, keyword from acats c join kws on c.id = post_id) p on p.category = a.category and p.d between a.day - 2 and a.day group by 1, 2, 3) c on c.category = s.category and c.day = s.day where after >= 2 and after > before""", z=1.2)
+def deep_anomaly_with_drivers(t: Tables, days: int = 14, z: float = 2.0, top: int = 15) -> DataFrame:
     """Keywords that grew between the day before the last two days and those, for each spike."""
     s = spikes(t, days, z).orderBy(F.desc("z"), "category", "d").limit(top).select("category", F.col("d").alias("day"))
     m = t.by_category(t.active).select("id", "category", day().alias("at")).join(t.keywords, F.col("id") == F.col("post_id"))
@@ -106,8 +106,8 @@ def ops_alert_history(t: Tables) -> DataFrame:
 
 
 @query("""select 'negative' as kind, platform_id, round(count(*) filter (label = 'negative')::double / count(*), 4) as value from active where published_at::date > date '2024-01-23' and published_at::date <= date '2024-01-30' group by 2 having count(*) >= 30 and count(*) filter (label = 'negative')::double / count(*) >= 0.12
-  union all select 'surge', platform_id, round(count(*) filter (published_at::date = date '2024-01-30') / (count(*) filter (published_at::date <> date '2024-01-30') / 6.0), 4) from active where published_at::date > date '2024-01-23' and published_at::date <= date '2024-01-30' group by 2 having count(*) filter (published_at::date = date '2024-01-30') > 1.2 * count(*) filter (published_at::date <> date '2024-01-30') / 6.0 and count(*) filter (published_at::date <> date '2024-01-30') > 0""")
-def mcp_alert_check(t: Tables, days: int = 7, share: float = 0.12, surge: float = 1.2) -> DataFrame:
+  union all select 'surge', platform_id, round(count(*) filter (published_at::date = date '2024-01-30') / (count(*) filter (published_at::date <> date '2024-01-30') / 6.0), 4) from active where published_at::date > date '2024-01-23' and published_at::date <= date '2024-01-30' group by 2 having count(*) filter (published_at::date = date '2024-01-30') > 1.2 * count(*) filter (published_at::date <> date '2024-01-30') / 6.0 and count(*) filter (published_at::date <> date '2024-01-30') > 0""", share=0.12, surge=1.2)
+def mcp_alert_check(t: Tables, days: int = 7, share: float = 0.4, surge: float = 2.0) -> DataFrame:
     """Platforms with a high negative share or a surge on the last day, from one aggregation."""
     last = day() == t.anchor
     g = t.window(t.active, days).groupBy("platform_id").agg(F.count("*").alias("n"), count_label("negative").alias("neg"), F.count_if(last).alias("a"), F.count_if(~last).alias("b"))

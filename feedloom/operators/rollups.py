@@ -9,9 +9,43 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.columns import count_label, day, is_label, ratio
 from feedloom.plans.registry import query
+from feedloom.plans.storage import fresh_path
 from feedloom.sources.posts import Tables
 
 
+_STORED: dict[tuple, tuple[str, object]] = {}
+
+
+def stored(t: Tables, name: str, build) -> DataFrame:
+    """A rollup as a table: given to Tables by its name, or written once a session and read from then on. Posts of a user's own
+    have no name to find their rollups by, so those are computed unless they are given too."""
+    if name in t.given:
+        return getattr(t, name)
+    if t.given:
+        return build(t)
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _STORED:
+        rows = build(t)
+        path = fresh_path(t.spark, name)
+        rows.write.parquet(path)
+        _STORED[key] = (path, rows.schema)
+    path, schema = _STORED[key]
+    return t.spark.read.schema(schema).parquet(path)
+
+
+def daily_scores(t: Tables) -> DataFrame:
+    """Posts a day, product and country, with the sum and number of their scores, from which means of any groups follow."""
+
+    def build(t: Tables) -> DataFrame:
+        return t.posts.groupBy(day("collected_at").alias("day"), "product_id", "country_code").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("decimal(28,12)")).alias("s"), F.count("score").alias("c"))
+
+    return stored(t, "daily_scores", build)
+
+
+def stored_edges(t: Tables) -> DataFrame:
+    return stored(t, "kg_edges", kg_edges)
+
+
 def _sums(df: DataFrame, *keys, rounded: bool = False) -> DataFrame:
     """n, mean score and label counts. A group whose labels are all null has null counts."""
     label_sum = lambda x: F.sum(is_label(x).cast("int")).cast("long")

@@ -23,6 +23,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF, anchor: str = ANCHOR, **given: DataFrame):
         self.spark, self.sf_dir = spark, sf_dir
         self.as_of, self.anchor = F.to_timestamp_ntz(F.lit(as_of)), F.to_date(F.lit(anchor))
+        self.given = frozenset(given)
         for name, df in given.items():
             self.__dict__[name] = df
 
