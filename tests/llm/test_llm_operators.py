@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -188,6 +190,22 @@ def test_classifier_on_awkward_tables(spark, docs, none):
     assert {r["score"] for r in quality_model.classify(docs, labels.filter("doc_id < 0")).collect()} == {0.5}
 
 
+def test_statistics_of_texts(docs):
+    def brute(t):
+        t = t or ""
+        w, lines, per = words(t), t.split("\n"), lambda a, b: a / max(b, 1.0)
+        count = lambda chars: sum(c in chars for c in t)
+        dense, letters = len(t) - count(" \t\n\x0b\x0c\r"), sum(c.isalpha() for c in t)
+        runs = len(re.findall(r"[#*$%&|<>]+", t))
+        return (
+            len(t), len(w), per(dense, len(w)), per(count("#*$%&|<>"), dense), per(runs, len(w)), per(sum(unicodedata.category(c) == "Lu" for c in t), letters), per(letters, dense),
+            per(count("0123456789"), dense), per(count("!?"), dense), per(len(t), len(lines)), 1 - per(len(set(lines)), len(lines)), per(len(set(w)), len(w)), per(sum(a == b for a, b in zip(w, w[1:])), len(w)), per(count("."), len(w)), per(count(","), len(w)),
+        )
+
+    got = sorted(tuple(round(x, 9) for x in r) for r in quality_model.features(docs.select("doc_id", "text")).select(*quality_model.FEATURES).collect())
+    assert got == sorted(tuple(round(float(x), 9) for x in brute(r[1])) for r in rows())
+
+
 def test_held_out_labels_are_never_learned(spark):
     ids = [(i,) for i in range(200)]
     got = {r[0]: r[1] for r in spark.createDataFrame(ids, "doc_id long").select("doc_id", quality_model.held_out(F.col("doc_id"))).collect()}
@@ -195,11 +213,11 @@ def test_held_out_labels_are_never_learned(spark):
 
 
 # 5 set join
-def brute_components(docs):
+def brute_components(docs, size=4, num=85, den=100):
     sets = []
     for i, t in docs:
         w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
-        sets.append((i, {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())))
+        sets.append((i, {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())))
     parent = list(range(len(sets)))
 
     def find(x):
@@ -210,7 +228,7 @@ def brute_components(docs):
     for a in range(len(sets)):
         for b in range(a):
             s, t = sets[a][1], sets[b][1]
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and den * len(s & t) >= num * len(s | t):
                 parent[find(a)] = find(b)
     least = {}
     for n, (i, _) in enumerate(sets):

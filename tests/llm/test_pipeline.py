@@ -27,7 +27,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf, pipeline):
     right = [(i in kept) == bool(q) for i, q in labels.items()]
     assert good.columns == names and sum(right) / len(right) > 0.9
     single = cut(pipeline.near_duplicates(spark, good, sf))
-    want = {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in good.select("doc_id", "text").collect()]) if c is not None}
+    want = {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in good.select("doc_id", "text").collect()], 5, 80, 100) if c is not None}
     assert single.columns == names and {r["doc_id"] for r in single.select("doc_id").collect()} == want
     clean = cut(pipeline.personal_data(spark, single, sf))
     assert clean.columns == names and clean.count() == single.count()
@@ -39,6 +39,34 @@ def test_stages_keep_columns_and_take_effect(spark, sf, pipeline):
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in last) == sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in mixed.collect())
 
 
+def test_run_gives_the_tokens_of_what_its_stages_keep(spark, sf, pipeline):
+    """The groups and the tokens by brute force; what the classifier keeps, surrogates and the mix from their operators."""
+    import tiktoken
+
+    from feedloom.llm import byte_bpe, quality_model, source_mix, surrogates
+    from feedloom.llm.common import cut, documents, table
+
+    docs = documents(spark, sf)
+    kept = {r["doc_id"] for r in quality_model.classify(docs, table(spark, sf, "labels")).filter("score >= 0.5").select("doc_id").collect()}
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if r["doc_id"] in kept]
+    firsts = sorted({c for _, _, c in brute_components(texts, 5, 80, 100)})
+    clean = cut(surrogates.with_surrogates(docs.filter(docs["doc_id"].isin(firsts))))
+    path, pattern = byte_bpe.multi_50k()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(open(path, "rb").read()), special_tokens={})
+    got = pipeline.run(spark, sf).collect()
+    mixed = source_mix.mixed_documents(clean).select("source", "text").collect()
+    total = lambda rows: {s: sum(n for k, n in rows if k == s) for s in {k for k, _ in rows}}
+    assert {r["doc_id"] for r in got} <= set(firsts)
+    a, b = total([(r["source"], 1) for r in got]), total([(r["source"], 1) for r in mixed])
+    assert a.keys() == b.keys()
+    whole = {hashlib.sha256(r["text"].encode()).hexdigest(): r["text"] for r in clean.collect()}
+    seen = [r for r in got if r["decoded_sha256"] in whole]
+    assert len(seen) >= len(got) - len(a)  # but the documents that are cut at a source's budget
+    for r in seen:
+        ids = library.encode_ordinary(whole[r["decoded_sha256"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_awkward_tables(spark, sf, pipeline, stage):
     name, f = pipeline.STAGES[stage]
