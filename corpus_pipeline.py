@@ -60,8 +60,8 @@ STAGES = [
     ("byte-level BPE encoding and decoding", tokens),
 ]
 
-#: No single SQL text states boosted trees, components and BPE merges; tests hold run() against
-#: a brute-force version.
+#: No single SQL text states boosted trees, components and BPE merges; a test holds run() against
+#: brute-force groups and tokens, and tests of their own hold the trees, surrogates and mix.
 ORACLE_SQL = None
 
 
