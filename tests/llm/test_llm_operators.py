@@ -69,7 +69,7 @@ PAGE = "<html><head><title>T</title><script>x='<p>no</p>'</script></head><body><
         ("<article><!-- no --><style>no</style>&#233;&copy</article>", "é©"),
         ('<article><div class="overflow-hidden">seen</div><div hidden>no</div><p hidden="">no</p></article>', "seen"),
         ('<article><div class="post-header"><h1>Own title</h1></div><p>a</p></article>', "Own title a"),
-        ('<article><header class="entry-header"><h1>Own title</h1></header><p class="related">b</p><div class="related">no</div></article>', "Own title b"),
+        ('<article><header class="entry-header"><h1>Own title</h1></header><p class="related">b</p><p class="ad">no</p><div class="related">no</div></article>', "Own title b"),
         ('<article><p title="un>a <b>b</b></p><p>c</p></article>', "a b c"),
         ('<article><p title="x > y">a</p><p>c</p></article>', "a c"),
         ("", ""),
