@@ -5,7 +5,7 @@ distinct pieces not seen before become words of tokens, a character each. A recu
 query turns every word into token-position rows, joins neighbouring rows with the merge table and contracts, in each
 word, the leftmost pair of minimum rank, until no pair is left. Decoding joins ids with the vocabulary and aggregates
 the bytes in position order. A task keeps the ids of chunks it has met, so a document
-costs one lookup a chunk; the cache is bounded and dropped at the end of the task. The rank file
+costs one lookup a chunk; the cache is bounded and dropped at the end of the task if asked for. The rank file
 (bounded by the vocabulary) is read on the driver and broadcast.
 
 Pieces of any length go this way. Two facts keep the rounds of long ones few, and change no result:
@@ -185,18 +185,19 @@ def opened(data: bytes, pattern: str) -> Bpe:
     return _OPEN[key]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hold: bool = True) -> DataFrame:
     """id_col, the columns of keep, n_tokens, ids (binary, little-endian unsigned 32-bit) and
-    decoded (binary) of every text."""
-    return _run(docs, rank_file, pattern, id_col, text_col, keep, digests=False)
+    decoded (binary) of every text. hold: whether a worker holds its bounded cache for its next task, which saves time; without
+    it the memory is free for other stages."""
+    return _run(docs, rank_file, pattern, id_col, text_col, keep, digests=False, hold=hold)
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hold: bool = True) -> DataFrame:
     """As encode, with hex digests (ids_sha256, decoded_sha256) in place of the bytes."""
-    return _run(docs, rank_file, pattern, id_col, text_col, keep, digests=True)
+    return _run(docs, rank_file, pattern, id_col, text_col, keep, digests=True, hold=hold)
 
 
-def _run(docs: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: str, keep, digests: bool) -> DataFrame:
+def _run(docs: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: str, keep, digests: bool, hold: bool) -> DataFrame:
     from pyspark.sql import types as T
 
     with open(rank_file, "rb") as f:
@@ -226,7 +227,8 @@ def _run(docs: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: s
                 kind = pa.string() if digests else pa.binary()
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, kind)], [*kept, "n_tokens", *names])
                 at += len(texts)
-        bpe.clear()
+        if not hold:
+            bpe.clear()
 
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     kind = T.StringType() if digests else T.BinaryType()
