@@ -49,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and digests of the ids and of the decoded bytes of every row. A null text counts as empty
     and has no tokens; repeated rows are encoded alike; long texts whole."""
-    return byte_bpe.digests(docs, *byte_bpe.multi_50k(), keep=("source",))
+    return byte_bpe.digests(docs, *byte_bpe.multi_50k(), keep=("source",), hold=False)
 
 
 STAGES = [
