@@ -5,7 +5,7 @@ distinct pieces not seen before become words of tokens, a character each. A recu
 query turns every word into token-position rows, joins neighbouring rows with the merge table and contracts, in each
 word, the leftmost pair of minimum rank, until no pair is left. Decoding joins ids with the vocabulary and aggregates
 the bytes in position order. A task keeps the ids of chunks it has met, so a document
-costs one lookup a chunk; the cache is bounded and dropped at the end of the task if asked for. The rank file
+costs one lookup a chunk; the cache is bounded and dropped, with the merge table, at the end of the task if asked for. The rank file
 (bounded by the vocabulary) is read on the driver and broadcast.
 
 Pieces of any length go this way. Two facts keep the rounds of long ones few, and change no result:
@@ -22,6 +22,7 @@ asked for.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -185,6 +186,12 @@ def opened(data: bytes, pattern: str) -> Bpe:
     return _OPEN[key]
 
 
+def forget(bpe: Bpe) -> None:
+    """Gives up what the process holds: caches, merge tables and the connection."""
+    bpe.clear()
+    _OPEN.clear()
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hold: bool = True) -> DataFrame:
     """id_col, the columns of keep, n_tokens, ids (binary, little-endian unsigned 32-bit) and
     decoded (binary) of every text. hold: whether a worker holds its bounded cache for its next task, which saves time; without
@@ -228,7 +235,9 @@ def _run(docs: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: s
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, kind)], [*kept, "n_tokens", *names])
                 at += len(texts)
         if not hold:
-            bpe.clear()
+            forget(bpe)
+            del bpe
+            gc.collect()  # its parts refer to each other
 
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     kind = T.StringType() if digests else T.BinaryType()
