@@ -75,11 +75,13 @@ def ops_collection_health(t: Tables) -> DataFrame:
 @query("""select (select count(*) from documents)::bigint as n, (select round(avg(length(text)), 4) from documents) as avg_len, (select round(quantile_cont(length(text), 0.1), 4) from documents) as p10, (select round(quantile_cont(length(text), 0.9), 4) from documents) as p90,
   (select round(sum(k - 1)::double / sum(k), 6) from (select count(*) as k from documents group by md5(text))) as duplicate_rate""")
 def ops_data_quality(t: Tables) -> DataFrame:
-    """Lengths and the share of rows that repeat another's text, by digest."""
-    d = t.table("documents").withColumn("len", F.length("text")).withColumn("one", F.lit(1))
-    a = d.groupBy("one").agg(F.count("*").alias("n"), F.round(F.avg("len"), 4).alias("avg_len"), F.round(F.percentile("len", F.lit(0.1)), 4).alias("p10"), F.round(F.percentile("len", F.lit(0.9)), 4).alias("p90"))
-    b = d.groupBy("one", F.md5("text").alias("h")).agg(F.count("*").alias("k")).groupBy("one").agg(F.round(ratio(F.sum(F.col("k") - 1), F.sum("k")), 6).alias("duplicate_rate"))
-    return a.join(b, "one").drop("one")
+    """Lengths and the share of rows that repeat another's text, by digest. The percentiles come from counts by length."""
+    d = t.table("documents").select(F.length("text").alias("len"), F.md5("text").alias("h"))
+    g = d.groupBy("len").agg(F.count("*").alias("k"), F.count("len").alias("known"))
+    at = lambda p: F.round(F.percentile("len", F.lit(p), F.col("k")), 4)
+    a = g.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.round(ratio(F.sum(F.col("len") * F.col("k")), F.sum("known")), 4).alias("avg_len"), at(0.1).alias("p10"), at(0.9).alias("p90"))
+    b = d.groupBy("h").agg(F.count("*").alias("k")).agg(F.round(ratio(F.sum(F.col("k") - 1), F.sum("k")), 6).alias("duplicate_rate"))
+    return a.crossJoin(b)
 
 
 @query("""select size, groups, rows_, cross_source from (select case when k = 2 then '2' when k <= 5 then '3-5' else '6+' end as size, count(*)::bigint as groups, sum(k)::bigint as rows_, count(*) filter (s > 1)::bigint as cross_source from (select substr(sha256(text), 1, 16) as h, count(*) as k, count(distinct source) as s from documents where length(text) >= 30 group by 1 having count(*) > 1) group by 1)""")
