@@ -206,6 +206,22 @@ def test_statistics_of_texts(docs):
     assert got == sorted(tuple(round(float(x), 9) for x in brute(r[1])) for r in rows())
 
 
+def test_the_sample_is_the_least_hashes(spark):
+    """The threshold before the ordering leaves the sample as it is."""
+    import pandas as pd
+
+    n, limit, rng = 3000, 200, np.random.default_rng(3)
+    x = rng.random((n, len(quality_model.FEATURES)))
+    y = (x[:, 0] + 0.3 * rng.random(n) > 0.6).astype(float)
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=list(quality_model.FEATURES)).assign(doc_id=range(n), quality=y))
+    known = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(known) > 1.25 * limit
+    kept = sorted(known, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:limit]
+    got, want = quality_model.train(rows, limit, trees=3), quality_model.fit(x[kept], y[kept], trees=3)
+    for part in ("roots", "feature", "threshold", "left", "right", "value"):
+        assert np.allclose(getattr(got, part), getattr(want, part))
+
+
 def test_held_out_labels_are_never_learned(spark):
     ids = [(i,) for i in range(200)]
     got = {r[0]: r[1] for r in spark.createDataFrame(ids, "doc_id long").select("doc_id", quality_model.held_out(F.col("doc_id"))).collect()}
