@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, main_text, quality_model, quality_rules, repeats, set_join, source_mix, surrogates, token_files
+from . import byte_bpe, fingerprints, main_text, quality_model, quality_rules, repeats, set_join, source_mix, surrogates, token_files, word_runs
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_source_mix": source_mix.op10_source_mix,
+    "op13_word_runs": word_runs.op13_word_runs,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op6_fingerprints": fingerprints.ORACLE,
     "op10_source_mix": source_mix.ORACLE,
+    "op13_word_runs": word_runs.ORACLE,
 }
