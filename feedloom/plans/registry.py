@@ -24,8 +24,8 @@ def query(sql: str | None = None, **given):
 
 
 def _load() -> None:
-    from feedloom.functions import text  # noqa: F401
-    from feedloom.operators import alerting, analytics, community, deep, details, monitoring, primitives, reports, rollups, writes  # noqa: F401
+    from feedloom.functions import reviews, text  # noqa: F401
+    from feedloom.operators import alerting, analytics, claims, community, deep, details, jobs, monitoring, primitives, reports, rollups, writes  # noqa: F401
     from feedloom.sources import files  # noqa: F401
     from feedloom.streaming import events  # noqa: F401
 
