@@ -70,10 +70,10 @@ def deep_country_sentiment_gap(t: Tables, days: int = 30, top: int = 10, floor:
 
 @query("""select category, round(coalesce(case when isnan(c) then 0 else c end, 0), 4) as pearson, n from (select category, corr(bucket, neg) as c, sum(n)::bigint as n from (
   select category, bucket::double as bucket, count(*) as n, count(*) filter (label = 'negative')::double / count(*) as neg from (
-    select category, label, ntile(5) over (order by eng, key) as bucket from (select category, label, likes + comments + shares as eng, id * 16 + substr(category, 4)::bigint as key from acats where published_at::date between date '2024-01-30' - 30 and date '2024-01-30')) group by 1, 2) group by 1 having count(*) >= 2)""")
+    select category, label, ntile(5) over (order by eng, id, category) as bucket from (select category, label, id, likes + comments + shares as eng from acats where published_at::date between date '2024-01-30' - 30 and date '2024-01-30')) group by 1, 2) group by 1 having count(*) >= 2)""")
 def deep_engagement_sentiment(t: Tables, days: int = 30) -> DataFrame:
     """Correlation of the engagement fifth with the negative share, by category."""
-    v = t.by_category(t.since(t.active, days)).select("category", "label", engagement().alias("eng"), (F.col("id") * 16 + F.substring("category", 4, 9).cast("long")).alias("key"))
+    v = t.by_category(t.since(t.active, days)).select("category", "label", engagement().alias("eng"), F.struct("id", "category").alias("key"))
     g = ntiles(v, "eng", "key", 5).groupBy("category", F.col("bucket").cast("double").alias("bucket")).agg(F.count("*").alias("n"), ratio(count_label("negative"), F.count("*")).alias("neg"))
     g = g.groupBy("category").agg(F.corr("bucket", "neg").alias("c"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k >= 2")
     return g.select("category", F.round(F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)), 4).alias("pearson"), "n")

@@ -236,13 +236,3 @@ def alg_label_set_metrics(t: Tables) -> DataFrame:
     common, either = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
     similar = F.when(either == 0, 1.0).otherwise(ratio(common, either))
     return t.posts.select(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("exact"), F.count_if((F.col("a") != F.col("b")) & (common > 0)).alias("part"), F.round(F.avg(similar), 6).alias("jaccard"))
-
-
-@query("""select edge_type, max(day) as newest, datediff('day', max(day), date '2024-01-30')::bigint as days_behind, datediff('day', max(day), date '2024-01-30') > 1 as stale from (
-  select 'daily' as edge_type, max(collected_at::date) as day from posts union all select 'category', max(collected_at::date) from cats union all select 'country', max(collected_at::date) from posts where country_code is not null) group by 1""")
-def ops_rollup_freshness(t: Tables, limit: int = 1) -> DataFrame:
-    """How far each rollup lags behind the anchor date."""
-    newest = lambda name, df: df.agg(F.max(day("collected_at")).alias("newest")).select(F.lit(name).alias("edge_type"), "newest")
-    all_ = newest("daily", t.posts).union(newest("category", t.by_category())).union(newest("country", t.posts.filter("country_code is not null")))
-    behind = F.datediff(t.anchor, "newest")
-    return all_.select("edge_type", "newest", behind.cast("long").alias("days_behind"), (behind > limit).alias("stale"))

@@ -38,10 +38,11 @@ def report_daily_regions(t: Tables, date: str = "2024-01-30") -> DataFrame:
     return t.active.filter(day() == date).join(f, "platform_id").groupBy("region").agg(F.count("*").alias("n"), count_label("negative").alias("neg"), F.count_distinct("platform_id").alias("sites"))
 
 
-@query("select code from platforms f where is_active and not exists (select 1 from active v where v.platform_id = f.id and published_at::date = date '2024-01-30' and v.label = 'negative')")
-def report_silent_platforms(t: Tables, date: str = "2024-01-30") -> DataFrame:
-    seen = t.active.filter((day() == date) & (F.col("label") == "negative")).select("platform_id").distinct()
-    return t.platforms.filter("is_active").join(seen, F.col("id") == F.col("platform_id"), "left_anti").select("code")
+@query("select code, region from platforms f where is_active and not exists (select 1 from posts v where v.platform_id = f.id and collected_at >= timestamp '2024-01-30 23:00:00' and collected_at < timestamp '2024-01-31')", hours=1)
+def report_silent_platforms(t: Tables, hours: int = 24) -> DataFrame:
+    """Active platforms without any post in the last hours; the last hour of the given events leaves some silent, their last day none."""
+    seen = t.posts.filter((F.col("collected_at") >= t.as_of - F.expr(f"interval {hours} hours")) & (F.col("collected_at") < t.as_of)).select("platform_id").distinct()
+    return t.platforms.filter("is_active").join(seen, F.col("id") == F.col("platform_id"), "left_anti").select("code", "region")
 
 
 @query("select product_id, country_code, min(published_at::date) as first_seen from posts where country_code is not null group by 1, 2 having min(published_at::date) > date '2024-01-02'")

@@ -9,37 +9,39 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.columns import count_label, day, is_label, ratio
 from feedloom.plans.registry import query
-from feedloom.plans.storage import fresh_path
+from feedloom.plans.stored import Rollup
 from feedloom.sources.posts import Tables
 
 
-_STORED: dict[tuple, tuple[str, object]] = {}
+def rollup(t: Tables, name: str, build) -> Rollup:
+    """A rollup of the given tables' posts by their days; build(tables) makes it."""
+
+    def of_days(days: DataFrame | None) -> DataFrame:
+        if days is None:
+            return build(t)
+        posts = t.posts.join(days.withColumnRenamed("day", "__day"), day("collected_at").eqNullSafe(F.col("__day")), "left_semi")
+        part = Tables(t.spark, t.sf_dir, posts=posts)
+        part.as_of, part.anchor = t.as_of, t.anchor
+        return build(part)
+
+    return Rollup(t.spark, name, f"{t.sf_dir}/events.parquet", of_days)
 
 
 def stored(t: Tables, name: str, build) -> DataFrame:
-    """A rollup as a table: given to Tables by its name, or written once a session and read from then on. Posts of a user's own
-    have no name to find their rollups by, so those are computed unless they are given too."""
+    """A rollup given to Tables by its name, or the stored one, brought up to date. Posts of a user's own have no files that
+    a manifest could name, so their rollups are computed unless they are given too."""
     if name in t.given:
         return getattr(t, name)
-    if t.given:
-        return build(t)
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
-    if key not in _STORED:
-        rows = build(t)
-        path = fresh_path(t.spark, name)
-        rows.write.parquet(path)
-        _STORED[key] = (path, rows.schema)
-    path, schema = _STORED[key]
-    return t.spark.read.schema(schema).parquet(path)
+    return build(t) if t.given else rollup(t, name, build).current()
 
 
 def daily_scores(t: Tables) -> DataFrame:
     """Posts a day, product and country, with the sum and number of their scores, from which means of any groups follow."""
+    return stored(t, "daily_scores", build_daily_scores)
 
-    def build(t: Tables) -> DataFrame:
-        return t.posts.groupBy(day("collected_at").alias("day"), "product_id", "country_code").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("decimal(28,12)")).alias("s"), F.count("score").alias("c"))
 
-    return stored(t, "daily_scores", build)
+def build_daily_scores(t: Tables) -> DataFrame:
+    return t.posts.groupBy(day("collected_at").alias("day"), "product_id", "country_code").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("decimal(28,12)")).alias("s"), F.count("score").alias("c"))
 
 
 def stored_edges(t: Tables) -> DataFrame:
@@ -152,3 +154,12 @@ def mv_daily_refresh(t: Tables) -> DataFrame:
     keys = [day("collected_at").alias("day"), "product_id", "platform_id", "country_code", "language"]
     build = lambda days: _sums(t.posts.join(days, day("collected_at") == F.col("day"), "left_semi"), *keys)
     return refresh_days(_sums(old, *keys), late, build).filter(F.col("day") >= F.date_sub(t.anchor, 1))
+
+
+@query("""select name, max(day) as newest, count(distinct day)::bigint as days, datediff('day', max(day), date '2024-01-30')::bigint as days_behind, 0::bigint as pending, datediff('day', max(day), date '2024-01-30') > 1 as stale from (
+  select 'daily_scores' as name, collected_at::date as day from posts union all select 'kg_edges', collected_at::date from posts where product_id is not null) group by 1""")
+def ops_rollup_freshness(t: Tables, limit: int = 1) -> DataFrame:
+    """How far each stored rollup lags behind the anchor date, and how many files changed since it was made; from its manifest."""
+    both = rollup(t, "daily_scores", build_daily_scores).freshness().union(rollup(t, "kg_edges", kg_edges).freshness())
+    behind = F.datediff(t.anchor, "newest")
+    return both.select("name", "newest", "days", behind.cast("long").alias("days_behind"), "pending", ((behind > limit) | (F.col("pending") > 0)).alias("stale"))

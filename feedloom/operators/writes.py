@@ -73,13 +73,18 @@ def sink_csv_bom(t: Tables, chars: int = 200) -> DataFrame:
 
 @query("""select day, n, neg from (select published_at::date as day, count(*)::bigint as n, count(*) filter (label = 'negative')::bigint as neg from posts group by 1) order by day desc limit 7""")
 def scan_json_snapshots(t: Tables, newest: int = 7) -> DataFrame:
-    """Daily figures as JSON snapshots, one folder a day; the newest days are listed by their names, and only those are read."""
+    """Daily figures as JSON snapshots, one folder a day. The folders are listed, and only the newest are read."""
     path = fresh_path(t.spark, "snapshots")
     g = t.posts.groupBy(day().alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "negative").alias("neg"))
     g.withColumn("taken", F.col("day").cast("string")).write.partitionBy("taken").json(path)
-    all_ = t.spark.read.schema("day date, n long, neg long, taken string").json(path)
-    last = all_.select("taken").distinct().orderBy(F.desc("taken")).limit(newest)
-    return all_.join(F.broadcast(last), "taken").select("day", "n", "neg")  # at most newest names
+    return newest_snapshots(t.spark, path, "day date, n long, neg long", newest)
+
+
+def newest_snapshots(spark, path: str, schema: str, newest: int) -> DataFrame:
+    """The rows of the newest folders taken=... below path; the listing opens no file."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", "/taken=([^/]+)/", 1).alias("taken")).filter("taken <> ''")
+    last = [r[0] for r in names.distinct().orderBy(F.desc("taken")).limit(newest).collect()]  # at most newest names
+    return spark.read.schema(f"{schema}, taken string").json(path).filter(F.col("taken").isin(last)).drop("taken")
 
 
 @query("""select ok, reason, count(*)::bigint as n from (select body is not null and product_id is not null as ok, case when body is null then 'no text' when product_id is null then 'no product' else '' end as reason from posts) group by 1, 2""")
