@@ -9,6 +9,7 @@ from feedloom.functions.columns import count_label, day, ratio
 from feedloom.operators.rollups import platform_health
 from feedloom.operators.rollups import daily_scores
 from feedloom.plans.registry import query
+from feedloom.plans.storage import cut
 from feedloom.sources.posts import Tables
 
 
@@ -47,17 +48,83 @@ def com_early_signal(t: Tables, days: int = 28) -> DataFrame:
     return g.filter("na >= 3 and nb >= 3").select("platform_id", F.round(F.col("a") - F.col("b"), 4).alias("delta"), "first_below")
 
 
-@query()
+def _draw(seed: int, step: int, id_: Column) -> Column:
+    """A number between 0 and 1 for an id, another one each step."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:{step}:"), id_.cast("string")).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**13)
+
+
+def kmeans(points: DataFrame, k: int, seed: int = 42, rounds: int = 50, settled: float = 1e-6) -> tuple[DataFrame, list[tuple[float, float]], int]:
+    """points id, x, y -> the points with their cluster, the centres, and the rounds it took. The first centre is drawn evenly, each other one by the squared distance to
+    the nearest centre so far: the point of least exponential key -ln(u) / weight, with u from a hash of seed, step and id, so that a
+    draw is one aggregate and comes out the same in any order. Then Lloyd's rounds, an aggregate each, until no centre moves. A cluster that
+    loses all points keeps its centre. With k points or fewer each is its own centre, by id. Only the k centres come to the driver."""
+    points = cut(points)
+    n = points.count()
+    if n <= k:
+        own = points.withColumn("cluster", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))  # k points at most
+        return own, [(r["x"], r["y"]) for r in own.orderBy("cluster").collect()], 0
+    square = lambda c: (F.col("x") - F.lit(c[0])) * (F.col("x") - F.lit(c[0])) + (F.col("y") - F.lit(c[1])) * (F.col("y") - F.lit(c[1]))
+    least = lambda cs: F.least(*map(square, cs)) if len(cs) > 1 else square(cs[0])
+    centres: list[tuple[float, float]] = []
+    for step in range(k):
+        u = -F.log(_draw(seed, step, F.col("id")))
+        weight = least(centres) if centres else F.lit(1.0)
+        key = F.struct(F.when(weight > 0, 0).otherwise(1), F.when(weight > 0, u / weight).otherwise(u), "id")
+        r = points.agg(F.min_by(F.struct("x", "y"), key).alias("c")).first()["c"]
+        centres.append((r["x"], r["y"]))
+
+    def assigned() -> DataFrame:
+        nearest = F.array_min(F.array(*[F.struct(square(c).alias("d"), F.lit(i).cast("long").alias("i")) for i, c in enumerate(centres)]))
+        return points.withColumn("cluster", nearest["i"])
+
+    took = 0
+    for took in range(1, rounds + 1):
+        means = {r["cluster"]: (r["x"], r["y"]) for r in assigned().groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()}
+        moved = [means.get(i, c) for i, c in enumerate(centres)]
+        shift = sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in zip(centres, moved, strict=True))
+        centres = moved
+        if shift < settled:
+            break
+    return assigned(), centres, took
+
+
+def cluster_points(t: Tables, days: int = 7, floor: int = 5) -> DataFrame:
+    """Active platforms with enough posts in the last days, by positive and negative percent."""
+    pct = lambda x: ratio(count_label(x) * 100, F.count("*"))
+    g = t.recent(t.posts, days).groupBy("platform_id").agg(F.count("*").alias("n"), pct("positive").alias("x"), pct("negative").alias("y"), F.avg("score").alias("score")).filter(F.col("n") >= floor)
+    return t.platforms.filter("is_active").select(F.col("id").alias("platform_id")).join(g, "platform_id").withColumnRenamed("platform_id", "id")
+
+
+_DIST = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)"
+_NEAR = f"list_sort(list_transform(c, lambda q, i: {{'d': {_DIST}, 'i': i - 1}}))[1].i"
+#: All points are one list, the state of the recursion is the list of centres: six draws, then rounds of means.
+_KMEANS = f"""(with recursive pts as materialized (select list({{'id': id, 'x': x, 'y': y, 'n': n, 'score': score}} order by id) as ps from (
+    select platform_id as id, count(*)::bigint as n, 100.0::double * count(*) filter (label = 'positive') / count(*) as x, 100.0::double * count(*) filter (label = 'negative') / count(*) as y, avg(score) as score
+    from posts where collected_at >= timestamp '2024-01-24' and collected_at < timestamp '2024-01-31' and platform_id in (select id from platforms where is_active) group by 1 having count(*) >= 5)),
+  f(step, c) as (select 0, []::struct(x double, y double)[] union all
+    select step + 1, case when step < 6 then list_append(c, list_transform([list_sort(list_transform(ps, lambda p: {{'a': case when coalesce(list_min(list_transform(c, lambda q: {_DIST})), 1) > 0 then 0 else 1 end,
+        'k': -ln((('0x' || substr(md5('42:' || step::varchar || ':' || p.id::varchar), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double) / case when coalesce(list_min(list_transform(c, lambda q: {_DIST})), 1.0::double) > 0 then coalesce(list_min(list_transform(c, lambda q: {_DIST})), 1.0::double) else 1.0::double end,
+        'id': p.id, 'x': p.x, 'y': p.y}}))[1]], lambda w: {{'x': w.x, 'y': w.y}})[1])
+      else list_transform(c, lambda m, j: case when len(list_filter(ps, lambda p: {_NEAR} = j - 1)) = 0 then m else
+        {{'x': list_avg(list_transform(list_filter(ps, lambda p: {_NEAR} = j - 1), lambda p: p.x)), 'y': list_avg(list_transform(list_filter(ps, lambda p: {_NEAR} = j - 1), lambda p: p.y))}} end) end
+    from f, pts where step < 46)
+  select p.id as platform_id, p.n as n, p.x as x, p.y as y, p.score as score, {_NEAR} as cluster, c from (select c, unnest(ps) as p from f, pts where step = 46))"""
+
+
+@query(f"select platform_id, n, round(x, 3) as x, round(y, 3) as y, cluster from {_KMEANS}")
 def com_clusters(t: Tables, k: int = 6, seed: int = 42) -> DataFrame:
-    """k-means of platforms by positive and negative percent. The points are one row a platform; no
-    SQL states the seeded initialisation, so the tests look at separable points."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+    """Clusters of platforms by their positive and negative percent."""
+    found, _, _ = kmeans(cluster_points(t), max(2, min(k, 10)), seed)
+    return found.select(F.col("id").alias("platform_id"), "n", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "cluster")
 
-    pct = lambda x: ratio(count_label(x) * 100, F.count("*"))
-    g = t.active.groupBy("platform_id").agg(F.count("*").alias("n"), pct("positive").alias("pos"), pct("negative").alias("neg")).filter("n >= 5")
-    v = VectorAssembler(inputCols=["pos", "neg"], outputCol="features").transform(g)
-    return KMeans(k=k, seed=seed, maxIter=50).fit(v).transform(v).select("platform_id", "n", F.col("prediction").cast("long").alias("cluster"))
+
+@query(f"select cluster, count(*)::bigint as size, round(c[any_value(cluster) + 1].x, 3) as x, round(c[any_value(cluster) + 1].y, 3) as y, round(avg(score), 4) as score from {_KMEANS} group by cluster, c")
+def com_cluster_centres(t: Tables, k: int = 6, seed: int = 42) -> DataFrame:
+    """The centres with the number and mean score of their platforms; a centre without platforms isn't listed."""
+    found, centres, _ = kmeans(cluster_points(t), max(2, min(k, 10)), seed)
+    at = lambda axis: F.element_at(F.array(*[F.lit(round(c[axis], 3)) for c in centres]), (F.col("cluster") + 1).cast("int"))
+    return found.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("score"), 4).alias("score")).select("cluster", "size", at(0).alias("x"), at(1).alias("y"), "score")
 
 
 @query("""select platform_id, kind from (select *, case when p7 = 0 then 'dead_7d' end as a, case when p7 > 0 and p24 = 0 then 'idle_24h' end as b, case when s <= -0.05 then 'extreme_negative' end as c, case when p7 >= 14 and p24 < 0.9 * p7 / 7 then 'drop_rate' end as d from (
