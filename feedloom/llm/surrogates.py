@@ -13,15 +13,16 @@ a keyed SHA-256 of the other half gives. A permutation keeps what a table would
   digit of cards, countries of IBANs, prefixes of access keys and names of settings stay too; check digits of cards (Luhn) and
   IBANs (mod 97) are valid after if they were valid before; addresses get a name under a reserved domain.
 
-Names behind a title get a given name of the title's gender in the name's script, joined to the permuted
-one, so they stay distinct too; a family name is permuted by itself, vowels among vowels and consonants among consonants, so
-"Mr A B" and "Mr B" stay one person and it reads like a name. collisions() checks distinctness on real data; the query
+Names behind titles get a given name of the person's gender in the name's script, joined to the permuted
+one, so they stay distinct too. The given name tells the gender, not the title, so that a person stays one; one that no list
+has gets a name of either gender. A family name is permuted by itself, vowels among vowels and consonants among consonants, whatever its
+capitals, so "Mr A B", "Prof. A B" and "MR B" stay one person and it reads like a name. Names without a title aren't found. collisions() checks distinctness on real data; the query
 runs it over all documents and fails if it finds any.
 
 All work is built-in expressions on one row; nothing is shuffled.
 
 Defined cases: a null text stays null; empty texts and texts without entities stay as they are; very long texts
-are used whole; repeated rows are replaced alike; an empty table gives no rows; other columns are kept as they
+are used whole, and entities of any length; repeated rows are replaced alike; an empty table gives no rows; other columns are kept as they
 are, whatever they are called.
 """
 
@@ -57,25 +58,54 @@ GIVEN = {
     ("m", "greek"): "Αντώνης Βασίλης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λευτέρης Μάριος Νίκος Πέτρος Σταύρος".split(),
     ("f", "greek"): "Αγγελική Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Κατερίνα Λίνα Μαρία Νίκη Σοφία Χρυσή".split(),
 }
-MALE = "Mr|Mister|Sir|Lord|Herr|Monsieur|Señor|Don|Sr|Signor|Senhor|Господин|Κύριος"
+#: Given names that say nothing about gender.
+EITHER = "Alex Ariel Charlie Chris Eli Jamie Jules Kai Kim Luca Morgan Noel Robin Sam Sascha Toni".split()
+#: Usual given names, by which a person's gender is told whatever stands before the name.
+MEN = (
+    "Adam Alan Albert Alberto Alejandro Alessandro Alexander Alfred Ali Anders Andrew Antoine Antonio Arthur Ben Benjamin Bernard Bruno Carl Carlos Charles Christian Christopher Claude Daniel David Diego "
+    "Dominik Edward Emil Enrique Eric Fabian Felix Fernando Francesco Francisco Frank François Frederick Gabriel Georg George Giovanni Hans Heinrich Henri Henry Hugo Ivan Jack Jacob Jacques James Jan Javier Jean "
+    "Joachim Johannes John Jonas Jorge José Joseph Juan Julian Jürgen Karl Kevin Klaus Lars Leon Louis Ludwig Luigi Luis Lukas Manuel Marc Marco Mario Mark Markus Martin Matthew Max Michael Michel Miguel Mohammed "
+    "Nicolas Nils Oliver Oscar Otto Pablo Patrick Paul Pedro Peter Philip Pierre Rafael Ralf Richard Robert Roberto Roger Roland Samuel Sebastian Simon Stefan Stephen Sven Thomas Tim Tobias Tomas Victor Vincent Walter "
+    "William Wolfgang Антон Александр Алексей Андрей Борис Виктор Владимир Дмитрий Иван Игорь Илья Максим Михаил Никита Николай Олег Павел Пётр Роман Сергей Фома Юрий"
+).split()
+WOMEN = (
+    "Ada Agnes Alice Ana Andrea Angela Anita Anna Anne Annette Barbara Beatrice Berta Birgit Brigitte Camille Carla Carmen Carol Caroline Catherine Charlotte Chloé Christine Clara Claire Claudia Cristina Deborah Diana "
+    "Doris Dorothea Edith Elena Elisabeth Elizabeth Ella Emily Emma Erika Esther Eva Frida Gabriele Giulia Grace Greta Hannah Heidi Helen Helena Helga Ida Inès Ines Ingrid Irene Isabel Isabella Jane Janet Jennifer Jessica "
+    "Joan Judith Julia Julie Karin Karen Katharina Klara Laura Linda Lisa Louise Lucia Lucy Luisa Margaret Margarita Maria María Marie Marta Martha Mary Mercedes Mia Michelle Monika Nancy Nathalie Nora Olga Olivia Patricia "
+    "Paula Petra Pilar Rachel Rebecca Renate Rita Rosa Ruth Sabine Sandra Sara Sarah Simone Sofia Sophie Stephanie Susan Susanne Sylvia Teresa Ursula Vera Victoria Yvonne Любовь"
+).split()
+MALE = "Mr|Mister|Sir|Lord|Herrn|Herr|Monsieur|Señor|Don|Sr|Signor|Senhor|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Madam|Lady|Dame|Frau|Madame|Mme|Mlle|Señora|Señorita|Doña|Sra|Srta|Signora|Senhora|Госпожа|Κυρία"
 #: Titles that say nothing about gender.
-NEUTRAL = "Mx|Dr|Prof|Professor|Rev|Доктор|Профессор|Δρ"
+NEUTRAL = "Mx|Dr|Professor|Prof|Rev|Доктор|Профессор|Δρ"
+#: What stands between the parts of a name, and what a country code of a phone is.
+PARTICLES = "von|van|der|den|de|da|di|do|del|della|dos|das|du|la|le|los|las|y|zu|zum|zur|ter|ten|bin|ibn|al|el"
+COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: A name: parts joined by hyphens or apostrophes.
-_PART = r"\p{Lu}\p{L}{0,30}(?:[-'’]\p{L}{1,30}){0,3}(?!\p{L})"
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+#: A name: parts of any length, joined by hyphens or apostrophes, or initials; particles between them.
+_PART = r"(?:\p{Lu}\.(?= )|\p{Lu}\p{L}*+(?:[-'’]\p{L}++)*+)"
+_TITLES = rf"(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.? )+"
+#: The name of a setting up to its value: behind "=" or a quote any value of three characters and more, up to white space, a quote or the punctuation before
+#: them; behind a colon, as prose has it too, a long one or one with a digit or a sign.
+_NAMED = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}"
+_SETTING = rf"(?:{_NAMED}=\s{{0,3}}[\"']?)|{_NAMED}:\s{{0,3}}[\"'])|{_NAMED}:\s{{0,3}}))"
+_VALUE = r"(?:[^\s\"'.,;:!?)\]}>]|[.,;:!?)\]}>](?![.,;:!?)\]}>]*(?:[\s\"']|$)))"
+_SECRET = rf"(?:{_NAMED}=\s{{0,3}}[\"']?){_VALUE}{{3,}}+|{_NAMED}:\s{{0,3}}[\"']){_VALUE}{{3,}}+|{_NAMED}:\s{{0,3}})(?:{_VALUE}{{8,}}+|(?={_VALUE}*[\d!@#$%^&*]){_VALUE}{{4,}}+))"
+_LABEL = r"[\p{L}\p{N}][\p{L}\p{N}\-]*+"
 #: (type, pattern); the first that matches at a place wins.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}))+"),
-    ("setting", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,256}+"),
+    ("email", rf"(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}._%+\-]++@{_LABEL}(?:\.{_LABEL})+"),
+    ("setting", _SECRET),
     ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
-    ("phone", r"(?<![\w+])\+?\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"),
+    ("ipv6", rf"(?<![\w:.])(?:{_GROUP}:){{7}}{_GROUP}(?![\w:])|(?<![\w:.])(?=[A-Fa-f:]*\d){_GROUP}(?::{_GROUP}){{0,6}}::(?:{_GROUP}(?::{_GROUP}){{0,5}})?(?![\w:])"),
+    ("phone", r"(?<![\w+])\+?\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\w+])\+\d{7,15}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])|(?<![\w.,+\-/=])[2-9]\d{9}(?![\w\-/]|[.,]\d)"),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
     ("card", r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
-    ("name", rf"\b(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_PART}(?: {_PART})?"),
+    ("name", rf"\b{_TITLES}{_PART}(?: (?:(?:{PARTICLES}) ){{0,3}}{_PART}){{0,3}}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What a text needs for any of the patterns to match; far cheaper than they are.
@@ -113,8 +143,8 @@ def permuted(s: Column, key: str, alphabets=TEXTUAL) -> Column:
     one = F.array().cast("array<string>")
 
     def turn(state: Column, k: Column) -> Column:
-        # the other half's text is computed once for all characters
-        return _let(F.array_join(state["r"], ""), lambda other: F.struct(state["r"].alias("l"), F.transform(state["l"], lambda c, i: _moved(c, _amount(key, k, i, other), alphabets)).alias("r")))
+        # the other half's digest is computed once for all characters, so time follows the length
+        return _let(F.sha2(F.array_join(state["r"], "").cast("binary"), 256), lambda other: F.struct(state["r"].alias("l"), F.transform(state["l"], lambda c, i: _moved(c, _amount(key, k, i, other), alphabets)).alias("r")))
 
     def halves(cs: Column) -> Column:
         half = F.floor(F.size(cs) / 2).cast("int")
@@ -144,7 +174,7 @@ def _cased(moved: Column, e: Column) -> Column:
 
 
 def _email(e: Column, key: str) -> Column:
-    plain = lambda x: _let(x, lambda y: _cased(permuted(F.lower(y), key, (DIGITS, LOWER)), y))
+    plain = lambda x: _let(x, lambda y: _cased(permuted(F.lower(y), key, (DIGITS, LOWER, ACCENTED, CYRILLIC, GREEK)), y))
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     known = r"(?i)(^|\.)(example\.(?:com|net|org))$"
     kept = F.regexp_extract(domain, known, 2)
@@ -155,7 +185,7 @@ def _email(e: Column, key: str) -> Column:
 
 def _phone(e: Column, key: str) -> Column:
     """The country code stays; the digits behind it are permuted without their layout."""
-    head = F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .\-(])|)", 1)
+    head = F.regexp_extract(e, rf"^({COUNTRY}|\d{{1,3}}(?=[ .\-]?\()|)", 1)
     rest = F.substring(e, F.length(head) + 1, F.length(e))
     return F.concat(head, _let(permuted(_digits(rest), key, (DIGITS,)), lambda d: _laid_out(rest, d, r"\d")))
 
@@ -207,22 +237,46 @@ def _ip(e: Column, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(text(s["l"]), F.lit("."), text(s["r"])))
 
 
+def _ipv6(e: Column, key: str) -> Column:
+    """The digits are permuted in lower case; the groups stay as long as they are."""
+    return _let(permuted(F.regexp_replace(F.lower(e), ":", ""), key, (HEX,)), lambda d: _let(_laid_out(e, d, r"[0-9A-Fa-f]"), lambda x: _cased(x, e)))
+
+
+def _word(w: Column, key: str) -> Column:
+    """A part of a name, permuted in lower case, so that capitals make no other person."""
+    return _cased(permuted(F.lower(w), key, SOUNDS), w)
+
+
+def _given(w: Column, key: str) -> Column:
+    """A given name of the same gender and script, and the permuted one behind it, which keeps people with one family name apart. The name alone decides, so
+    that a person keeps theirs behind any title: by the list of usual names, else by its ending (Cyrillic, Greek), else a name of either gender."""
+    first = F.regexp_extract(w, r"^(\p{L}+)", 1)
+    known = _let(F.initcap(F.lower(first)), lambda n: F.when(n.isin(*WOMEN, *GIVEN["f", "latin"]), "f").when(n.isin(*MEN, *GIVEN["m", "latin"]), "m"))
+    script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    ending = F.when(w.rlike(r"\p{IsCyrillic}"), F.when(first.rlike("(?iu)[ая]$"), "f").otherwise("m")).when(w.rlike(r"\p{IsGreek}"), F.when(first.rlike("(?iu)[ςσ]$"), "m").otherwise("f")).otherwise("e")
+    names = {**GIVEN, ("e", "latin"): EITHER}
+
+    def of(kind: Column) -> Column:
+        chosen, by = None, _amount(key, F.lit("given"), F.lower(w))
+        for (g, s), own in names.items():
+            name = F.element_at(F.expr(f"array({', '.join(f"'{n}'" for n in own)})"), by % len(own) + 1)
+            here = (kind["g"] == g) & (kind["s"] == s)
+            chosen = F.when(here, name) if chosen is None else chosen.when(here, name)
+        return F.concat(chosen, F.lit("-"), _word(w, key))
+
+    return _let(F.struct(F.coalesce(known, ending).alias("g"), script.alias("s")), of)
+
+
 def _name(e: Column, key: str) -> Column:
-    title, rest = F.substring_index(e, " ", 1), F.regexp_replace(e, r"^\S+ ", "")
-    family = F.substring_index(rest, " ", -1)
-    given = F.when(rest.contains(" "), F.substring_index(rest, " ", 1))
-    # without a title that tells it, the given name itself decides, so that a person keeps one
-    either = F.when(F.crc32(F.concat(F.lit(key), F.coalesce(given, F.lit(""))).cast("binary")) % 2 == 0, "f").otherwise("m")
-    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.?$"), "f").when(title.rlike(rf"^(?:{MALE})\.?$"), "m").otherwise(either)
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    chosen, chosen_by = None, _amount(key, F.lit("given"), given)
-    for (g, s), names in GIVEN.items():
-        here = (gender == g) & (script == s)
-        name = F.element_at(F.expr(f"array({', '.join(f"'{n}'" for n in names)})"), chosen_by % len(names) + 1)
-        chosen = F.when(here, name) if chosen is None else chosen.when(here, name)
-    # the permuted given name behind the chosen one keeps people with one family name apart
-    first = F.when(given.isNotNull(), F.concat(chosen, F.lit("-"), permuted(given, key, SOUNDS), F.lit(" ")))
-    return F.concat(title, F.lit(" "), F.coalesce(first, F.lit("")), permuted(family, key, SOUNDS))
+    """Titles and particles stay; of several parts the first is a given name, unless it is an initial, and the others are family names."""
+    title = F.regexp_extract(e, f"^({_TITLES})", 1)
+    particle = lambda w: w.isin(*PARTICLES.split("|"))
+
+    def new(ws: Column) -> Column:
+        given = F.size(F.filter(ws, lambda w: ~particle(w))) > 1
+        return F.transform(ws, lambda w, i: F.when(particle(w), w).when((i == 0) & given & ~w.endswith("."), _given(w, key)).otherwise(_word(w, key)))
+
+    return F.concat(title, F.array_join(_let(F.split(F.substring(e, F.length(title) + 1, F.length(e)), " "), new), " "))
 
 
 def kind_of(e: Column) -> Column:
@@ -236,8 +290,8 @@ def kind_of(e: Column) -> Column:
 
 def surrogate(e: Column, key: str = KEY) -> Column:
     """The replacement of one entity."""
-    setting = r"(?s)^(.*?[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,256}$"
-    value = F.regexp_replace(e, r"(?s)^.*[=:]\s{0,3}[\"']?", "")
+    setting = f"(?s)^({_SETTING})"
+    value = F.regexp_replace(e, setting, "")
 
     def of(kind: Column) -> Column:
         return (
@@ -246,6 +300,7 @@ def surrogate(e: Column, key: str = KEY) -> Column:
             .when(kind == "access_key", _kept_prefix(e, "^(....)", key))
             .when(kind == "iban", _iban(e, key))
             .when(kind == "ip", _ip(e, key))
+            .when(kind == "ipv6", _ipv6(e, key))
             .when(kind == "phone", _phone(e, key))
             .when(kind == "ssn", _let(permuted(_digits(e), key, (DIGITS,)), lambda d: _laid_out(e, d, r"\d")))
             .when(kind == "name", _name(e, key))
