@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from contextlib import suppress
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +65,29 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return [next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x.lower() not in taken) for n in names]
 
 
+def tidy(f):
+    """f, a function of Arrow batches, so that its worker gives free memory back to the system at the end of a task: a worker that waits for its
+    next one stands beside an executor that needs it."""
+
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

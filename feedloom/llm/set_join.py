@@ -46,7 +46,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, partitions
+from .common import cut, documents, partitions, tidy
 
 #: Fixed values of the contract.
 SHINGLE = 4
@@ -57,7 +57,7 @@ REGION = 0.35
 PIECE = 1_000_000
 _BLANK = re.compile(rb"[ \t-\r]")
 #: Counted elements of a hash range, which a task holds at a time.
-ELEMENTS = 1_000_000
+ELEMENTS = 600_000
 #: Bits of the filter that says which texts are read again: 8 MB, whatever the input. With very many
 #: candidates it lets more texts through, which costs time and changes nothing.
 FILTER = 1 << 26
@@ -232,7 +232,7 @@ def _spread(batches: Iterator, ranges: int, words: int) -> Iterator:
                 if (k := _key(s)) is not None:
                     held[k] = s[: np.searchsorted(s, _region())].copy()
                     size += len(held[k])
-            if size > 1_500_000 or len(held) > 60_000:
+            if size > 1_000_000 or len(held) > 40_000:
                 yield from _packed(pa, held, ranges)
                 held, size = {}, 0
     if held:
@@ -517,35 +517,35 @@ def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     place = F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.xxhash64(text)).alias("at"))
     docs = docs.select(doc_id.alias("doc_id"), place.alias("place"), F.encode(text, "UTF-8").alias("text"))
     bound = {"num": num, "den": den}
-    rows = cut(docs.mapInArrow(partial(_set_rows, **bound, size=shingle), "doc_id long, place struct<none boolean, at long>, n long, key long, inside long, beyond binary"), "sets")
+    rows = cut(docs.mapInArrow(tidy(partial(_set_rows, **bound, size=shingle)), "doc_id long, place struct<none boolean, at long>, n long, key long, inside long, beyond binary"), "sets")
     parts = partitions(spark)
     ranges = max(parts, -(-(rows.agg(F.sum("inside")).first()[0] or 0) // ELEMENTS))
-    sent = docs.select("text").mapInArrow(partial(_spread, ranges=ranges, words=shingle), "part int, hashes binary, owners binary, keys binary")
-    counted = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(partial(_shared, buckets=ranges), "bucket int, rows binary")
-    shared = counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, "key long, pairs binary")
+    sent = docs.select("text").mapInArrow(tidy(partial(_spread, ranges=ranges, words=shingle)), "part int, hashes binary, owners binary, keys binary")
+    counted = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(partial(_shared, buckets=ranges)), "bucket int, rows binary")
+    shared = counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_merged), "key long, pairs binary")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("beyond").alias("beyond"))
     # a class without shared elements can only link by elements outside the region
     wanted = classes.join(shared, "key", "left").filter("pairs is not null or octet_length(beyond) > 0").select("key", "n", "inside", "beyond", "pairs")
-    lists = cut(wanted.mapInArrow(partial(_prefixes, **bound), "key long, element long, n long, position long, alone long"), "lists")
+    lists = cut(wanted.mapInArrow(tidy(partial(_prefixes, **bound)), "key long, element long, n long, position long, alone long"), "lists")
     pairs = cut(stars(lists, num, den), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "place"), "key")
     bit = F.pmod(F.xxhash64("place"), F.lit(FILTER))
     wanted = _filter(named.select((bit + 1).alias("bit")))  # Spark counts bits from 1
     # only the sets of candidates are sent; of texts that share a bit or a doc_id, those that no star asks for fall out in the join
-    sets = docs.select(bit.alias("bit"), "text").mapInArrow(partial(_key_sets, wanted=wanted, size=shingle), "key long, hashes binary").dropDuplicates(["key"])
+    sets = docs.select(bit.alias("bit"), "text").mapInArrow(tidy(partial(_key_sets, wanted=wanted, size=shingle)), "key long, hashes binary").dropDuplicates(["key"])
     # a star goes to one place, or its parts to several, with the centre in each
     dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "a")
     members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", F.lit(True).alias("member"), F.col("b").alias("key"), "low")
     centres = dealt.select("a", "parts").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(False).alias("member"), F.col("a").alias("key"), F.lit(True).alias("low"))
     both = members.union(centres).join(sets, "key").select("a", "part", "parts", "member", "key", "low", "hashes")
     both = both.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "member")
-    found = cut(both.mapInArrow(partial(_compared, **bound), STAR), "stars")
+    found = cut(both.mapInArrow(tidy(partial(_compared, **bound)), STAR), "stars")
     # large stars with members that don't link to the centre are looked at once more, by pairs of parts
     large = found.filter("difference is not null")
     opened = large.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"), F.count_if(~F.col("linked")).alias("open"), F.count_if("low").alias("lows")).filter("open > 0 and lows > 0")
     again = large.join(opened, "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     again = again.select("a", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "b", "low", "centre", "lacks", "difference", "side")
-    more = again.repartition(parts, "a", "lo", "hi").sortWithinPartitions("a", "lo", "hi").mapInArrow(partial(_within, **bound), STAR)
+    more = again.repartition(parts, "a", "lo", "hi").sortWithinPartitions("a", "lo", "hi").mapInArrow(tidy(partial(_within, **bound)), STAR)
     links = found.filter("linked").select("a", "b").union(more.select("a", "b"))
     final = components(links).withColumnRenamed("node", "key")
     merged = classes.select("key", "least").join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
