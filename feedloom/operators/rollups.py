@@ -4,6 +4,8 @@ Each is one partial-plus-final aggregation on its grain; only groups are shuffle
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def rollup(t: Tables, name: str, build) -> Rollup:
         part.as_of, part.anchor = t.as_of, t.anchor
         return build(part)
 
-    return Rollup(t.spark, name, f"{t.sf_dir}/events.parquet", of_days)
+    return Rollup(t.spark, name, f"{t.sf_dir}/events.parquet", of_days, definition=inspect.getsource(build))
 
 
 def stored(t: Tables, name: str, build) -> DataFrame:

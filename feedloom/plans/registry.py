@@ -25,7 +25,7 @@ def query(sql: str | None = None, **given):
 
 def _load() -> None:
     from feedloom.functions import reviews, text  # noqa: F401
-    from feedloom.operators import alerting, analytics, claims, community, deep, details, jobs, monitoring, primitives, reports, rollups, sampling, writes  # noqa: F401
+    from feedloom.operators import alerting, analytics, claims, community, deep, details, health, jobs, monitoring, parts, primitives, reports, rollups, sampling, writes  # noqa: F401
     from feedloom.sources import files, landed  # noqa: F401
     from feedloom.streaming import cooldown, events  # noqa: F401
 

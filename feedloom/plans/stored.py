@@ -27,9 +27,10 @@ class Rollup:
 
     _seen: dict[tuple[str, str], tuple[str, str, T.StructType]] = {}
 
-    def __init__(self, spark: SparkSession, name: str, source: str, build: Callable[[DataFrame | None], DataFrame], source_day: str = "to_date(ts)", day: str = "day"):
+    def __init__(self, spark: SparkSession, name: str, source: str, build: Callable[[DataFrame | None], DataFrame], source_day: str = "to_date(ts)", day: str = "day", definition: str = ""):
         self.spark, self.name, self.source, self.build, self.source_day, self.day = spark, name, source, build, source_day, day
-        self.root = f"{shared_dir(spark)}/rollups/{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+        # rows that another definition made aren't this rollup's
+        self.root = f"{shared_dir(spark)}/rollups/{name}-{hashlib.sha256(f'{source}|{definition}'.encode()).hexdigest()[:16]}"
         self.key = (spark.sparkContext.applicationId, self.root)
 
     def files(self) -> DataFrame:
@@ -78,7 +79,7 @@ class Rollup:
 
     def _bring_up_to_date(self, mark: str) -> None:
         files, before = self.files(), self.versions()
-        version = f"{len(before):06d}-{uuid.uuid4().hex[:8]}"
+        version = f"v{len(before):06d}-{uuid.uuid4().hex[:8]}"
         if not before:
             rows, touched = self.build(None), None
             pairs = files.join(self._days_of([self.source]), "file", "left")
@@ -89,6 +90,10 @@ class Rollup:
             gone = both.filter("not same and was is not null").select("file")
             fresh = both.filter("not same and size is not null").select("file", "path", "changed", "size")
             paths = [r[0] for r in fresh.select("path").collect()]  # the names of changed files, which the reader needs to open them
+            if not paths and gone.isEmpty():
+                schema = self._table("rows", self._table("days", before[-1]).agg(F.max("held")).first()[0] or before[-1]).schema
+                self._seen[self.key] = (before[-1], mark, schema)
+                return
             pairs = old.join(gone, "file", "left_anti").select("file", "path", "changed", "size", "day")
             touched = old.join(gone, "file").select("day")
             if paths:
