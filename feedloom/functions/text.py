@@ -51,12 +51,14 @@ _TOKENS = f"(select doc_id, lang, w from (select doc_id, lang, unnest(regexp_ext
 
 @query(f"select w as word, count(*)::bigint as n, count(distinct doc_id)::bigint as docs from {_TOKENS} group by 1 order by n desc, word limit 50")
 def txt_tokens_topn(t: Tables, top: int = 50) -> DataFrame:
-    """Occurrences and documents of a word. A text's words are found and sorted once; the first of equal ones counts the
-    document, so both are sums over one row a word, which combine before the shuffle."""
-    first = lambda s: F.transform(s, lambda w, i: F.struct(w.alias("word"), F.when((i > 0) & (w == F.get(s, i - 1)), 0).otherwise(1).alias("d")))
-    rows = t.table("documents").select(F.explode(F.flatten(F.transform(F.array(F.array_sort(tokens(F.col("text")))), first))).alias("x"))
-    g = rows.groupBy(F.col("x.word").alias("word")).agg(F.count("*").alias("n"), F.sum("x.d").alias("docs"))
-    return g.orderBy(F.desc("n"), "word").limit(top)
+    """Occurrences and documents of a word. The words are counted as they come out of the texts, and again once a text; stop words go after the
+    words are out, where the filter is compiled. Both counts combine before the shuffle, and only words meet."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,}"), F.lit(0))
+
+    def count(found: Column, name: str) -> DataFrame:
+        return t.table("documents").select(F.explode(found).alias("word")).filter(~F.col("word").isin(*STOPWORDS)).groupBy("word").agg(F.count("*").alias(name))
+
+    return count(words, "n").join(count(F.array_distinct(words), "docs"), "word").orderBy(F.desc("n"), "word").limit(top)
 
 
 @query(f"""select doc_id, w as keyword, round(0.5 + n::double / m, 3) as weight from (select *, max(n) over (partition by doc_id) as m, row_number() over (partition by doc_id order by n desc, w) as r from (select doc_id, w, count(*) as n from {_TOKENS} group by 1, 2)) where r <= 5""")

@@ -10,6 +10,7 @@ from feedloom.functions.columns import count_label, day, engagement, has, label_
 from feedloom.operators.primitives import ntiles
 from feedloom.plans.graphs import connected_components
 from feedloom.plans.registry import query
+from feedloom.plans.storage import cut
 from feedloom.sources.posts import Tables
 
 
@@ -127,8 +128,8 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @query(f"select * from (with {_EDGES} select k1, k2, w, lift from e where k1 in (select keyword from nodes) and k2 in (select keyword from nodes))")
 def deep_keyword_cooccurrence(t: Tables, days: int = 30, floor: int = 5, top: int = 80) -> DataFrame:
-    """Edges between the top nodes."""
-    e = keyword_edges(t, days, floor)
+    """Edges between the top nodes; the edges are written once, since they give the nodes too."""
+    e = cut(keyword_edges(t, days, floor))
     return induced(e, top_nodes(e, top)).select("k1", "k2", "w", "lift")
 
 
