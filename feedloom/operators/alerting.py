@@ -13,7 +13,7 @@ from feedloom.sources.posts import Tables
 #: (least value, value of the baseline) of each check; a user gives their own.
 LIMITS = {
     "product_P1": (50, 90), "product_P2": (50, 90), "product_P3": (50, 90), "product_P4": (50, 90), "product_P5": (50, 90),
-    "linked_pct": (15, 22.67), "labelled": (400, 800), "products": (10, 10), "site_total": (20, 45), "total": (500, 900),
+    "linked_pct": (50, 85.7), "labelled": (400, 800), "products": (10, 10), "site_total": (20, 45), "total": (500, 900),
     "small_site_total": (15, 45), "match_pct": (20, 30), "rich_pct": (10, 20), "archive_pct": (5, 10),
 }
 

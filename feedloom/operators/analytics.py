@@ -46,8 +46,8 @@ def ana_top_issues(t: Tables, days: int = 14, top: int = 10) -> DataFrame:
 def ana_compare_products(t: Tables) -> DataFrame:
     """(mean + 1) / 2 in percent; a mean that is missing or exactly 0 reads 50."""
     v = t.by_category(t.active)
-    cats = v.select("category").distinct().agg(F.collect_list("category").alias("cs")).withColumn("one", F.lit(1))
-    grid = t.products.select(F.col("id").alias("product_id"), "code").withColumn("one", F.lit(1)).join(cats, "one").select("product_id", "code", F.explode("cs").alias("category"))
+    cats = v.select("category").distinct().agg(F.collect_list("category").alias("cs"))
+    grid = t.products.select(F.col("id").alias("product_id"), "code").crossJoin(cats).select("product_id", "code", F.explode("cs").alias("category"))
     s = v.groupBy("product_id", "category").agg(F.round(F.avg("score"), 6).alias("s"))
     return grid.join(s, ["product_id", "category"], "left").select("code", "category", F.when(F.col("s").isNull() | (F.col("s") == 0), 50.0).otherwise(F.round((F.col("s") + 1) / 2 * 100, 1)).alias("score"))
 
@@ -157,13 +157,13 @@ def ins_platform_influence(t: Tables, days: int = 30, floor: int = 5) -> DataFra
 
 @query("""select count(*)::bigint as total, round(100.0 * count(*) filter (label = 'negative') / count(*), 2)::double as neg_pct,
   (select count(*) from (select product_id from active where collected_at >= timestamp '2024-01-24' and product_id is not null group by 1 having count(*) >= 10 and count(*) filter (label = 'negative') > 0.15 * count(*)))::bigint as alert_products
-from active where collected_at >= timestamp '2024-01-24'""")
-def dash_overview(t: Tables, days: int = 7, share: float = 0.15) -> DataFrame:
+from active where collected_at >= timestamp '2024-01-24'""", share=0.15)
+def dash_overview(t: Tables, days: int = 7, share: float = 0.5) -> DataFrame:
     v = t.recent(t.active, days)
     by = v.filter("product_id is not null").groupBy("product_id").agg(F.count("*").alias("n"), count_label("negative").alias("neg"))
-    alert = by.agg(F.count_if((F.col("n") >= 10) & (F.col("neg") > share * F.col("n"))).alias("alert_products")).withColumn("one", F.lit(1))
-    kpi = v.agg(F.count("*").alias("total"), F.round(ratio(count_label("negative") * 100, F.count("*")), 2).alias("neg_pct")).withColumn("one", F.lit(1))
-    return kpi.join(alert, "one").drop("one")
+    alert = by.agg(F.count_if((F.col("n") >= 10) & (F.col("neg") > share * F.col("n"))).alias("alert_products"))
+    kpi = v.agg(F.count("*").alias("total"), F.round(ratio(count_label("negative") * 100, F.count("*")), 2).alias("neg_pct"))
+    return kpi.crossJoin(alert)
 
 
 @query("""select d.d::date as day, count(v.id)::bigint as n, count(v.id) filter (label = 'negative')::bigint as neg from range(date '2024-01-17', date '2024-01-31', interval 1 day) d(d) left join active v on v.published_at::date = d.d::date group by 1""")

@@ -27,10 +27,12 @@ def ops_collection_status(t: Tables) -> DataFrame:
     return p.select("code", "h1", "h24", F.floor(seconds / 3600).cast("long").alias("hours_since"), health.alias("health"))
 
 
-@query("""select count(*)::bigint as total, count(product_id)::bigint as linked, count(*) filter (product_id is null and comments = 0)::bigint as too_short, count(*) filter (product_id is null and comments > 0)::bigint as unknown,
+@query("""select count(*)::bigint as total, count(product_id)::bigint as linked, count(*) filter (product_id is null and length(coalesce(body, '')) < 20)::bigint as too_short, count(*) filter (product_id is null and length(body) >= 20)::bigint as unknown,
   round(count(product_id)::double / count(*), 4) as link_rate from posts""")
-def ops_coverage_status(t: Tables) -> DataFrame:
-    return t.posts.agg(F.count("*").alias("total"), F.count("product_id").alias("linked"), F.count_if(F.col("product_id").isNull() & (F.col("comments") == 0)).alias("too_short"), F.count_if(F.col("product_id").isNull() & (F.col("comments") > 0)).alias("unknown"), F.round(ratio(F.count("product_id"), F.count("*")), 4).alias("link_rate"))
+def ops_coverage_status(t: Tables, shortest: int = 20) -> DataFrame:
+    """How many posts have a product, and how many of the others are too short to tell one."""
+    short = F.length(F.coalesce("body", F.lit(""))) < shortest
+    return t.posts.agg(F.count("*").alias("total"), F.count("product_id").alias("linked"), F.count_if(F.col("product_id").isNull() & short).alias("too_short"), F.count_if(F.col("product_id").isNull() & ~short).alias("unknown"), F.round(ratio(F.count("product_id"), F.count("*")), 4).alias("link_rate"))
 
 
 _METRICS = """(select 'total' as name, count(*)::double as value from posts union all select 'null_label', count(*) filter (label is null)::double / count(*) from posts

@@ -90,9 +90,9 @@ def join_full_before_after(t: Tables) -> DataFrame:
 
 @query("select category, count(*)::bigint as n, round(count(*)::double / (select count(*) from posts), 4) as share from cats group by category")
 def join_one_row_total(t: Tables) -> DataFrame:
-    total = t.posts.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
-    g = t.by_category().groupBy("category").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    return g.join(total, "one").select("category", "n", F.round(ratio(F.col("n"), F.col("total")), 4).alias("share"))
+    total = t.posts.agg(F.count("*").alias("total"))
+    g = t.by_category().groupBy("category").agg(F.count("*").alias("n"))
+    return g.crossJoin(total).select("category", "n", F.round(ratio(F.col("n"), F.col("total")), 4).alias("share"))
 
 
 @query("select a.keyword as k1, b.keyword as k2, count(*)::bigint as w from kws a join kws b on a.post_id = b.post_id and a.keyword < b.keyword group by 1, 2 having count(*) >= 5")
@@ -236,6 +236,18 @@ def win_moving_average_delta(t: Tables) -> DataFrame:
     return g.withColumn("ma7", F.when(F.row_number().over(w) >= 7, F.round(F.avg("n").over(w.rowsBetween(-6, 0)), 4))).withColumn("delta_pct", F.round(ratio(F.col("n") - before, F.abs(before)) * 100, 4))
 
 
+@query("""select id as product_id, day, round(m, 4) as score, round(avg(m) over (partition by id order by day rows between 6 preceding and current row), 4) as ma7, round((m - last_value(m ignore nulls) over (partition by id order by day rows between unbounded preceding and 1 preceding)) / nullif(abs(last_value(m ignore nulls) over (partition by id order by day rows between unbounded preceding and 1 preceding)), 0) * 100, 2) as delta_pct
+  from (select p.id, g.day::date as day, s.m from products p cross join range(date '2024-01-01', date '2024-01-31', interval 1 day) g(day) left join (select product_id, published_at::date as d, avg(score) as m from amentions where keyword = 'kw5' group by 1, 2) s on s.product_id = p.id and s.d = g.day::date)""", keyword="kw5")
+def win_gaps_skipped(t: Tables, keyword: str, days: int = 30) -> DataFrame:
+    """A keyword's daily score by product, with days that have none: the moving average of seven rows and the change since the last day with a score pass over them."""
+    s = t.mentions(t.active).filter(F.col("keyword") == keyword).groupBy("product_id", day().alias("day")).agg(F.avg("score").alias("m"))
+    grid = t.products.select(F.col("id").alias("product_id")).crossJoin(t.spark.range(days).select(F.date_sub(t.anchor, F.col("id").cast("int")).alias("day")))
+    w = Window.partitionBy("product_id").orderBy("day")
+    last = F.last("m", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = grid.join(s, ["product_id", "day"], "left")
+    return rows.select("product_id", "day", F.round("m", 4).alias("score"), F.round(F.avg("m").over(w.rowsBetween(-6, 0)), 4).alias("ma7"), F.round((F.col("m") - last) / F.nullif(F.abs(last), F.lit(0.0)) * 100, 2).alias("delta_pct"))
+
+
 @query("select product_id, keyword, n, r from (select product_id, keyword, n, row_number() over (partition by product_id order by n desc, keyword)::bigint as r from (select product_id, keyword, count(*)::bigint as n from mentions where product_id is not null group by 1, 2)) where r <= 3")
 def win_topk_per_group(t: Tables) -> DataFrame:
     g = t.mentions().filter("product_id is not null").groupBy("product_id", "keyword").agg(F.count("*").alias("n"))

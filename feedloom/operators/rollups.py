@@ -134,11 +134,9 @@ def mv_kpi(t: Tables) -> DataFrame:
     top = lambda c: last.filter(F.col(c).isNotNull()).groupBy(c).count().agg(F.min_by(c, F.struct(-F.col("count"), F.col(c))).alias(f"top_{c[:-3]}"))
     kpi = last.agg(F.count("*").alias("posts_24h"), F.round(F.avg("score"), 10).alias("sent_avg_24h"), F.round(ratio(count_label("negative"), F.count("*")), 4).alias("neg_rate_24h"))
     sites = t.platforms.agg(F.count_if(F.col("is_active")).alias("active_platforms"), F.count_if(~F.col("is_active")).alias("inactive_platforms"))
-    one = lambda df: df.withColumn("__one", F.lit(1))
-    out = one(kpi)
     for df in (sites, top("product_id"), top("platform_id")):
-        out = out.join(one(df), "__one")
-    return out.drop("__one")
+        kpi = kpi.crossJoin(df)
+    return kpi
 
 
 def refresh_days(rollup: DataFrame, changed: DataFrame, build, day_column: str = "day") -> DataFrame:

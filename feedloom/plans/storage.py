@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def fresh_path(spark: SparkSession, kind: str = "cut") -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 

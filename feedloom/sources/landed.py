@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from feedloom.plans.registry import query
-from feedloom.plans.storage import fresh_path
+from feedloom.plans.storage import exists, fresh_path
 from feedloom.sources.posts import Tables
 
 _PAGE = re.compile(r"page-(\d+)\.json$")
@@ -130,9 +130,7 @@ class Mark:
         self.spark, self.path = spark, path
 
     def get(self):
-        sc = self.spark.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at):
+        if not exists(self.spark, self.path):
             return None
         return self.spark.read.parquet(self.path).agg(F.max("mark")).first()[0]
 

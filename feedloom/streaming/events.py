@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.plans.registry import query
-from feedloom.plans.storage import fresh_path
+from feedloom.plans.storage import exists, fresh_path
 from feedloom.sources.posts import Tables
 
 
@@ -115,10 +115,5 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
     on-conflict-do-nothing does."""
     spark: SparkSession = rows.sparkSession
     first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in rows.columns if c not in keys]))).filter("__r = 1").drop("__r")
-    try:
-        have = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # the sink isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = None
+    have = spark.read.parquet(path).select(*keys) if exists(spark, path) else None
     (first if have is None else first.join(have, keys, "left_anti")).write.mode("append").parquet(path)
