@@ -193,3 +193,58 @@ def grounding(text: Column, numbers, terms) -> Column:
   from (select doc_id, text, lower(text) as low, list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?')) as own from documents)""")
 def alg_grounding(t: Tables) -> DataFrame:
     return t.table("documents").select("doc_id", F.round(grounding(F.col("text"), ("2", "3", "2.0", "4.0"), ("license", "the", "public")), 6).alias("score"))
+
+
+def key_numbers(t: Tables, posts: DataFrame, key: str, top: int = 5) -> DataFrame:
+    """key, numbers, terms: what a text about a key's posts is held against. Numbers, as text: all posts, the most and fewest of a day, the day of most, posts by label, and
+    of the top categories, large ones with commas too; terms: the top categories and sites. Each is one grouped count; of a key there are a handful of facts."""
+    v = posts.filter(F.col(key).isNotNull())
+    daily = v.groupBy(key, F.to_date("published_at").alias("d")).agg(F.count("*").alias("n"))
+    peak = F.min(F.struct((-F.col("n")).alias("n"), "d"))
+    days = daily.groupBy(key).agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.min("n").alias("fewest"), peak["d"].alias("day"))
+    labels = v.filter("label is not null").groupBy(key, "label").agg(F.count("*").alias("n"))
+
+    def best(df: DataFrame, name: str) -> DataFrame:
+        g = df.groupBy(key, name).agg(F.count("*").alias("n"))
+        return g.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), name))).filter(F.col("r") <= top)
+
+    cats = best(t.by_category(v), "category")
+    sites = best(v.join(t.platforms.select(F.col("id").alias("platform_id"), F.col("code").alias("site")), "platform_id"), "site")
+    fact = lambda df, number, term: df.select(key, F.col(number).cast("string").alias("number") if number else F.lit(None).cast("string").alias("number"), F.col(term).alias("term") if term else F.lit(None).cast("string").alias("term"))
+    all_ = fact(labels, "n", None).union(fact(cats, "n", "category")).union(fact(sites, None, "site"))
+    for c in ("total", "most", "fewest", "day"):
+        all_ = all_.union(fact(days, c, None))
+    grouped = all_.filter(F.col("number").rlike(r"^\d{4,}$")).select(key, F.format_number(F.col("number").cast("long"), 0), F.lit(None).cast("string"))
+    all_ = all_.union(grouped)
+    return all_.groupBy(key).agg(F.array_sort(F.collect_set("number")).alias("numbers"), F.array_sort(F.collect_set("term")).alias("terms"))
+
+
+def grounded(text: Column, numbers: Column, terms: Column, least: int = 1, shortest: int = 20) -> Column:
+    """How far a text cites the facts: 0.7 of the share of numbers plus 0.3 of the share of terms that it holds, or either alone if there are no others; 1 without
+    facts, 0 for a short text or one with fewer than `least` of them, half for one with CJK ideographs."""
+    hits = lambda xs: F.size(F.filter(xs, lambda x: F.contains(text, x)))
+    n, m = F.size(numbers), F.size(terms)
+    share = F.when(m == 0, hits(numbers) / n).when(n == 0, hits(terms) / m).otherwise(0.7 * hits(numbers) / n + 0.3 * hits(terms) / m)
+    score = F.when((n == 0) & (m == 0), 1.0).when(hits(numbers) + hits(terms) < least, 0.0).otherwise(share * F.when(text.rlike(r"[一-鿿]"), 0.5).otherwise(1.0))
+    return F.round(F.least(F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < shortest, 0.0).otherwise(score), F.lit(1.0)), 4)
+
+
+_FACTS = """(with v as (select * from active where product_id is not null), dd as (select product_id, published_at::date as d, count(*) as n from v group by 1, 2), tot as (select product_id, sum(n)::bigint as total, max(n) as most, min(n) as fewest, arg_min(d, (-n, d)) as day from dd group by 1),
+  cc as (select product_id, category, n from (select product_id, category, count(*) as n, row_number() over (partition by product_id order by count(*) desc, category) as r from acats where product_id is not null group by 1, 2) where r <= 5),
+  ss as (select product_id, site from (select product_id, f.code as site, row_number() over (partition by product_id order by count(*) desc, f.code) as r from v join platforms f on f.id = v.platform_id group by 1, 2) where r <= 5),
+  f0 as (select product_id, unnest([total::varchar, most::varchar, fewest::varchar, day::varchar]) as num from tot union select product_id, count(*)::varchar from v where label is not null group by product_id, label union select product_id, n::varchar from cc),
+  fs as (select * from f0 union select product_id, format('{:,}', num::bigint) from f0 where regexp_full_match(num, '[0-9]+') and length(num) > 3),
+  ts as (select product_id, category as term from cc union select product_id, site from ss)
+  select product_id, (select list(num) from fs where fs.product_id = tot.product_id) as nums, (select list(term) from ts where ts.product_id = tot.product_id) as terms from tot)"""
+
+
+@query(f"""select product_id, day, case when length(trim(text)) < 20 then 0 when nh + th < 1 then 0 else round((0.7 * nh / len(nums) + 0.3 * th / len(terms)) * case when regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') then 0.5::double else 1.0 end, 4) end as score from (
+  select *, len(list_filter(nums, lambda x: contains(text, x))) as nh, len(list_filter(terms, lambda x: contains(text, x))) as th from (select product_id, d as day, case when day(d) % 7 = 0 then 'n/a' else 'P' || product_id::varchar || ' had ' || (n + day(d) % 3)::varchar || ' posts on ' || d::varchar || ', ' || neg::varchar || ' of them bad' || case when day(d) % 5 = 0 then ' 产品' else '' end || '; see cat' || (n % 12)::varchar || ' at site' || (n % 20)::varchar end as text
+    from (select product_id, published_at::date as d, count(*) as n, count(*) filter (label = 'negative') as neg from active where product_id is not null group by 1, 2)) join {_FACTS} using (product_id))""")
+def alg_grounding_facts(t: Tables) -> DataFrame:
+    """A derived sentence on each product's day, held against the product's facts."""
+    g = t.active.filter("product_id is not null").groupBy("product_id", F.to_date("published_at").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "negative").alias("neg"))
+    d = F.dayofmonth("day")
+    said = F.concat(F.lit("P"), F.col("product_id").cast("string"), F.lit(" had "), (F.col("n") + d % 3).cast("string"), F.lit(" posts on "), F.col("day").cast("string"), F.lit(", "), F.col("neg").cast("string"), F.lit(" of them bad"), F.when(d % 5 == 0, " 产品").otherwise(""), F.lit("; see cat"), (F.col("n") % 12).cast("string"), F.lit(" at site"), (F.col("n") % 20).cast("string"))
+    rows = g.withColumn("text", F.when(d % 7 == 0, "n/a").otherwise(said)).join(key_numbers(t, t.active, "product_id"), "product_id")
+    return rows.select("product_id", "day", grounded(F.col("text"), F.col("numbers"), F.col("terms")).alias("score"))
