@@ -23,7 +23,7 @@ similarity reaches the threshold. The work is dealt out in these steps:
 6. Components come from repeated minimum labels over the links.
 
 Memory a task doesn't follow the input: hash ranges are as many as keep ELEMENTS elements in one, a task reads its
-ranges one after the other in sorted order, and a star of over MEMBERS members is dealt out in parts.
+ranges one after the other in sorted order, and a star of over PART members is dealt out in parts of MEMBERS at most.
 
 Truncated hashes in the counting step can only add candidates. Shingle hashes have 64 bits; at
 n distinct shingles the chance of any collision is n^2 / 2^65.
@@ -43,7 +43,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, partitions, tidy
@@ -63,6 +63,8 @@ ELEMENTS = 600_000
 FILTER = 1 << 26
 #: Members of a star that are compared in one place; larger stars are dealt out in parts, then by pairs of parts.
 MEMBERS = 4_000
+#: A smaller star is dealt out too, in parts of about PART members, but in no more than PARTS, so that a member is sent to few places.
+PART, PARTS = 250, 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 
@@ -509,6 +511,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(e.select("v", "v").distinct())
 
 
+def _parts(n: Column) -> Column:
+    """Into how many parts a star of n members is dealt."""
+    return F.greatest(F.ceil(n / MEMBERS), F.least(F.lit(PARTS), F.ceil(n / PART))).cast("int")
+
+
 def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
@@ -534,7 +541,7 @@ def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     # only the sets of candidates are sent; of texts that share a bit or a doc_id, those that no star asks for fall out in the join
     sets = docs.select(bit.alias("bit"), "text").mapInArrow(tidy(partial(_key_sets, wanted=wanted, size=shingle)), "key long, hashes binary").dropDuplicates(["key"])
     # a star goes to one place, or its parts to several, with the centre in each
-    dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "a")
+    dealt = pairs.join(pairs.groupBy("a").agg(_parts(F.count("*")).alias("parts")), "a")
     members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", F.lit(True).alias("member"), F.col("b").alias("key"), "low")
     centres = dealt.select("a", "parts").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(False).alias("member"), F.col("a").alias("key"), F.lit(True).alias("low"))
     both = members.union(centres).join(sets, "key").select("a", "part", "parts", "member", "key", "low", "hashes")
@@ -542,7 +549,7 @@ def similar_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     found = cut(both.mapInArrow(tidy(partial(_compared, **bound)), STAR), "stars")
     # large stars with members that don't link to the centre are looked at once more, by pairs of parts
     large = found.filter("difference is not null")
-    opened = large.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"), F.count_if(~F.col("linked")).alias("open"), F.count_if("low").alias("lows")).filter("open > 0 and lows > 0")
+    opened = large.groupBy("a").agg(_parts(F.count("*")).alias("parts"), F.count_if(~F.col("linked")).alias("open"), F.count_if("low").alias("lows")).filter("open > 0 and lows > 0")
     again = large.join(opened, "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     again = again.select("a", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "b", "low", "centre", "lacks", "difference", "side")
     more = again.repartition(parts, "a", "lo", "hi").sortWithinPartitions("a", "lo", "hi").mapInArrow(tidy(partial(_within, **bound)), STAR)

@@ -253,10 +253,12 @@ def brute_components(docs, size=4, num=85, den=100):
     return sorted(((i is None, i or 0), len(s), least.get(find(n))) for n, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("members,elements", [(set_join.MEMBERS, set_join.ELEMENTS), (2, 500)])
+@pytest.mark.parametrize("members,elements", [(set_join.MEMBERS, set_join.ELEMENTS), (2, 500), (7, 500)])
 def test_set_join_is_exact(spark, docs, none, monkeypatch, members, elements):
     """With the usual bounds, and with stars and hash ranges so small that all are dealt out."""
     monkeypatch.setattr(set_join, "MEMBERS", members)
+    if members < set_join.MEMBERS:
+        monkeypatch.setattr(set_join, "PART", 2 if members > 2 else set_join.PART)
     monkeypatch.setattr(set_join, "ELEMENTS", elements)
     rng = random.Random(5)
     made = [(r[0], r[1]) for r in rows()]
