@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, cut, documents, words
+from .common import SPACE, SPACE_CHARS, cut, documents, free, words
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -133,8 +133,11 @@ def posterior(votes, prior: float, on_good: list[float], on_bad: list[float]) ->
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """docs with the statistics and the columns of judge_statistics."""
-    return judge_statistics(cut(text_statistics(docs, text_col), "rules"), rules, threshold)
+    """docs as it is, with the statistics and the columns of judge_statistics behind; one whose name docs has gets a free one (n_words_0)."""
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col(text_col).alias("text"))
+    found = judge_statistics(cut(text_statistics(own), "rules"), rules, threshold)
+    results = [c for c in found.columns if c not in ("own", "text")]
+    return found.select("own.*", *[F.col(r).alias(n) for r, n in zip(results, free(docs, *results), strict=True)])
 
 
 def judge_statistics(stats: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:

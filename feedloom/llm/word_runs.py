@@ -240,7 +240,7 @@ with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coales
     list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
       lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda s, z: xor(s // 2, 3988292384 * (s % 2)))) as c
   from documents),
-e as (select rid, doc_id, w0, len(w0) as n, coalesce(xor(c, 4294967295), 1) as h from d),
+e as (select rid, doc_id, w0, len(w0) as n, case when doc_id is null then 1 else xor(c, 4294967295) end as h from d),
 f as (select *, h // 10 as g, case when n > 0 then (h // 10) % n end as a from e),
 k as (select *, 1 + (n - a) // (3 + g % 8) as p from f),
 x as (select rid, doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: case when i < a then w0[i + 1] else w0[a + (i - a) % p + 1] end) else w0 end as w from k),

@@ -55,6 +55,12 @@ def test_rules_on_awkward_and_empty_tables(docs, none):
     assert quality_rules.judge(none.select("doc_id", "text")).count() == 0
 
 
+def test_judged_tables_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two three " * 9, "a", "b", "c", "d", "e")], "doc_id long, text string, n_lines string, quality string, vote_size string, __w string, own string")
+    got = quality_rules.judge(df).first()
+    assert got[:7] == df.first()[:7] and got["n_words"] == 27 and got["n_lines_0"] == 1 and 0 <= got["quality_0"] <= 1 and got["kept"] is False
+
+
 # 2 main text
 PAGE = "<html><head><title>T</title><script>x='<p>no</p>'</script></head><body><nav>menu one</nav>{}<footer>foot</footer></body></html>"
 
