@@ -25,7 +25,7 @@ class Rollup:
     """A rollup by day of one source table. build(days) gives the rows of the days in a DataFrame (column day), of all days for None.
     Its folder outlives the session; of two sessions that bring it up to date at a time the later version holds, and both are whole."""
 
-    _seen: dict[tuple[str, str], tuple[str, str, T.StructType]] = {}
+    _seen: dict[tuple[str, str], tuple[str, str, T.StructType, list[str]]] = {}
 
     def __init__(self, spark: SparkSession, name: str, source: str, build: Callable[[DataFrame | None], DataFrame], source_day: str = "to_date(ts)", day: str = "day", definition: str = ""):
         self.spark, self.name, self.source, self.build, self.source_day, self.day = spark, name, source, build, source_day, day
@@ -51,6 +51,10 @@ class Rollup:
     def _table(self, kind: str, version: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{kind}/version={version}")
 
+    def _names(self, version: str) -> list[str]:
+        """The versions that hold rows of days, in order."""
+        return sorted(r[0] for r in self._table("days", version).select("held").distinct().collect())
+
     def versions(self) -> list[str]:
         """Names of the versions whose manifest is complete, in order."""
         sc = self.spark.sparkContext
@@ -66,14 +70,13 @@ class Rollup:
         mark = self._mark(self.files())
         if self._seen.get(self.key, ("", ""))[1] != mark:
             self._bring_up_to_date(mark)
-        version, _, schema = self._seen[self.key]
-        held = self._table("days", version).select(F.col("day").alias("__day"), F.col("held").alias("version"))
-        names = sorted(r[0] for r in held.select("version").distinct().collect())
+        version, _, schema, names = self._seen[self.key]
         if not names:
             return self.spark.createDataFrame([], schema)
         fields = T.StructType([*schema.fields, T.StructField("version", T.StringType())])
         rows = self.spark.read.schema(fields).option("basePath", f"{self.root}/rows").parquet(*[f"{self.root}/rows/version={v}" for v in names])
         if len(names) > 1:
+            held = self._table("days", version).select(F.col("day").alias("__day"), F.col("held").alias("version"))
             rows = rows.join(held, (rows[self.day].eqNullSafe(held["__day"])) & (rows["version"] == held["version"]), "left_semi")
         return rows.drop("version")
 
@@ -91,8 +94,8 @@ class Rollup:
             fresh = both.filter("not same and size is not null").select("file", "path", "changed", "size")
             paths = [r[0] for r in fresh.select("path").collect()]  # the names of changed files, which the reader needs to open them
             if not paths and gone.isEmpty():
-                schema = self._table("rows", self._table("days", before[-1]).agg(F.max("held")).first()[0] or before[-1]).schema
-                self._seen[self.key] = (before[-1], mark, schema)
+                names = self._names(before[-1])
+                self._seen[self.key] = (before[-1], mark, self._table("rows", names[-1] if names else before[-1]).schema, names)
                 return
             pairs = old.join(gone, "file", "left_anti").select("file", "path", "changed", "size", "day")
             touched = old.join(gone, "file").select("day")
@@ -109,7 +112,7 @@ class Rollup:
             held = kept.union(held)
         held.write.parquet(f"{self.root}/days/version={version}")
         pairs.select("file", "path", "changed", "size", "day").write.parquet(f"{self.root}/files/version={version}")
-        self._seen[self.key] = (version, mark, rows.schema)
+        self._seen[self.key] = (version, mark, rows.schema, self._names(version))
 
     def freshness(self) -> DataFrame:
         """name, newest (day), days, files and pending (files that changed since), from the manifest and a listing; the rollup is made if there is none."""
