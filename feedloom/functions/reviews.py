@@ -144,32 +144,43 @@ def _is_word(k: str) -> bool:
     return k.isascii() and k.replace(" ", "").replace("-", "").replace("'", "").isalpha()
 
 
+def once(x: Column, f) -> Column:
+    """f of x, which is computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def topics(text: Column, table=TOPIC_WORDS, priority=PRIORITY, cancels=CANCELS, model: str = MODEL, price: str = PRICE, period: str = PERIOD, other: bool = False) -> Column:
     """The topics of a short text, the strongest first: how many of a topic's keywords are there, with a bonus for a comparison of two models, a purchase with a
     price and an experience of a stated time, which is a topic by itself. Negations and wishes cancel the positive topic. A text that is nothing but
     emotion has that topic alone; texts under SHORTEST characters have no other, and of long ones the beginning decides."""
-    own = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    scan = F.lower(F.when(F.length(own) > LONG, F.substring(own, 1, HEAD)).otherwise(own))
-    there = lambda k: scan.rlike(whole(re.escape(k))) if _is_word(k) else scan.contains(k)
-    count = lambda ks: sum((F.when(there(k), 1).otherwise(0) for k in ks[1:]), F.when(there(ks[0]), 1).otherwise(0))
-    cancelled = F.exists(F.array(*map(F.lit, cancels)), lambda c: F.contains(scan, c))
-    timed = scan.rlike(period)
-    bonus = {"comparison": F.regexp_count(scan, F.lit(whole(model))) >= 2, "price_purchase": scan.rlike(price), "experience": timed}
-    rated = []
-    for name, words in table:
-        n = count(words)
-        if name == "positive_general":
-            n = F.when(cancelled, 0).otherwise(n)
-        if name == "experience":
-            n = F.when((n == 0) & timed, BONUS).otherwise(n)
-        if name in bonus:
-            n = F.when((n > 0) & bonus[name], n + BONUS).otherwise(n)
-        rated.append(F.struct((-n).alias("score"), F.lit(priority.index(name) if name in priority else len(priority)).alias("place"), F.lit(name).alias("name")))
-    found = F.transform(F.array_sort(F.filter(F.array(*rated), lambda x: x["score"] < 0)), lambda x: x["name"])
     none = F.array().cast("array<string>")
-    emotion = F.lower(own).isin(*EMOTION_WORDS) | own.rlike(f"^{EMOTION}$")
-    found = F.when(F.length(own) < SHORTEST, none).when((F.size(found) == 0) & F.lit(other), F.array(F.lit("other"))).otherwise(found)
-    return F.when(F.coalesce(own, F.lit("")) == "", none).when(emotion, F.array(F.lit("emotion_only"))).otherwise(found)
+
+    def found(scan: Column) -> Column:
+        there = lambda k: scan.rlike(whole(re.escape(k))) if _is_word(k) else scan.contains(k)
+        count = lambda ks: sum((F.when(there(k), 1).otherwise(0) for k in ks[1:]), F.when(there(ks[0]), 1).otherwise(0))
+        cancelled = F.exists(F.array(*map(F.lit, cancels)), lambda c: F.contains(scan, c))
+        timed = scan.rlike(period)
+        bonus = {"comparison": F.regexp_count(scan, F.lit(whole(model))) >= 2, "price_purchase": scan.rlike(price), "experience": timed}
+        rated = []
+        for name, words in table:
+            n = count(words)
+            if name == "positive_general":
+                n = once(n, lambda n: F.when((n > 0) & cancelled, 0).otherwise(n))
+            if name == "experience":
+                n = once(n, lambda n: F.when((n == 0) & timed, BONUS).otherwise(n))
+            if name in bonus:
+                extra = bonus[name]
+                n = once(n, lambda n: F.when((n > 0) & extra, n + BONUS).otherwise(n))  # noqa: B023
+            rated.append(F.struct((-n).alias("score"), F.lit(priority.index(name) if name in priority else len(priority)).alias("place"), F.lit(name).alias("name")))
+        names = F.transform(F.array_sort(F.filter(F.array(*rated), lambda x: x["score"] < 0)), lambda x: x["name"])
+        return once(names, lambda x: F.when(F.size(x) == 0, F.array(F.lit("other"))).otherwise(x)) if other else names
+
+    def of(own: Column) -> Column:
+        scan = F.lower(F.when(F.length(own) > LONG, F.substring(own, 1, HEAD)).otherwise(own))
+        emotion = F.lower(own).isin(*EMOTION_WORDS) | own.rlike(f"^{EMOTION}$")
+        return F.when(F.coalesce(own, F.lit("")) == "", none).when(emotion, F.array(F.lit("emotion_only"))).when(F.length(own) < SHORTEST, none).otherwise(once(scan, found))
+
+    return once(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), of)
 
 
 def _there_sql(k: str) -> str:

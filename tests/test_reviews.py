@@ -118,3 +118,8 @@ def test_phrases_that_share_a_separator_count_as_in_the_sql(spark):
     want = dict(con.execute(sql[sql.index("select d.doc_id") :]).fetchall())
     got = {r["id"]: r["c"] for r in texts(spark, values).select("id", F.array_join(categories(F.col("text")), "|").alias("c")).collect()}
     assert got == want
+
+
+def test_a_text_is_prepared_once_for_all_topics(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("text")).select(reviews.topics(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("substring(") == 1
