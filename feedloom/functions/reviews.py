@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import categories, engagement_score, first_match, lexicon_score, tokens, whole
 from feedloom.plans.registry import query
+from feedloom.plans.storage import cut
 from feedloom.sources.posts import Tables
 
 # The Korean lexicon with its weights.
@@ -222,20 +223,28 @@ def masked(text: Column, *patterns: str) -> Column:
 GRAM = 3
 
 
+#: Filed keys up to which they are sent to every task; of more, texts and keys meet by gram.
+SENT_KEYS = 200_000
+
+
 def longest_keys(texts: DataFrame, keys: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, key, code: of the keys (key, code, place) that a text holds, the longest, of equal ones the one of least place; texts without one have no row.
 
     A key is filed under its GRAM characters that fewest keys share, so a text meets only keys of which it holds a rare part, whether there are ten
-    keys or a million. Texts aren't shuffled while the filed keys are few enough for Spark to broadcast; else both sides meet by
-    gram. id_col names a row."""
+    keys or a million. Texts aren't shuffled while the filed keys are at most SENT_KEYS; else both sides meet by gram. Which side is sent is settled by the counted keys and not by Spark's estimate, which takes the rows of exploded texts for
+    no larger than the texts. id_col names a row."""
     size = F.length("key")
     filed = keys.filter("key <> ''").dropDuplicates(["key", "place"]).withColumn("gram", F.explode(F.when(size < GRAM, F.array("key")).otherwise(F.transform(F.sequence(F.lit(1), size - GRAM + 1), lambda i: F.substring(F.col("key"), i, F.lit(GRAM))))))
     common = filed.groupBy("gram").agg(F.count("*").alias("n"))
     filed = filed.join(common, "gram").groupBy("key", "code", "place").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    filed = cut(filed)
+    filed = filed.hint("broadcast" if filed.count() <= SENT_KEYS else "merge")
     short = [r[0] for r in keys.filter((size > 0) & (size < GRAM)).select(size).distinct().collect()]  # at most GRAM - 1 values
     base, text = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("text")
-    part = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    rows = base.select("id", "text", F.explode(F.array_distinct(F.concat(*[part(n) for n in (GRAM, *short)]))).alias("gram"))
+    # a piece at the end may be shorter; what it finds is held against the text as well
+    rows = base.filter("text <> ''").select("id", "text", F.explode(F.sequence(F.lit(1), F.length(text))).alias("at"))
+    rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, (GRAM, *short))))) if short else rows.withColumn("n", F.lit(GRAM))
+    rows = rows.select("id", "text", F.substring(F.col("text"), F.col("at"), F.col("n")).alias("gram"))
     hits = rows.join(filed, "gram").filter(F.contains("text", "key")).select("id", "key", "code", (-F.length("key")).alias("size"), "place")
     return hits.groupBy("id").agg(F.min(F.struct("size", "place", "key", "code")).alias("x")).select("id", "x.key", "x.code")
 
@@ -250,7 +259,8 @@ def product_codes(texts: DataFrame, keys: DataFrame, id_col: str = "id", text_co
     norm = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"\s+", " "))
     rows = texts.select(F.col(id_col).alias("id"), norm.alias("text"))
     rows = rows.select("id", F.when(~(F.col("text").rlike(noise) & ~F.col("text").rlike(context)), masked(F.col("text"), *masks)).alias("text"))
-    named = rows.withColumn("named", F.nullif(first_match(F.col("text"), codes), F.lit("other")))
+    # written, since filters would be computed down in the texts' own expressions and the rows are read twice
+    named = cut(rows.withColumn("named", F.nullif(first_match(F.col("text"), codes), F.lit("other"))))
     found = longest_keys(named.filter("named is null and text is not null"), keys).select("id", F.col("code").alias("found"))
     return named.join(found, "id", "left").select("id", F.coalesce("named", "found").alias("code"))
 

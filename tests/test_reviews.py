@@ -123,3 +123,19 @@ def test_phrases_that_share_a_separator_count_as_in_the_sql(spark):
 def test_a_text_is_prepared_once_for_all_topics(spark):
     plan = spark.range(1).select(F.col("id").cast("string").alias("text")).select(reviews.topics(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1 and plan.count("substring(") == 1
+
+
+def test_keys_are_sent_to_the_texts_and_never_texts_to_the_keys(spark, tmp_path):
+    spark.range(300).selectExpr("id", "concat('a text on key ', id) as text").write.parquet(f"{tmp_path}/texts")
+    spark.range(3000).selectExpr("concat('key ', id) as key", "concat('K', id) as code", "id as place").write.parquet(f"{tmp_path}/keys")
+    got = reviews.longest_keys(spark.read.parquet(f"{tmp_path}/texts"), spark.read.parquet(f"{tmp_path}/keys"))
+    assert {r["id"]: r["code"] for r in got.collect()} == {i: f"K{i}" for i in range(300)}
+    assert "BuildLeft" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_keys_than_are_sent_meet_the_texts_by_gram(spark, monkeypatch):
+    monkeypatch.setattr(reviews, "SENT_KEYS", 1)
+    keys = spark.createDataFrame([("s9", "S9", 0), ("s9 pro", "S9P", 1)], "key string, code string, place long")
+    got = reviews.longest_keys(texts(spark, ["my s9 pro", "s9", None]), keys)
+    assert {r["id"]: r["code"] for r in got.collect()} == {0: "S9P", 1: "S9"}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
