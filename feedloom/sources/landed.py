@@ -2,7 +2,7 @@
 
 `landed_pages` reads a folder of page-<number>.json files, each a list of records, as a table or as a stream:
 
-* batch: a partition is a page; option `first` and `last` bound them. Pages count from 1 without gaps, so a missing one is an error and
+* batch: a partition is as many pages in a row as come to TASK_BYTES, of few pages one; option `first` and `last` bound them. Pages count from 1 without gaps, so a missing one is an error and
   not a hole in the data; a page that isn't a list of records is one too.
 * stream: the offset is the number of the last page that was read, which Spark keeps in the checkpoint: after a restart no page is read
   twice and none is left out. A page that lands later is read once all before it are there.
@@ -36,30 +36,54 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-class Page(InputPartition):
-    def __init__(self, path: str, number: int):
-        self.path, self.number = path, number
+#: Bytes of pages that one task reads at most (a larger page is a task of its own), and tasks over which fewer bytes are spread.
+TASK_BYTES, TASKS = 8_000_000, 64
 
 
-def _numbers(path: str) -> dict[int, str]:
+class Pages(InputPartition):
+    def __init__(self, pages: list[tuple[int, str]]):
+        self.pages = pages
+
+
+def _numbers(path: str) -> dict[int, tuple[str, int]]:
+    """Path and size of each page."""
     from pyarrow import fs
 
     store, folder = _store(path)
     found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    return {int(m[1]): f.path for f in found if (m := _PAGE.search(f.path))}
-
-
-def _rows(path: str, number: int, file: str, schema: StructType):
-    from pyspark.sql import Row
+    return {int(m[1]): (f.path, f.size) for f in found if (m := _PAGE.search(f.path))}
+
+
+def _tasks(path: str, found: dict[int, tuple[str, int]], first: int, last: int) -> list[InputPartition]:
+    """The pages from first to last, in order, dealt out to tasks."""
+    missing = [n for n in range(first, last + 1) if n not in found]
+    if missing:
+        raise FileNotFoundError(f"pages {missing[:5]} of {path} are missing")
+    out: list[InputPartition] = []
+    pages: list[tuple[int, str]] = []
+    held, most = 0, min(TASK_BYTES, sum(found[n][1] for n in range(first, last + 1)) // TASKS)
+    for n in range(first, last + 1):
+        file, size = found[n]
+        if pages and held + size > most:
+            out.append(Pages(pages))
+            pages, held = [], 0
+        pages.append((n, file))
+        held += size
+    return [*out, Pages(pages)] if pages else out
+
+
+def _rows(path: str, pages: list[tuple[int, str]], schema: StructType):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     store, _ = _store(path)
-    with store.open_input_file(file) as f:
-        records = json.loads(f.read())
-    if not isinstance(records, list) or not all(isinstance(r, dict) for r in records):
-        raise ValueError(f"page {number} of {path} isn't a list of records")
-    names = schema.fieldNames()
-    for r in records:
-        yield Row(*names)(*[number if n == "page" else _value(r.get(n)) for n in names])
+    names, kind = schema.fieldNames(), to_arrow_schema(schema)
+    for number, file in pages:
+        with store.open_input_file(file) as f:
+            records = json.loads(f.read())
+        if not isinstance(records, list) or not all(isinstance(r, dict) for r in records):
+            raise ValueError(f"page {number} of {path} isn't a list of records")
+        yield pa.RecordBatch.from_arrays([pa.array([number if n == "page" else _value(r.get(n)) for r in records], t) for n, t in zip(names, kind.types, strict=True)], schema=kind)
 
 
 def _value(x):
@@ -73,14 +97,10 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         found = _numbers(self.path)
-        last = max(found, default=0) if self.last is None else int(self.last)
-        missing = [n for n in range(self.first, last + 1) if n not in found]
-        if missing:
-            raise FileNotFoundError(f"pages {missing[:5]} of {self.path} are missing")
-        return [Page(found[n], n) for n in range(self.first, last + 1)]
+        return _tasks(self.path, found, self.first, max(found, default=0) if self.last is None else int(self.last))
 
     def read(self, partition):
-        return _rows(self.path, partition.number, partition.path, self.schema)
+        return _rows(self.path, partition.pages, self.schema)
 
 
 class _Stream(DataSourceStreamReader):
@@ -97,14 +117,10 @@ class _Stream(DataSourceStreamReader):
         return {"page": n}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        found = _numbers(self.path)
-        missing = [n for n in range(start["page"] + 1, end["page"] + 1) if n not in found]
-        if missing:
-            raise FileNotFoundError(f"pages {missing[:5]} of {self.path} are missing")
-        return [Page(found[n], n) for n in range(start["page"] + 1, end["page"] + 1)]
+        return _tasks(self.path, _numbers(self.path), start["page"] + 1, end["page"])
 
     def read(self, partition):
-        return _rows(self.path, partition.number, partition.path, self.schema)
+        return _rows(self.path, partition.pages, self.schema)
 
 
 class LandedPages(DataSource):

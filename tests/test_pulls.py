@@ -42,6 +42,14 @@ def test_pages_as_a_table(spark, pages):
     assert spark.read.format("landed_pages").schema(landed.PAGE_SCHEMA).load(str(pages)).count() == 12
 
 
+def test_many_pages_share_tasks(spark, pages):
+    for n in range(4, 601):
+        put(pages, n, [record(10 * n + i) for i in range(4)])
+    got = spark.read.format("landed_pages").schema(landed.PAGE_SCHEMA).load(str(pages))
+    assert got.rdd.getNumPartitions() < 130
+    assert sorted((r["page"], r["id"]) for r in got.collect()) == [(n, 10 * n + i) for n in range(1, 601) for i in range(4)]
+
+
 def test_a_missing_or_broken_page_is_an_error(spark, pages):
     put(pages, 5, [record(50)])
     read = lambda: spark.read.format("landed_pages").schema(landed.PAGE_SCHEMA).load(str(pages)).count()
