@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import byte_bpe, quality_model, set_join, source_mix, surrogates
-from feedloom.llm.common import cut, documents, table
+from feedloom.llm.common import cut, documents, small_batches, table
 
 #: Words of a shingle and similarity of near copies in the pipeline; op5's contract has values of its own.
 NEAR = {"num": 80, "den": 100, "shingle": 5}
@@ -49,7 +49,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and digests of the ids and of the decoded bytes of every row. A null text counts as empty
     and has no tokens; repeated rows are encoded alike; long texts whole."""
-    return byte_bpe.digests(docs, *byte_bpe.multi_50k(), keep=("source",), hold=False)
+    # executors that the stages before have filled have little left for batches of texts and for workers
+    with small_batches(spark, byte_bpe.LEAN_ROWS):
+        return cut(byte_bpe.digests(docs, *byte_bpe.multi_50k(), keep=("source",), hold=False), "tokens")
 
 
 STAGES = [

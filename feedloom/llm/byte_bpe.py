@@ -22,17 +22,18 @@ asked for.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunks
-from .common import documents
+from .common import documents, give_back
 
 #: Bytes of words that one recursive query works on, to bound its memory.
 BYTES = 100_000
+#: Characters handled at a time, cached chunks and rows of an Arrow batch where memory is to be left to others: a worker takes about half as much.
+LEAN_SLICE, LEAN_CACHE, LEAN_ROWS = 250_000, 100_000, 1_000
 #: Token 0 as a character: the planes from there on hold no surrogates.
 ZERO = 0x20000
 
@@ -90,11 +91,17 @@ class Bpe:
         #: The tokens themselves, as stored ids.
         self.stored = {b: np.array([r], self.encoder.dtype).tobytes() for b, r in ranks.items()}
         self.decoded: dict[bytes, bytes] = {}
+        self.keep = chunks.CACHE
 
     def clear(self) -> None:
         self.encoder.clear()
         self.decoded = {}
 
+    def lean(self) -> None:
+        """Small caches from now on; what building the tables took goes back to the system."""
+        self.encoder.size = self.keep = LEAN_CACHE
+        give_back()
+
     def words(self, pieces: list[bytes]) -> list[list[bytes]]:
         """Pieces, cut where no merge can cross."""
         import numpy as np
@@ -168,7 +175,7 @@ class Bpe:
             toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(missing), self.encoder.dtype).astype("i4")))
             self.con.register("ids", pa.table({"w": np.arange(len(missing), dtype="i4"), "toks": toks}))
             fresh |= dict(zip(missing, map(bytes.fromhex, self.con.sql(DECODE).to_arrow_table()["h"].to_pylist()), strict=True))
-        if len(self.decoded) < chunks.CACHE:
+        if len(self.decoded) < self.keep:
             self.decoded |= fresh
             return self.decoded
         return {r: self.decoded.get(r) or fresh[r] for r in set(runs)}
@@ -195,7 +202,7 @@ def forget(bpe: Bpe) -> None:
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hold: bool = True) -> DataFrame:
     """id_col, the columns of keep, n_tokens, ids (binary, little-endian unsigned 32-bit) and
     decoded (binary) of every text. hold: whether a worker holds its bounded cache for its next task, which saves time; without
-    it the memory is free for other stages."""
+    it the cache and the slices are small, and the memory is free for other stages."""
     return _run(docs, rank_file, pattern, id_col, text_col, keep, digests=False, hold=hold)
 
 
@@ -217,10 +224,13 @@ def _run(docs: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: s
         import pyarrow as pa
 
         bpe = opened(shared.value, pattern)
+        size = chunks.SLICE if hold else LEAN_SLICE
+        if not hold:
+            bpe.lean()
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             at = 0
-            for texts in chunks.slices(batch.column(len(kept))):
+            for texts in chunks.slices(batch.column(len(kept)), size):
                 n, ids, decoded = [], [], []
                 parts = bpe.encoder.encode(texts)
                 table = bpe.decode([r for p in parts for r in p])
@@ -237,7 +247,7 @@ def _run(docs: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: s
         if not hold:
             forget(bpe)
             del bpe
-            gc.collect()  # its parts refer to each other
+            give_back()  # its parts refer to each other
 
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     kind = T.StringType() if digests else T.BinaryType()

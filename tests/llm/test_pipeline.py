@@ -75,3 +75,39 @@ def test_stages_on_awkward_tables(spark, sf, pipeline, stage):
     assert out.count() > 0
     assert stage == 4 or out.columns == docs.columns
     assert f(spark, docs.filter("doc_id < 0"), sf).count() == 0
+
+
+def test_bpe_leaves_memory_to_the_stages_before(spark, pipeline, monkeypatch):
+    """A worker that isn't to hold memory caches little and takes small batches, and the ids are the same."""
+    import pyarrow as pa
+    import tiktoken
+
+    from feedloom.llm import byte_bpe
+    from feedloom.llm.common import small_batches
+
+    monkeypatch.setattr(byte_bpe, "LEAN_CACHE", 100)
+    path, pattern = byte_bpe.multi_50k()
+    data = open(path, "rb").read()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(data), special_tokens={})
+    bpe = byte_bpe.Bpe(data, pattern)
+    bpe.lean()
+    for low in range(0, 1000, 50):
+        texts = [" ".join(f"wörd{i} x{i * i}" for i in range(low, low + 50))]
+        (parts,) = bpe.encoder.encode(texts)
+        table = bpe.decode(parts)
+        assert np.frombuffer(b"".join(parts), bpe.encoder.dtype).tolist() == library.encode_ordinary(texts[0])
+        assert b"".join(table[r] for r in parts).decode() == texts[0]
+    assert len(bpe.encoder.later) <= 200 and len(bpe.decoded) <= 200
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with small_batches(spark, 700):
+        assert max(r["n"] for r in spark.range(0, 5000, numPartitions=1).mapInArrow(sizes, "n long").collect()) == 700
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    seen = []
+    monkeypatch.setattr(pipeline, "cut", lambda df, kind: seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or df)
+    pipeline.tokens(spark, spark.createDataFrame(rows(), SCHEMA), "")
+    assert seen == [str(byte_bpe.LEAN_ROWS)]
