@@ -88,22 +88,25 @@ class Library:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_chunks(self, texts: list[str]) -> list[list[int]]:
+    def encode_chunks(self, texts: list[str]) -> list[bytes | list[int]]:
         """Many short chunks are encoded as the lines of one text: a newline before a
-        chunk is a piece of its own, so the ids between newlines are the chunk's."""
+        chunk is a piece of its own, so the ids between newlines are the chunk's, cut out as they are stored."""
         import numpy as np
 
         out: list = [None] * len(texts)
-        lines = [i for i, t in enumerate(texts) if t[:1] == " " and len(t) < 100 and t[1:].split() == [t[1:]] and not any(x in t for x in self.special)]
+        joined = "\n".join(texts)
+        special = [x for x in self.special if x in joined]
+        lines = [i for i, t in enumerate(texts) if t[:1] == " " and len(t) < 100 and t.split() == [t[1:]] and not (special and any(x in t for x in special))]
         if len(self.newline) == 1:
             for at in range(0, len(lines), 2000):
                 part = lines[at : at + 2000]
-                ids = np.array(self.encode(["\n".join(texts[i] for i in part)])[0])
-                runs = np.split(ids, np.flatnonzero(ids == self.newline[0]))
-                if len(runs) == len(part):
-                    runs = [runs[0], *[r[1:] for r in runs[1:]]]
-                    for i, r in zip(part, runs, strict=True):
-                        out[i] = r
+                ids = np.array(self.encode(["\n".join([texts[i] for i in part])])[0], f"<u{self.width}")
+                cuts = (np.flatnonzero(ids == self.newline[0]) * self.width).tolist()
+                if len(cuts) == len(part) - 1:
+                    raw, low = ids.tobytes(), 0
+                    for i, high in zip(part, [*cuts, len(raw)], strict=True):
+                        out[i] = raw[low:high]
+                        low = high + self.width
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self.encode([texts[i] for i in rest]), strict=True):
             out[i] = ids

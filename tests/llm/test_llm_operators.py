@@ -342,6 +342,17 @@ def test_token_files_round_trip(spark, docs, none, tmp_path):
     assert token_files.read(spark, f"file://{tmp_path}/none", token_files.write(none, token_files.byte_50k(), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_chunk_ids_are_cut_out_as_they_are_stored():
+    """Chunks that are encoded as lines come as stored bytes, the others as ids; both are the library's."""
+    library = token_files.Library.opened(token_files.byte_50k())
+    lines = [f" w{i}é" for i in range(4500)] + [" ", " x", " 漢字"]
+    chunks = [*lines, " a\nb", "no space", " two words", " \u00a0", " " + "y" * 200, "", *(" a" + x + "b" for x in library.special)]
+    got = library.encode_chunks(chunks)
+    want = [library.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+    assert [np.frombuffer(g, f"<u{library.width}").tolist() if isinstance(g, bytes) else list(g) for g in got] == want
+    assert all(isinstance(g, bytes) for c, g in zip(lines, got, strict=False) if c != " ")
+
+
 def test_damaged_records_are_found():
     record = bytearray(token_files.frame(b"abcdef"))
     assert token_files.unframe(bytes(record)) == b"abcdef"
