@@ -71,13 +71,18 @@ class Library:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         # their strings in a text are encoded as the library does, each by itself
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.newline = self.encode(["\n"])[0]
-        self.encoder = chunks.Encoder(self.encode_chunks, f"<u{self.width}")
+        #: The model takes a piece by itself if the pre-split is the usual one and leaves its bytes alone.
+        split = self.tokenizer.pre_tokenizer
+        plain = self.tokenizer.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
+        self.model = self.tokenizer.model if plain else None
+        self.encoder = chunks.Encoder(self.encode_chunks, f"<u{self.width}", apart=self.special)
 
     @classmethod
     def opened(cls, path: str) -> Library:
@@ -89,14 +94,20 @@ class Library:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_chunks(self, texts: list[str]) -> list[bytes | list[int]]:
-        """Many short chunks are encoded as the lines of one text: a newline before a
+        """A chunk of a space and letters is one piece, which the library's model encodes by itself. Other short chunks are encoded as the lines of one text: a newline before a
         chunk is a piece of its own, so the ids between newlines are the chunk's, cut out as they are stored."""
         import numpy as np
 
         out: list = [None] * len(texts)
         joined = "\n".join(texts)
         special = [x for x in self.special if x in joined]
-        lines = [i for i, t in enumerate(texts) if t[:1] == " " and len(t) < 100 and t.split() == [t[1:]] and not (special and any(x in t for x in special))]
+        if self.model is not None:
+            tokenize = self.model.tokenize
+            # the byte-level alphabet writes ASCII letters as they are and a space as U+0120
+            for i, t in enumerate(texts):
+                if t[:1] == " " and t.isascii() and t[1:].isalpha() and not (special and any(x in t for x in special)):
+                    out[i] = np.array([x.id for x in tokenize("\u0120" + t[1:])], f"<u{self.width}").tobytes()
+        lines = [i for i, t in enumerate(texts) if out[i] is None and t[:1] == " " and len(t) < 100 and t.split() == [t[1:]] and not (special and any(x in t for x in special))]
         if len(self.newline) == 1:
             for at in range(0, len(lines), 2000):
                 part = lines[at : at + 2000]
@@ -130,8 +141,9 @@ def _write_shard(batches: Iterator, tokenizer_file: str, path: str, end_id: int)
         for batch in batches:
             doc_ids, k = batch.column(0), 0
             for texts in chunks.slices(batch.column(1)):
-                for parts in library.encoder.encode(texts):
-                    payload = b"".join([*parts, end])
+                stored, bounds = chunks.gathered(*library.encoder.coded(texts))
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    payload = b"".join((stored[a:b], end))
                     out.write(record := frame(payload))
                     d = doc_ids[k].as_py()
                     index.append(INDEX.pack(NO_ID if d is None else d, at, len(payload) // library.width))
