@@ -4,7 +4,7 @@ The rank file becomes a merge table (pair of tokens, rank of the merged one). In
 distinct pieces not seen before become words of tokens, a character each. A recursive
 query turns every word into token-position rows, joins neighbouring rows with the merge table and contracts, in each
 word, the leftmost pair of minimum rank, until no pair is left. Decoding joins ids with the vocabulary and aggregates
-the bytes in position order. A task keeps the ids of chunks it has met, so a document
+the bytes in position order, GROUP tokens at a time. A task keeps the ids of chunks it has met, so a document
 costs one lookup a chunk; the cache is bounded and dropped, with the merge table, at the end of the task if asked for. The rank file
 (bounded by the vocabulary) is read on the driver and broadcast.
 
@@ -34,9 +34,17 @@ from .common import documents, give_back
 BYTES = 100_000
 #: Characters handled at a time, cached chunks and rows of an Arrow batch where memory is to be left to others: a worker takes about half as much.
 LEAN_SLICE, LEAN_CACHE, LEAN_ROWS = 250_000, 100_000, 1_000
+#: Tokens whose bytes one group of the decoding query puts in order.
+GROUP = 1024
 #: Token 0 as a character: the planes from there on hold no surrogates.
 ZERO = 0x20000
 
+#: Tokens of a word and its neighbouring pairs: taken out one by one, which suits short words, or from a list, whose time grows with the word alone.
+PAIRS = "select w, s, p, substring(s, p, 2) as pair from (select w, s, unnest(range(1, length(s))) as p from st where length(s) > 1)"
+PAIRS_OF_LONG = """select w, s, unnest(range(1, len(c))) as p, unnest(c[:-2]) || unnest(c[2:]) as pair
+          from (select w, s, string_split(s, '') as c from st where length(s) > 1)"""
+#: Bytes from which a word is long.
+LONG = 48
 ENCODE = f"""
 with recursive st(w, s) using key (w) as (
   select w, s from seed
@@ -45,16 +53,15 @@ with recursive st(w, s) using key (w) as (
     else replace(s, s[(k >> 1 & 2147483647):(k >> 1 & 2147483647) + 1], chr((k >> 32)::integer + {ZERO})) end
   from (
     select w, any_value(s) as s, min((m.merged::bigint << 32) | (p << 1) | m.alone) as k
-    from (select w, s, unnest(range(1, len(c))) as p, unnest(c[:-2]) || unnest(c[2:]) as pair
-          from (select w, s, string_split(s, '') as c from st where length(s) > 1)) x
+    from ({{pairs}}) x
     join merges m using (pair)
     group by w))
 select s from st order by w
 """
 DECODE = """
-select x.w, string_agg(hex(v.b), '' order by x.p) as h
-from (select w, unnest(toks) as t, unnest(range(len(toks))) as p from ids) x join vocab v on v.id = x.t
-group by x.w order by x.w
+select x.part, string_agg(v.bytes, '' order by x.place) as bytes
+from toks x join vocab v on v.id = x.id
+group by x.part order by x.part
 """
 
 
@@ -81,7 +88,7 @@ class Bpe:
         low = {x for a, b, r in pairs for x in (a, b) if x > r}  # tokens that are part of one of lower rank
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
         self.con.register("m", pa.table({"pair": [chr(a + ZERO) + chr(b + ZERO) for a, b, _ in pairs], "merged": pa.array([r for *_, r in pairs], pa.int32()), "alone": pa.array([int(r in low) for *_, r in pairs], pa.int64())}))
-        self.con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "b": pa.array(list(ranks), pa.binary())}))
+        self.con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [b.decode("latin-1") for b in ranks]}))
         self.con.execute("create table merges as select * from m; create table vocab as select * from v")
         flat = np.frombuffer(b"".join(ranks), np.uint8).astype(np.int64)
         last = np.cumsum([len(b) for b in ranks])[:-1] - 1
@@ -90,6 +97,8 @@ class Bpe:
         self.encoder = chunks.Encoder(self.encode_chunks, "<u4" if max(ranks.values()) > 65535 else "<u2")
         #: The tokens themselves, as stored ids.
         self.stored = {b: np.array([r], self.encoder.dtype).tobytes() for b, r in ranks.items()}
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(b) for b in ranks]
         self.decoded: dict[bytes, bytes] = {}
         self.keep = chunks.CACHE
 
@@ -134,7 +143,7 @@ class Bpe:
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             seed = [w.decode("latin-1").translate(self.byte) for w in words[low:high]]
             self.con.register("seed", pa.table({"w": np.arange(len(seed), dtype="i4"), "s": seed}))
-            done = self.con.sql(ENCODE).to_arrow_table()["s"].to_pylist()
+            done = self.con.sql(ENCODE.format(pairs=PAIRS if max(map(len, seed)) < LONG else PAIRS_OF_LONG)).to_arrow_table()["s"].to_pylist()
             ids = (np.frombuffer("".join(done).encode("utf-32-le"), "<u4") - np.uint32(ZERO)).astype(self.encoder.dtype).tobytes()
             at = (np.concatenate([[0], np.cumsum([len(s) for s in done])]) * np.dtype(self.encoder.dtype).itemsize).tolist()
             out += [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -151,15 +160,26 @@ class Bpe:
                 names.append(p)
                 raw.append(b)
         split = self.words(raw)
-        todo = list({w for ws in split for w in ws if w not in known})
+        todo = sorted({w for ws in split for w in ws if w not in known}, key=len)  # those of a query take about as many rounds
         ids = dict(zip(todo, self.contract(todo), strict=True))
         for p, ws in zip(names, split, strict=True):
             out[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids.get(w) or known[w] for w in ws])
         return out
 
-    def encode_chunks(self, texts: list[str]) -> list[bytes]:
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text. Short chunks are split as the lines of one text: a newline before a space is a piece of its own."""
         find = self.pattern.findall
-        split = [find(t) for t in texts]
+        out: list = [None] * len(texts)
+        lines = [i for i, t in enumerate(texts) if t[:1] == " " and t.split() == [t[1:]]]
+        pieces = find("\n".join([texts[i] for i in lines]))
+        cuts = [k for k, p in enumerate(pieces) if p == "\n"]
+        if len(cuts) == len(lines) - 1:
+            for i, low, high in zip(lines, [0, *(k + 1 for k in cuts)], [*cuts, len(pieces)], strict=True):
+                out[i] = pieces[low:high]
+        return [find(t) if s is None else s for s, t in zip(out, texts, strict=True)]
+
+    def encode_chunks(self, texts: list[str]) -> list[bytes]:
+        split = self.split(texts)
         ids = self.encode_pieces(list({p for s in split for p in s}))
         return [ids[s[0]] if len(s) == 1 else b"".join([ids[p] for p in s]) for s in split]
 
@@ -171,10 +191,13 @@ class Bpe:
         missing = list({r for r in runs if r not in self.decoded and r})
         fresh = {b"": b""}
         if missing:
-            offsets = (np.cumsum([0, *[len(r) for r in missing]]) // np.dtype(self.encoder.dtype).itemsize).astype("i4")
-            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(missing), self.encoder.dtype).astype("i4")))
-            self.con.register("ids", pa.table({"w": np.arange(len(missing), dtype="i4"), "toks": toks}))
-            fresh |= dict(zip(missing, map(bytes.fromhex, self.con.sql(DECODE).to_arrow_table()["h"].to_pylist()), strict=True))
+            ids = np.frombuffer(b"".join(missing), self.encoder.dtype).astype("i4")
+            place = np.arange(len(ids), dtype="i4")
+            self.con.register("toks", pa.table({"part": place // GROUP, "place": place, "id": ids}))
+            whole = "".join(self.con.sql(DECODE).to_arrow_table()["bytes"].to_pylist()).encode("latin-1")
+            ends = np.cumsum([len(r) for r in missing]) // np.dtype(self.encoder.dtype).itemsize
+            at = [0, *np.cumsum(self.lengths[ids])[ends - 1].tolist()]
+            fresh |= {r: whole[a:b] for r, a, b in zip(missing, at[:-1], at[1:], strict=True)}
         if len(self.decoded) < self.keep:
             self.decoded |= fresh
             return self.decoded
@@ -231,15 +254,18 @@ def _run(docs: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: s
         for batch in batches:
             at = 0
             for texts in chunks.slices(batch.column(len(kept)), size):
+                values, codes, bounds = bpe.encoder.coded(texts)
+                table = bpe.decode(values)
                 n, ids, decoded = [], [], []
-                parts = bpe.encoder.encode(texts)
-                table = bpe.decode([r for p in parts for r in p])
-                for p in parts:
-                    x = np.frombuffer(b"".join(p), bpe.encoder.dtype).astype("<u4").tobytes()
-                    y = b"".join([table[r] for r in p])
-                    n.append(len(x) // 4)
-                    ids.append(sha(x) if digests else x)
-                    decoded.append(sha(y) if digests else y)
+                x, xs = chunks.gathered(values, codes, bounds)
+                width = np.dtype(bpe.encoder.dtype).itemsize
+                x, xs = memoryview(np.frombuffer(x, bpe.encoder.dtype).astype("<u4").view(np.uint8)), (xs // width * 4).tolist()
+                y, ys = chunks.gathered([table[r] for r in values], codes, bounds)
+                for k, (a, b) in enumerate(zip(ys[:-1].tolist(), ys[1:].tolist(), strict=True)):
+                    i, d = x[xs[k] : xs[k + 1]], y[a:b]
+                    n.append(len(i) // 4)
+                    ids.append(sha(i) if digests else bytes(i))
+                    decoded.append(sha(d) if digests else bytes(d))
                 cols = [batch.column(i).slice(at, len(texts)) for i in range(len(kept))]
                 kind = pa.string() if digests else pa.binary()
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, kind)], [*kept, "n_tokens", *names])

@@ -62,7 +62,8 @@ def test_merges_of_awkward_texts_and_their_bytes():
         assert np.frombuffer(data[at[i] : at[i + 1]], bpe.encoder.dtype).tolist() == library.encode_ordinary(t)
         assert bytes(whole[ends[i] : ends[i + 1]]) == t.encode()
     singles = list(bpe.stored.values())
-    assert [bpe.decode(singles)[r] for r in singles] == list(bpe.stored)
+    table = bpe.decode(singles)
+    assert [table[r] for r in singles] == list(bpe.stored)
 
 
 def test_slices_hold_every_text_once():
