@@ -1,7 +1,7 @@
 """Suffix-array dedup: removes the bytes of every long string that an earlier document holds too.
 
-Suffixes are the starts of windows of LENGTH bytes. They are dealt out, sorted and compared by
-prefix polynomial hashes:
+Suffixes are the starts of windows of LENGTH bytes. They are dealt out by prefix polynomial hashes and sorted
+by their bytes:
 
 1. Among the short substrings (GRAM bytes) of a window the one of least hash is its anchor, so equal
    windows have equal anchors at equal places. The windows of one anchor are a run; the text
@@ -11,9 +11,8 @@ prefix polynomial hashes:
    equal when a cryptographic digest of their bytes is, beside the anchor's hash (64 and 40 bits).
    Where contexts differ around the same anchor, as at the ends of a repeated passage,
    the runs of the earliest document of each context are kept for comparison.
-3. The windows of those are suffix-sorted within their anchor: a mergesort whose comparisons
-   find the common extension of two suffixes by binary search on prefix hashes, then look at one
-   byte. Neighbours with a common extension of LENGTH are equal, which their bytes confirm.
+3. The windows of those are suffix-sorted within their anchor: by WORD bytes at a time from the front, and a suffix that
+   differs from all others has its place. Those that the last bytes leave together are equal.
    An anchor with more contexts than MOST_CONTEXTS (a passage that a third of all documents
    frame differently) isn't gathered: its windows are dealt out by their digests and the
    earliest document is found by a grouped minimum.
@@ -24,7 +23,7 @@ that a piece cuts is one of another context, which step 3 resolves), hash ranges
 RANGE bytes of text, and a task reads its ranges one after the other in sorted order.
 
 The texts are written once as shards to the shared folder; the later passes read them there, so
-texts are never shuffled.
+texts are never shuffled. The runs of a shard are found once and kept beside it, in about two bytes a run.
 
 Defined cases: a null text is empty; a text under LENGTH bytes loses nothing; repetition within
 a document, or in rows of the same doc_id, isn't removed; a null doc_id counts as the smallest;
@@ -36,6 +35,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +51,8 @@ MOST_CONTEXTS = 50_000
 #: Bytes of text that are hashed together, and whose runs a hash range holds.
 SLICE = 400_000
 RANGE = 8_000_000
+#: Bytes of suffixes that are sorted together, beside 24 bits for the group that they stand in.
+WORD = 5
 #: Bits of a position within a piece, in the low end of an anchor's rank.
 PLACE = np.uint64((1 << 20) - 1)
 NO_ID = -(1 << 63)
@@ -68,55 +70,39 @@ class Hashed:
     def of(self, start, size):
         return (self.prefix[start + size] - self.prefix[start]) * self.down[start]
 
-    def common(self, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
-        """The common extension of the suffixes at x and y, up to limit, by binary search."""
-        t = np.zeros(len(x), np.int64)
-        step = 1 << (limit.bit_length() - 1)
-        while step:
-            longer = np.minimum(t + step, limit)
-            t = np.where(self.of(x, longer) == self.of(y, longer), longer, t)
-            step >>= 1
-        return t
-
-    def before(self, x: np.ndarray, y: np.ndarray, limit: int, or_equal: np.ndarray) -> np.ndarray:
-        t = self.common(x, y, limit)
-        same = t >= limit
-        t = np.minimum(t, limit - 1)
-        return np.where(same, or_equal, self.data[x + t] < self.data[y + t])
+    def all(self, size: int) -> np.ndarray:
+        """Of each place that has so many bytes."""
+        return (self.prefix[size:] - self.prefix[:-size]) * self.down[: len(self.prefix) - size]
 
 
 def suffix_sort(text: Hashed, starts: np.ndarray, segment: np.ndarray, limit: int = LENGTH) -> np.ndarray:
-    """The order of suffixes by segment (which must not fall), then by their first limit bytes: a
-    mergesort of all segments at a time. Merging puts an element behind those of its own run
-    before it and those of the sibling run that a binary search finds to be smaller."""
+    """The order of suffixes by segment (which must not fall), then by their first limit bytes."""
+    return _sorted(text.data, starts, segment, limit)[0]
+
+
+def _sorted(data: np.ndarray, starts: np.ndarray, segment: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes, and the places in it whose suffix has the segment and the bytes of the one before. All
+    segments are sorted at a time, by WORD bytes from the front; what stands alone then isn't sorted further."""
     n = len(starts)
-    order = np.arange(n)
-    first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if n else np.zeros(0, int)
-    size = np.diff(np.concatenate([first, [n]]))
-    base, length = np.repeat(first, size), np.repeat(size, size)
-    place = np.arange(n) - base
-    width = 1
-    while n and width < size.max():
-        run = place // width
-        right = run % 2 == 1
-        low = np.where(right, run - 1, run + 1) * width  # the sibling run, within the segment
-        high = np.minimum(low + width, length)
-        low = np.minimum(low, length)
-        lo, hi = low.copy(), np.maximum(high, low)
-        active = np.flatnonzero(lo < hi)
-        while len(active):
-            mid = (lo[active] + hi[active]) // 2
-            # how many of the sibling come first: of equal ones, those of the left run
-            smaller = text.before(starts[order[base[active] + mid]], starts[order[active]], limit, right[active])
-            lo[active] = np.where(smaller, mid + 1, lo[active])
-            hi[active] = np.where(smaller, hi[active], mid)
-            active = active[lo[active] < hi[active]]
-        to = base + np.where(right, run - 1, run) * width + (place - run * width) + (lo - low)
-        moved = np.empty(n, order.dtype)
-        moved[to] = order
-        order = moved
-        width *= 2
-    return order
+    order, same = np.arange(n), np.zeros(n, bool)
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))  # the eight bytes at each place
+    first = np.concatenate([[True], segment[1:] != segment[:-1]])[:n]
+    at, group, depth = order, first, 0
+    while True:
+        alone = first & np.concatenate([first[1:], [True]])[: len(first)]
+        at, group = at[~alone], np.cumsum(first[~alone]).astype(np.uint64)
+        if not len(at) or depth >= limit:
+            break
+        take = min(WORD if len(at) < 1 << 24 else 4, limit - depth)
+        key = (group << np.uint64(8 * take)) | (words[starts[order[at]] + depth].byteswap() >> np.uint64(64 - 8 * take))
+        moved = np.argsort(key, kind="stable")
+        order[at], key = order[at[moved]], key[moved]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        depth += take
+    if len(at):
+        same[at[1:]] = group[1:] == group[:-1]
+    return order, same
 
 
 def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +126,7 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 def _piece(data: np.ndarray, windows: np.ndarray):
     text = Hashed(data)
     at = np.arange(len(data) - GRAM + 1)
-    gram = _mix(text.of(at, GRAM))
+    gram = _mix(text.all(GRAM))
     low, have, span = (gram & ~PLACE) | at.astype(np.uint64), 1, LENGTH - GRAM + 1
     places = len(low)
     while have * 2 <= span:
@@ -152,19 +138,25 @@ def _piece(data: np.ndarray, windows: np.ndarray):
     cuts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)]))
     first, last = windows[cuts], windows[np.concatenate([cuts[1:], [len(windows)]]) - 1]
     anchor, raw = anchor[cuts], data.tobytes()
-    places = (anchor - first).astype(np.uint8).tobytes()  # where the anchor stands in the context is part of it
-    digest = b"".join([hashlib.blake2b(raw[x:y], digest_size=8, salt=places[i : i + 1]).digest() for i, (x, y) in enumerate(zip(first.tolist(), (last + LENGTH).tolist(), strict=True))])
-    return anchor, first, last, gram[anchor], np.frombuffer(digest, np.uint64)
+    digest = np.frombuffer(b"".join([blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]), np.uint64)
+    return anchor, first, last, gram[anchor], digest ^ _mix((anchor - first + 1).astype(np.uint64))  # where the anchor stands in the context is part of it
 
 
 def _equal_runs(gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The class of each run among equal ones, and a run and the least document of each class."""
-    order = np.lexsort((doc, context, gram))
+    """The class of each run among equal ones, and the first run and the least document of each class; classes are
+    numbered by their first runs."""
+    if not len(gram):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), doc
+    order = np.argsort(context, kind="stable")
     g, c = gram[order], context[order]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])[: len(g)]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+    first = order[new]
+    rank = np.argsort(first)
+    number = np.empty(len(rank), np.int64)
+    number[rank] = np.arange(len(rank))
     which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return which, order[new], doc[order[new]]
+    which[order] = number[np.cumsum(new) - 1]
+    return which, first[rank], np.minimum.reduceat(doc[order], np.flatnonzero(new))[rank]
 
 
 def _shard(path: str) -> Iterator[tuple[int, list, list[bytes]]]:
@@ -189,41 +181,88 @@ def _shard(path: str) -> Iterator[tuple[int, list, list[bytes]]]:
 
 
 def _slices(path: str):
-    """position, doc_ids, texts, where they start and end, their bytes as one stream, and its runs: anchor, first, last, hash,
-    context, document, class among equal runs; run and least document of each class."""
+    """position, doc_ids, texts, where they start and end, and their bytes as one stream."""
     for position, ids, texts in _shard(path):
         ends = np.cumsum([len(t) for t in texts])
         starts = ends - [len(t) for t in texts]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        anchor, first, last, gram, context = runs(data, starts, ends)
-        doc = np.array(ids, np.int64)[np.searchsorted(ends, first, side="right")]
-        yield position, ids, texts, starts, ends, data, (anchor, first, last, gram, context, doc, *_equal_runs(gram, context, doc))
+        yield position, ids, texts, starts, ends, np.frombuffer(b"".join(texts), np.uint8)
+
+
+#: Of the runs of a slice, which follow each other in the windows of its texts: windows, where the anchor stands, whether an equal one came
+#: before, and the class of each that has.
+_RUNS = ["lengths", "offsets", "again", "numbers"]
+
+
+def _known(path: str, runs_path: str, shard: int):
+    """What _slices gives of a shard, and its runs as _send has found them: first, last, anchor's place, document and class
+    among equal runs; least document of each class."""
+    import pyarrow as pa
+
+    fs, root = open_fs(runs_path)
+    with fs.open_input_stream(f"{root}/{shard}") as f, pa.ipc.open_stream(f) as kept:
+        for (position, ids, texts, starts, ends, data), batch in zip(_slices(path), kept, strict=True):
+            length, offset, again, number = (np.frombuffer(c[0].as_py(), kind) for c, kind in zip(batch.columns, (np.uint8, np.uint8, np.uint8, np.uint32), strict=True))
+            again = np.unpackbits(again, count=len(length)).astype(bool)
+            long = np.flatnonzero(ends - starts >= LENGTH)
+            windows = (ends - starts)[long] - LENGTH + 1
+            before, nth = np.cumsum(windows) - windows, np.cumsum(length, dtype=np.int64) - length
+            of = np.searchsorted(before, nth, side="right") - 1
+            first = starts[long][of] + nth - before[of]
+            doc = np.array(ids, np.int64)[long[of]]
+            which = np.cumsum(~again) - 1
+            which[again] = number
+            least = doc[~again]
+            np.minimum.at(least, number, doc[again])
+            yield position, ids, texts, starts, ends, data, (first, first + length - 1, offset.astype(np.int64), doc, which, least)
+
+
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of numbers, first all lowest ones, so that what is zero or alike in them takes no room when compressed."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)[:, :size].T.tobytes()
+
+
+def _from_planes(b: bytes, size: int, kind) -> np.ndarray:
+    out = np.zeros((len(b) // size, np.dtype(kind).itemsize), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(size, -1).T
+    return out.view(kind).ravel()
 
 
 def _five(x: np.ndarray) -> bytes:
-    return (x >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """The high five bytes of rising numbers."""
+    return _planes(np.diff(x >> np.uint64(24), prepend=np.uint64(0)), 5)
 
 
 def _from_five(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    return np.cumsum(_from_planes(b, 5, np.uint64), dtype=np.uint64)
 
 
-def _send(batches: Iterator, ranges: int) -> Iterator:
+def _send(batches: Iterator, ranges: int, runs_path: str) -> Iterator:
     """Shards and their paths -> for each hash range the anchors, contexts, class numbers and documents."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
+    fs, root = open_fs(runs_path)
+    fs.create_dir(root, recursive=True)
+    schema = pa.schema([(c, pa.binary()) for c in _RUNS])
     for batch in batches:
         for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             number, held, size = 0, [], 0
-            for *_, (_, _, _, gram, context, _, _, run, least) in _slices(path):
-                held.append((gram[run], context[run], np.arange(number, number + len(run), dtype=np.uint32), least))
-                number += len(run)
-                size += len(run)
-                if size > 200_000:
-                    yield _dealt(pa, held, shard, ranges)
-                    held, size = [], 0
+            own = f"{root}/_{TaskContext.get().taskAttemptId()}-{shard}"
+            with fs.open_output_stream(own) as f, pa.ipc.new_stream(f, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for _, ids, _, starts, ends, data in _slices(path):
+                    anchor, first, last, gram, context = runs(data, starts, ends)
+                    which, run, least = _equal_runs(gram, context, np.array(ids, np.int64)[np.searchsorted(ends, first, side="right")])
+                    again = np.ones(len(first), bool)
+                    again[run] = False
+                    stored = (last - first + 1).astype(np.uint8), (anchor - first).astype(np.uint8), np.packbits(again), which[again].astype(np.uint32)
+                    out.write_batch(pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in stored], schema=schema))
+                    held.append((gram[run], context[run], np.arange(number, number + len(run), dtype=np.uint32), least))
+                    number += len(run)
+                    size += len(run)
+                    if size > 200_000:
+                        yield _dealt(pa, held, shard, ranges)
+                        held, size = [], 0
+            fs.move(own, f"{root}/{shard}")
             if size:
                 yield _dealt(pa, held, shard, ranges)
 
@@ -239,7 +278,7 @@ def _dealt(pa, held, shard: int, ranges: int):
         if b > a:
             known, which = np.unique(doc[a:b], return_inverse=True)
             wide = np.uint16 if len(known) <= 1 << 16 else np.uint32
-            for column, x in zip(rows, (p, shard, _five(gram[a:b]), context[a:b].tobytes(), number[a:b].tobytes(), which.astype(wide).tobytes(), known.tobytes()), strict=True):
+            for column, x in zip(rows, (p, shard, _five(gram[a:b]), context[a:b].tobytes(), _planes(number[a:b], 4), _planes(which.astype(wide), wide().itemsize), known.tobytes()), strict=True):
                 column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[2:]]], ["part", "shard", "grams", "contexts", "numbers", "which", "docs"])
 
@@ -252,8 +291,8 @@ def _judge(batches: Iterator) -> Iterator:
     for rows in _by_first(batches):
         held = []
         for _, shard, grams, contexts, numbers, which, docs in rows:
-            number, known = np.frombuffer(numbers, np.uint32), np.frombuffer(docs, np.int64)
-            own = np.frombuffer(which, np.uint16 if len(which) == 2 * len(number) else np.uint32)
+            number, known = _from_planes(numbers, 4, np.uint32), np.frombuffer(docs, np.int64)
+            own = _from_planes(which, 2, np.uint16) if len(which) == 2 * len(number) else _from_planes(which, 4, np.uint32)
             held.append((_from_five(grams), np.frombuffer(contexts, np.uint64), number, known[own], np.full(len(number), shard, np.int32)))
         del rows
         gram, context, number, doc, shard = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -293,7 +332,7 @@ def _joined(blobs: list[bytes] | None, kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs or []), kind)
 
 
-def _contexts(batches: Iterator) -> Iterator:
+def _contexts(batches: Iterator, runs_path: str) -> Iterator:
     """Shards with their classes to compare -> the contexts of those classes' runs in their least document."""
     import pyarrow as pa
 
@@ -303,18 +342,18 @@ def _contexts(batches: Iterator) -> Iterator:
             order = np.argsort(number)
             number, key, count = number[order], key[order], count[order]
             base = 0
-            for position, _, _, _, _, data, (anchor, first, last, _, _, doc, which, run, least) in _slices(path):
-                a, b = np.searchsorted(number, (base, base + len(run)))
-                at = np.full(len(run), -1)
+            for position, _, _, _, _, data, (first, last, offset, doc, which, least) in _known(path, runs_path, shard):
+                a, b = np.searchsorted(number, (base, base + len(least)))
+                at = np.full(len(least), -1)
                 at[number[a:b].astype(np.int64) - base] = np.arange(a, b)
-                base += len(run)
+                base += len(least)
                 own = np.flatnonzero((at[which] >= 0) & (doc == least[which]))
                 if not len(own):
                     continue
                 asked, raw = at[which[own]], data.tobytes()
-                spans = [raw[x : y + LENGTH] for x, y in zip(first[own].tolist(), last[own].tolist(), strict=True)]
+                spans = [raw[x:y] for x, y in zip(first[own].tolist(), (last[own] + LENGTH).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[asked]), pa.array(count[asked].astype(np.int64)), pa.array(np.full(len(own), shard, np.int32)), pa.array(doc[own]), pa.array(position + first[own]), pa.array((anchor - first)[own]), pa.array(spans, pa.binary())],
+                    [pa.array(key[asked]), pa.array(count[asked].astype(np.int64)), pa.array(np.full(len(own), shard, np.int32)), pa.array(doc[own]), pa.array(position + first[own]), pa.array(offset[own]), pa.array(spans, pa.binary())],
                     ["anchor", "contexts", "shard", "doc", "first", "offset", "span"],
                 )
 
@@ -324,65 +363,46 @@ def _compare(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     held, size = [], 0
-
-    def groups():
-        tail = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {"anchor": np.asarray(batch.column(0)), "shard": np.asarray(batch.column(2)), "doc": np.asarray(batch.column(3)), "first": np.asarray(batch.column(4)), "offset": np.asarray(batch.column(5)), "span": np.array([*batch.column(6).to_pylist(), b""], object)[:-1]}
-            if tail is not None:
-                rows = {c: np.concatenate([tail[c], rows[c]]) for c in rows}
-            cut_at = np.flatnonzero(rows["anchor"] != rows["anchor"][-1])
-            cut_at = int(cut_at[-1]) + 1 if len(cut_at) else 0
-            if cut_at:
-                yield {c: v[:cut_at] for c, v in rows.items()}
-            tail = {c: v[cut_at:] for c, v in rows.items()}
-        if tail is not None:
-            yield tail
-
-    for g in groups():
-        held.append(g)
-        size += len(g["anchor"])
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
         if size > 20_000:
-            yield from _covered(pa, {c: np.concatenate([x[c] for x in held]) for c in held[0]})
-            held, size = [], 0
-    if held:
-        yield from _covered(pa, {c: np.concatenate([x[c] for x in held]) for c in held[0]})
+            rows = pa.Table.from_batches(held).combine_chunks()
+            anchor = rows.column(0).to_numpy()
+            whole = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            yield from _covered(pa, rows.slice(0, whole))
+            held, size = rows.slice(whole).to_batches(), size - whole
+    if size:
+        yield from _covered(pa, pa.Table.from_batches(held))
 
 
-def _covered(pa, g: dict[str, np.ndarray]) -> Iterator:
-    sizes = np.array([len(x) for x in g["span"]])
+def _covered(pa, rows) -> Iterator:
+    if not rows.num_rows:
+        return
+    anchor, shard, doc, begin, offset = (rows.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
+    spans = rows.column(6).to_pylist()
+    sizes = np.array([len(x) for x in spans])
     begins = np.cumsum(sizes) - sizes
-    text = Hashed(np.frombuffer(b"".join(g["span"]), np.uint8))
     count = sizes - LENGTH + 1
     context = np.repeat(np.arange(len(sizes)), count)
     inner = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
-    start = begins[context] + inner
     # equal windows have the anchor at the same place, so a segment is an anchor and a place
-    _, number = np.unique(g["anchor"], return_inverse=True)
-    segment = number[context] * (LENGTH + 1) + (g["offset"][context] - inner)
+    segment = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))[context] * (LENGTH + 1) + (offset[context] - inner)
     order = np.argsort(segment, kind="stable")
-    order = order[suffix_sort(text, start[order], segment[order])]
-    a, b = start[order][:-1], start[order][1:]
-    same = (segment[order][1:] == segment[order][:-1]) & (text.common(a, b, LENGTH) >= LENGTH)
-    at = np.flatnonzero(same)
-    for low in range(0, len(at), 100_000):  # the bytes confirm what the hashes say
-        part, inside = at[low : low + 100_000], np.arange(LENGTH)
-        same[part] = (text.data[a[part][:, None] + inside] == text.data[b[part][:, None] + inside]).all(1)
-    new = np.concatenate([[True], ~same])
-    doc = g["doc"][context][order]
-    least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-    hit = np.zeros(len(order), bool)
-    hit[order] = doc > least
-    w = np.flatnonzero(hit)
+    moved, same = _sorted(np.frombuffer(b"".join(spans), np.uint8), (begins[context] + inner)[order], segment[order], LENGTH)
+    twice = np.flatnonzero(same | np.concatenate([same[1:], [False]]))
+    if not len(twice):
+        return
+    own, new = order[moved[twice]], np.flatnonzero(~same[twice])
+    docs = doc[context[own]]
+    least = np.repeat(np.minimum.reduceat(docs, new), np.diff(np.concatenate([new, [len(own)]])))
+    w = np.sort(own[docs > least])
     if not len(w):
         return
     cuts = np.concatenate([[True], (w[1:] != w[:-1] + 1) | (context[w[1:]] != context[w[:-1]])])
     from_, to = w[cuts], w[np.concatenate([np.flatnonzero(cuts)[1:], [len(w)]]) - 1]
     c = context[from_]
-    shard, x, y = g["shard"][c], g["first"][c] + inner[from_], g["first"][c] + inner[to] + LENGTH
-    yield from _ranges(pa, shard, x, y)
+    yield from _ranges(pa, shard[c], begin[c] + inner[from_], begin[c] + inner[to] + LENGTH)
 
 
 def _ranges(pa, shard, x, y) -> Iterator:
@@ -415,21 +435,21 @@ def _pack(batches: Iterator) -> Iterator:
             yield from _ranges(pa, np.asarray(batch.column(0)), x, x + LENGTH)
 
 
-def _kept(batches: Iterator) -> Iterator:
+def _kept(batches: Iterator, runs_path: str) -> Iterator:
     """Shards with the classes that earlier documents hold and covered ranges -> doc_id, text, what is kept of it and the removed counts."""
     import pyarrow as pa
 
     for batch in batches:
-        for path, late, ranges in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+        for shard, path, late, ranges in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             number = np.sort(_joined(late, np.uint32))
             pairs = _joined(ranges, np.int64).reshape(-1, 2)
             pairs = pairs[np.argsort(pairs[:, 0])]
             base = 0
-            for position, ids, texts, starts, ends, data, (_, first, last, _, _, doc, which, run, least) in _slices(path):
-                a, b = np.searchsorted(number, (base, base + len(run)))
-                elsewhere = np.zeros(len(run), bool)
+            for position, ids, texts, starts, ends, data, (first, last, _, doc, which, least) in _known(path, runs_path, shard):
+                a, b = np.searchsorted(number, (base, base + len(least)))
+                elsewhere = np.zeros(len(least), bool)
                 elsewhere[number[a:b].astype(np.int64) - base] = True
-                base += len(run)
+                base += len(least)
                 covered = elsewhere[which] | (doc > least[which])
                 n = len(data)
                 c, d = np.searchsorted(pairs[:, 0], (position, position + n))
@@ -453,19 +473,19 @@ def _kept(batches: Iterator) -> Iterator:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of every document."""
     spark = docs.sparkSession
-    path = fresh_path(spark, "texts")
+    path, kept = fresh_path(spark, "texts"), fresh_path(spark, "runs")
     text = F.encode(F.col(text_col), "UTF-8")
     docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("size")).write.option("compression", "zstd").parquet(path)
     written = spark.read.schema("doc_id long, text binary, size long").parquet(path)
     parts, paths = partitions(spark), sorted(written.inputFiles())
     ranges, n = max(parts, -(-(written.agg(F.sum("size")).first()[0] or 0) // RANGE)), max(1, len(paths))
     shards = spark.createDataFrame(list(enumerate(paths)), "shard int, path string").repartition(n, "shard")
-    sent = shards.mapInArrow(partial(_send, ranges=ranges), "part int, shard int, grams binary, contexts binary, numbers binary, which binary, docs binary")
+    sent = shards.mapInArrow(partial(_send, ranges=ranges, runs_path=kept), "part int, shard int, grams binary, contexts binary, numbers binary, which binary, docs binary")
     judged = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_judge, "shard int, late binary, compare binary, anchors binary, contexts binary")
     flags = cut(judged.groupBy("shard").agg(*[F.collect_list(c).alias(c) for c in ("late", "compare", "anchors", "contexts")]), "flags")
     one = lambda df: shards.join(df, "shard", "left").repartition(n, "shard")
     spans = one(flags.filter("exists(compare, x -> octet_length(x) > 0)").select("shard", "compare", "anchors", "contexts")).select("shard", "path", "compare", "anchors", "contexts")
-    spans = spans.filter("compare is not null").mapInArrow(_contexts, "anchor long, contexts long, shard int, doc long, first long, offset long, span binary")
+    spans = spans.filter("compare is not null").mapInArrow(partial(_contexts, runs_path=kept), "anchor long, contexts long, shard int, doc long, first long, offset long, span binary")
     spans = cut(spans, "spans")
     near = spans.filter(F.col("contexts") <= most_contexts).repartition(parts, "anchor").sortWithinPartitions("anchor")
     found = near.mapInArrow(_compare, "shard int, ranges binary")
@@ -475,7 +495,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = found.union(late.mapInArrow(_pack, "shard int, ranges binary"))
     ranges_ = cut(found.groupBy("shard").agg(F.collect_list("ranges").alias("ranges")), "ranges")
     last = one(flags.select("shard", "late").join(ranges_, "shard", "full")).select("shard", "path", "late", "ranges")
-    return last.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return last.mapInArrow(partial(_kept, runs_path=kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
